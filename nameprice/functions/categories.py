@@ -33,7 +33,8 @@ def category_scores(lowered: Column) -> list[Column]:
             for cat, terms in CATEGORY_KEYWORDS.items()]
 
 
-def _derived() -> list[Column]:
+def _summary() -> list[Column]:
+    """Stage 2: total, hit count, entropy and the (score desc, ord asc) ranking."""
     scores = [F.col(c) for c in SCORE_COLUMNS]
     total = sum(scores[1:], scores[0])
     hits = sum([(s > 0).cast("int") for s in scores[1:]], (scores[0] > 0).cast("int"))
@@ -42,15 +43,20 @@ def _derived() -> list[Column]:
     ranked = F.sort_array(F.array(*[
         F.struct((-s).alias("neg"), F.lit(i).alias("ord"), F.lit(c).alias("label"))
         for i, (c, s) in enumerate(zip(CATEGORY_NAMES, scores))]))
+    return [total.alias("_total"), hits.alias("_hits"),
+            F.slice(ranked, 1, 2).alias("_top2")]
+
+
+def _derived() -> list[Column]:
+    """Stage 3: everything else from the stage-2 columns."""
+    total, hits = F.col("_total"), F.col("_hits")
+    p = [F.when(total > 0, F.col(c) / total).otherwise(F.lit(0.0)) for c in SCORE_COLUMNS]
+    terms = [x * F.log(x + F.lit(1e-12)) for x in p]
+    entropy = -sum(terms[1:], terms[0])
     none = total == 0
-    p1, p2 = ranked.getItem(0), ranked.getItem(1)
+    p1, p2 = F.col("_top2").getItem(0), F.col("_top2").getItem(1)
     primary_score = F.when(none, F.lit(0.0)).otherwise(-p1["neg"])
     secondary_score = F.when(none, F.lit(0.0)).otherwise(-p2["neg"])
-    terms = []
-    for s in scores:
-        p = F.when(total > 0, s / total).otherwise(F.lit(0.0))
-        terms.append(p * F.log(p + F.lit(1e-12)))
-    entropy = -sum(terms[1:], terms[0])
     return [
         hits.cast("double").alias("category_hit_count"),
         total.alias("category_score_sum"),
@@ -72,11 +78,17 @@ def _derived() -> list[Column]:
 
 
 def with_category_features(df: DataFrame, name_col: str = "name") -> DataFrame:
-    """Append the 60 category columns (two narrow projections, no shuffle)."""
+    """Append the 60 category columns: three narrow projections, no shuffle.
+
+    Staging keeps each regex count and the ranking evaluated once per row
+    (CollapseProject does not inline non-trivial expressions used twice) and
+    keeps every generated method under the JVM's 64 KB limit.
+    """
     lowered = F.lower(safe_text(name_col))
     scored = df.select("*", *category_scores(lowered))
+    summarized = scored.select("*", *_summary())
     flags = [(F.col(c) > 0).cast("int").alias(f"cat_flag_{c}") for c in SCORE_COLUMNS]
-    return scored.select("*", *flags, *_derived())
+    return summarized.select(*df.columns, *SCORE_COLUMNS, *flags, *_derived())
 
 
 def with_primary_category(df: DataFrame, name_col: str = "name") -> DataFrame:
