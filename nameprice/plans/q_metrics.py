@@ -243,7 +243,8 @@ from b group by blend, base_weight, partner
 """
 
 
-@register("blend_grid", _blend_sql(), ["base_weight", "smape", "mae", "rmse"])
+@register("blend_grid", _blend_sql(),
+          {"base_weight": 6, "smape": 6, "mae": 4, "rmse": 4})
 def blend_grid(spark, sf):
     """M13 + D4: ridge-weight grid blended with each tree model."""
     return ensemble.blend_grid(predictions(spark, sf), "ridge", ["tree_a", "tree_b"])

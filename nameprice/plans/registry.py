@@ -22,15 +22,22 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, oracle: str | None = None, round_cols: list[str] | None = None,
-             digits: int = 6):
-    """Register a query; `round_cols` lists the double columns rounded in the oracle."""
+def register(name: str, oracle: str | None = None,
+             round_cols: list[str] | dict[str, int] | None = None, digits: int = 6):
+    """Register a query.
+
+    `round_cols` lists the double columns rounded in the oracle (to `digits`),
+    or maps column → digits for large-magnitude values whose last digits depend
+    on the engines' summation order.
+    """
+    per_col = dict(round_cols) if isinstance(round_cols, dict) else {}
+
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(fn(spark, sf_dir), digits)
+            return rounded(fn(spark, sf_dir), digits, per_col)
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
@@ -41,20 +48,23 @@ def register(name: str, oracle: str | None = None, round_cols: list[str] | None
     return deco
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, per_col: dict[str, int] | None = None) -> DataFrame:
+    per_col = per_col or {}
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`"), digits).alias(f.name))
+            d = per_col.get(f.name, digits)
+            cols.append(F.round(F.col(f"`{f.name}`"), d).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 
-def round_sql(body: str, cols: list[str], digits: int = 6) -> str:
+def round_sql(body: str, cols: list[str] | dict[str, int], digits: int = 6) -> str:
     if not cols:
         return body
-    repl = ", ".join(f'round("{c}", {digits}) as "{c}"' for c in cols)
+    spec = cols if isinstance(cols, dict) else {c: digits for c in cols}
+    repl = ", ".join(f'round("{c}", {d}) as "{c}"' for c, d in spec.items())
     return f"select * replace ({repl}) from ({body}) as r"
 
 
