@@ -120,5 +120,21 @@ OTHER_INDEX = len(CATEGORY_NAMES)  # 23
 
 
 def java_alternation(terms: list[str], lower: bool = True) -> str:
-    """Literal alternation for Java regex: each term quoted, listed order kept."""
+    """Literal alternation (Java and RE2): each term quoted, listed order kept."""
     return "|".join("\\Q" + (t.lower() if lower else t) + "\\E" for t in terms)
+
+
+def fast_alternation(terms: list[str], lower: bool = True) -> str:
+    """Same matches as `java_alternation`, faster in Java's backtracking engine.
+
+    A zero-width lookahead on the set of first characters rejects almost every
+    start position with one class test before any branch is tried; when all
+    terms are single characters the alternation is exactly a character class.
+    Leftmost-first choice among the branches is unchanged.
+    """
+    ts = [t.lower() if lower else t for t in terms]
+    firsts = sorted({t[0] for t in ts}, key=ord)
+    cls = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in firsts) + "]"
+    if all(len(t) == 1 for t in ts):
+        return cls
+    return f"(?={cls})(?:" + java_alternation(ts, lower=False) + ")"

@@ -115,18 +115,18 @@ def quantile_bins(df: DataFrame, col: str = "price", q: int = 10,
 
 def category_price_summary(df_with_category: DataFrame, cat_col: str = "primary_category",
                            col: str = "price") -> DataFrame:
-    """Per category: count, mean, median, sample std, min, max; by mean desc."""
+    """Per category: count, mean, median, sample std, min, max; by mean desc.
+
+    One partial-aggregating pass: the exact median's state is a value→count
+    map per group, merged map-side like the other aggregates.
+    """
     x = F.col(col)
     stats = df_with_category.groupBy(cat_col).agg(
         F.count(x).alias("count"),
         (F.sum(x).cast("double") / F.count(x)).alias("mean"),
+        F.percentile(x.cast("double"), F.lit(0.5)).alias("median"),
         F.stddev_samp(x.cast("double")).alias("std"),
         F.min(x).cast("double").alias("min"),
         F.max(x).cast("double").alias("max"),
     )
-    med = exact_quantiles(df_with_category, col, [0.5], group_cols=[cat_col]).select(
-        cat_col, F.col("q")[0].alias("median"))
-    # both sides are one row per category: a small keyed join
-    return (stats.join(med, cat_col)
-            .select(cat_col, "count", "mean", "median", "std", "min", "max")
-            .orderBy(F.desc("mean"), F.asc(cat_col)))
+    return stats.orderBy(F.desc("mean"), F.asc(cat_col))

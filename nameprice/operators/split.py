@@ -9,9 +9,9 @@ retried task or a lost executor reproduces the same split.
 
 The stratified split never ranks a whole stratum in one task (a stratum is
 1/q of the table). It finds each stratum's cut row by radix selection on the
-60-bit md5 key: two rounds of (stratum, 16-bit digit) counts, each a partial
-aggregate plus a window over at most 65,536 digits per stratum; then an exact
-rank among the ~n/2^32 rows that share the final 32-bit prefix. The cut table
+60-bit md5 key: a 12-bit then a 16-bit round of (stratum, digit) counts, each
+a partial aggregate plus a window over at most 65,536 digits per stratum;
+then an exact rank among the ~n/2^28 rows that share the 28-bit prefix. The cut table
 has one row per stratum, so broadcasting it is bounded by q + 1 rows.
 """
 
@@ -61,10 +61,10 @@ def kth_smallest_per_group(df: DataFrame, group: str, key: str, id_col: str,
     `key` must be a non-negative 60-bit integer.
     """
     base = df.select(group, key, id_col).join(F.broadcast(k.where(F.col("k") > 0)), group)
-    hi = F.shiftright(F.col(key), 44)
+    hi = F.shiftright(F.col(key), 48)
     cut1 = _digit_cut(base.withColumnRenamed("k", "need"), group, hi, "need")
     lvl2 = base.join(F.broadcast(cut1), group).where(hi == F.col("cut_d")).drop("k", "cut_d")
-    mid = F.shiftright(F.col(key), 28).bitwiseAND(F.lit(0xFFFF))
+    mid = F.shiftright(F.col(key), 32).bitwiseAND(F.lit(0xFFFF))
     cut2 = _digit_cut(lvl2.withColumnRenamed("rest", "need"), group, mid, "need")
     lvl3 = (lvl2.join(F.broadcast(cut2.withColumnRenamed("rest", "need2")), group)
             .where(mid == F.col("cut_d")))

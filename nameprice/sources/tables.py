@@ -27,6 +27,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    from nameprice.operators.partitioning import spread
+    return spread(df)
+
+
 def _prefix(k8: Column) -> Column:
     # FIXED VALUES: name decorations of the products view, by p_partkey % 8
     return (F.when(k8 == 0, "【日本進口】").when(k8 == 1, "#A-12 ")
@@ -66,9 +71,9 @@ def products_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     broadcast only when its measured size is under the broadcast threshold,
     otherwise it is a sort-merge join whose skewed keys AQE splits.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = _spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-        "l_extendedprice")
+        "l_extendedprice"))
     p = products(spark, sf_dir)
     pid = (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000
             + F.col("l_partkey")) * 100000 + F.col("l_suppkey"))
