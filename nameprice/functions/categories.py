@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nameprice.functions.common import count_matches, safe_text
 from nameprice.functions.lexicon import (
-    CATEGORY_KEYWORDS, CATEGORY_NAMES, OTHER_CATEGORY, OTHER_INDEX, java_alternation)
+    CATEGORY_KEYWORDS, CATEGORY_NAMES, OTHER_CATEGORY, OTHER_INDEX, fast_alternation)
 
 SCORE_COLUMNS = list(CATEGORY_NAMES)
 FLAG_COLUMNS = [f"cat_flag_{c}" for c in CATEGORY_NAMES]
@@ -29,7 +29,7 @@ STRING_COLUMNS = ["primary_category", "secondary_category"]
 
 
 def category_scores(lowered: Column) -> list[Column]:
-    return [count_matches(lowered, java_alternation(terms)).cast("double").alias(cat)
+    return [count_matches(lowered, fast_alternation(terms)).cast("double").alias(cat)
             for cat, terms in CATEGORY_KEYWORDS.items()]
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from nameprice.functions import lexicon as L
 from nameprice.functions.common import count_matches, has_match, ratio, safe_text
-from nameprice.functions.lexicon import CJK, java_alternation
+from nameprice.functions.lexicon import CJK, fast_alternation
 from nameprice.functions.text import QUICK_TOKEN, stable_hash
 
 FULLWIDTH_DIGITS = "０１２３４５６７８９"
@@ -146,8 +146,8 @@ def with_basic31(df: DataFrame) -> DataFrame:
         has_match(n, "cm|CM|公分").alias("has_cm"),
         has_match(n, "inch|吋").alias("has_inch"),
         has_match(n, "包|入|組|盒").alias("has_pack"),
-        has_match(n, java_alternation(L.SET_WORDS, lower=False)).alias("has_set"),
-        has_match(n, java_alternation(L.LUXURY_WORDS_31, lower=False)).alias("has_luxury"))
+        has_match(n, fast_alternation(L.SET_WORDS, lower=False)).alias("has_set"),
+        has_match(n, fast_alternation(L.LUXURY_WORDS_31, lower=False)).alias("has_luxury"))
 
 
 BASIC31_COLUMNS = [
@@ -286,7 +286,7 @@ def _convert_chain(table: dict[str, tuple[float, float]]):
 def with_unit_features(df: DataFrame) -> DataFrame:
     n = safe_text("name")
     low = F.lower(n)
-    counts = [count_matches(low, java_alternation(t)).cast("double").alias(f"_u_{f}")
+    counts = [count_matches(low, fast_alternation(t)).cast("double").alias(f"_u_{f}")
               for f, t in L.UNIT_PATTERNS.items()]
     extracts = []
     for m, _, pat, _ in MEASURES:
@@ -362,9 +362,9 @@ def with_token_features(df: DataFrame) -> DataFrame:
         stable_hash(second).alias("second_token_hash"),
         nup.alias("uppercase_token_count"),
         F.when(nup > 0, up_len / nup).otherwise(F.lit(0.0)).alias("uppercase_token_avg_len"),
-        has_match(F.col("_n"), "(?i)" + java_alternation(L.BUNDLE_WORDS)).alias("bundle_flag"),
-        has_match(F.col("_n"), "(?i)" + java_alternation(L.GIFT_WORDS)).alias("gift_flag"),
-        has_match(F.col("_n"), "(?i)" + java_alternation(L.LIMITED_WORDS)).alias("limited_flag"))
+        has_match(F.col("_n"), "(?i)" + fast_alternation(L.BUNDLE_WORDS)).alias("bundle_flag"),
+        has_match(F.col("_n"), "(?i)" + fast_alternation(L.GIFT_WORDS)).alias("gift_flag"),
+        has_match(F.col("_n"), "(?i)" + fast_alternation(L.LIMITED_WORDS)).alias("limited_flag"))
 
 
 # --------------------------------------------------------------- J9 signals
@@ -385,23 +385,23 @@ def with_signal_features(df: DataFrame) -> DataFrame:
     n = safe_text("name")
     s1 = df.select("*", n.alias("_n"), F.lower(n).alias("_l"))
     t, low = F.col("_n"), F.col("_l")
-    color = count_matches(low, java_alternation(L.COLOR_KEYWORDS)).cast("double")
+    color = count_matches(low, fast_alternation(L.COLOR_KEYWORDS)).cast("double")
     dominant = F.coalesce(*[F.when(F.contains(low, F.lit(c.lower())), F.lit(c))
                             for c in L.COLOR_KEYWORDS], F.lit("none"))
-    lux = count_matches(low, java_alternation(L.LUXURY_KEYWORDS)).cast("double")
+    lux = count_matches(low, fast_alternation(L.LUXURY_KEYWORDS)).cast("double")
     out = [
         color.alias("color_hit_count"), (color > 0).cast("int").alias("color_flag"),
         dominant.alias("dominant_color"),
-        has_match(low, java_alternation(L.IMPORT_KEYWORDS)).alias("import_flag"),
-        has_match(low, java_alternation(L.DISCOUNT_KEYWORDS)).alias("discount_flag"),
-        has_match(low, java_alternation(L.SIZE_KEYWORDS)).alias("size_keyword_flag"),
+        has_match(low, fast_alternation(L.IMPORT_KEYWORDS)).alias("import_flag"),
+        has_match(low, fast_alternation(L.DISCOUNT_KEYWORDS)).alias("discount_flag"),
+        has_match(low, fast_alternation(L.SIZE_KEYWORDS)).alias("size_keyword_flag"),
         (lux > 0).cast("int").alias("luxury_flag"), lux.alias("luxury_keyword_count"),
         has_match(t, "(?U)" + L.MODEL_CODE_PATTERN).alias("model_code_flag"),
         has_match(t, L.HASH_CODE_PATTERN).alias("hash_code_flag"),
     ]
     for fam, groups in _families():
         for g, terms in groups.items():
-            c = count_matches(low, java_alternation(terms)).cast("double")
+            c = count_matches(low, fast_alternation(terms)).cast("double")
             out += [c.alias(f"{fam}_{g}_count"), (c > 0).cast("int").alias(f"{fam}_{g}_flag")]
     return s1.select(*df.columns, *out)
 

@@ -1 +1,111 @@
-"""Registered queries."""
+"""Registered model queries (§2.D2, §2.K4, §2.M, §2.G3). Rows-only checks:
+the fits are validated by pytest (closed form, beats-constant, determinism).
+
+All fits share one checkpointed modelling frame per scale factor (q=10
+stratified split, 5k word TF-IDF fitted on train + 31 features).
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from nameprice.operators import metrics, models
+from nameprice.plans.modelframe import model_frame
+from nameprice.plans.registry import register
+
+GB_100 = models.ModelConfig("GB_100_5_lr01_log", "gbt", {
+    "maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8}, True)
+
+
+def _compare(spark, sf, cfgs: list[models.ModelConfig]) -> DataFrame:
+    data, _ = model_frame(spark, sf)
+    out = None
+    for cfg in cfgs:
+        preds, _, secs = models.fit_evaluate(cfg, data)
+        row = metrics.model_comparison(preds).withColumn("train_time", F.lit(round(secs, 2)))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("assemble_vectors")
+def assemble_vectors(spark, sf):
+    """hstack(TF-IDF sparse, 31 dense) per product: width and non-zeros."""
+    data, names = model_frame(spark, sf)
+    arr = vector_to_array("features")
+    return data.select("product_id", "split", F.size(arr).alias("width"),
+                       F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))
+
+
+@register("model_ridge")
+def model_ridge(spark, sf):
+    """M1: ridge α=3 on raw price (TF-IDF + 31 features), floor-1 clip."""
+    return _compare(spark, sf, [models.ModelConfig("ridge_a3", "ridge", {"alpha": 3.0})])
+
+
+@register("ridge_sweep")
+def ridge_sweep(spark, sf):
+    """M2: ridge α ∈ {0.1, 1, 10, 50}; one comparison row per α."""
+    return _compare(spark, sf, [models.ModelConfig(f"ridge_a{a:g}", "ridge", {"alpha": a})
+                                for a in models.RIDGE_ALPHAS_SWEEP])
+
+
+@register("model_lasso")
+def model_lasso(spark, sf):
+    """M3: lasso α=1, up to 2000 iterations, raw price."""
+    return _compare(spark, sf, [models.ModelConfig("lasso_a1", "lasso", {"alpha": 1.0})])
+
+
+@register("model_elasticnet")
+def model_elasticnet(spark, sf):
+    """M4: elastic net α=1, l1 ratio .5 (library defaults), log price."""
+    return _compare(spark, sf, [models.ModelConfig(
+        "elasticnet_log", "elasticnet", {"alpha": 1.0, "l1_ratio": 0.5}, True)])
+
+
+@register("model_random_forest")
+def model_random_forest(spark, sf):
+    """M5: random forest, 100 trees, depth 10, all features per split, log price."""
+    return _compare(spark, sf, [models.ModelConfig("RF_100_10_log", "rf", {
+        "numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "all"}, True)])
+
+
+@register("model_gbt")
+def model_gbt(spark, sf):
+    """M6/M7: gradient boosting 100 trees, depth 5, rate .1, subsample .8, log price."""
+    return _compare(spark, sf, [GB_100])
+
+
+@register("feature_importance")
+def feature_importance(spark, sf):
+    """M16 + G3 + A5: importances of the GB-100 model, the 150 largest (top-k report)."""
+    data, names = model_frame(spark, sf)
+    _, model, _ = models.fit_evaluate(GB_100, data)
+    pairs = models.feature_importance(model, names)
+    df = spark.createDataFrame(pairs, "feature string, importance double")
+    return df.orderBy(F.desc("importance"), F.asc("feature")).limit(150)
+
+
+@register("predict_holdout")
+def predict_holdout(spark, sf):
+    """M15 + A3: refit the RF-log model on all training rows and write (name, price)
+    predictions for the held-out rows, clipped at 1."""
+    data, _ = model_frame(spark, sf)
+    cfg = models.ModelConfig("RF_100_10_log", "rf", {
+        "numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "all"}, True)
+    preds, _, _ = models.fit_evaluate(cfg, data)
+    held = preds.where(F.col("split") == "val")
+    return held.join(data.select("product_id", "name"), "product_id").select(
+        "product_id", "name", F.col("yhat").alias("price"))
+
+
+@register("svd_components")
+def svd_components(spark, sf):
+    """K4: uncentred truncated SVD of the TF-IDF rows, k = min(150, width − 1):
+    singular values (sign-free) per component."""
+    data, names = model_frame(spark, sf)
+    width = len(names) - 31
+    k = max(1, min(150, width - 1))
+    s, _, _ = models.truncated_svd(data.where(F.col("split") == "train"), "tfidf", k)
+    return spark.createDataFrame(list(enumerate(s)), "component int, singular_value double")
