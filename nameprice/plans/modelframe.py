@@ -20,26 +20,38 @@ from nameprice.sources.tables import products
 GRID_5K = tfidf.TfidfConfig(max_features=5000, min_df=3, max_df=0.9, sublinear_tf=True)
 
 _CACHE: dict[tuple, tuple[DataFrame, list[str]]] = {}
+_SPLITS: dict[tuple, DataFrame] = {}
+
+
+def _split_features(spark, sf, q, p: DataFrame, cacheable: bool) -> DataFrame:
+    """Split + 31 features, computed once per (sf, q) and checkpointed."""
+    key = (id(spark), sf, q)
+    if cacheable and key in _SPLITS:
+        return _SPLITS[key]
+    feats = FT.with_basic31(p.select("product_id", "name", "price"))
+    sp = checkpoint(split.split_stratified(feats, "product_id", "price", q, 15))
+    if cacheable:
+        _SPLITS[key] = sp
+    return sp
 
 
 def model_frame(spark: SparkSession, sf: str, q: int = 10, cfg: tfidf.TfidfConfig = GRID_5K,
                 text: str = "clean_v1", segmented: bool = False,
-                base: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+                base: DataFrame | None = None, n_max: int = 2) -> tuple[DataFrame, list[str]]:
     """(product_id, name, price, stratum, split, tfidf, features) and feature names.
 
     The vectoriser is fit on the train split only (validation does not leak)
     and applied to every row; `features` = hstack(tfidf, 31 engineered).
     """
-    key = (id(spark), sf, q, cfg, text, segmented, base is None)
+    key = (id(spark), sf, q, cfg, text, segmented, n_max, base is None)
     if base is None and key in _CACHE:
         return _CACHE[key]
     p = base if base is not None else products(spark, sf)
-    feats = FT.with_basic31(p.select("product_id", "name", "price"))
-    sp = split.split_stratified(feats, "product_id", "price", q, 15)
+    sp = _split_features(spark, sf, q, p, base is None)
     cleaned = X.CLEANERS[text]("name")
     doc_text = X.segment(cleaned) if segmented else cleaned
     docs = p.select(F.col("product_id").alias("doc_id"), doc_text.alias("text"))
-    tf = tfidf.term_counts(docs, X.word_tokens(F.col("text")), tfidf.word_analyzer(1, 2))
+    tf = tfidf.term_counts(docs, X.word_tokens(F.col("text")), tfidf.word_analyzer(1, n_max))
     train_ids = sp.where(F.col("split") == "train").select(F.col("product_id").alias("doc_id"))
     tf_train = tf.join(train_ids, "doc_id", "left_semi")
     n_train = train_ids.select(F.count(F.lit(1))).scalar()

@@ -109,3 +109,52 @@ def svd_components(spark, sf):
     k = max(1, min(150, width - 1))
     s, _, _ = models.truncated_svd(data.where(F.col("split") == "train"), "tfidf", k)
     return spark.createDataFrame(list(enumerate(s)), "component int, singular_value double")
+
+
+def _gbt(name: str, trees: int, rate: float, depth: int, rows: float, cols: float,
+         log: bool = False, **extra) -> models.ModelConfig:
+    return models.ModelConfig(name, "gbt", {
+        "maxIter": trees, "stepSize": rate, "maxDepth": depth, "subsamplingRate": rows,
+        "featureSubsetStrategy": repr(cols) if cols < 1 else "all", **extra}, log)
+
+
+@register("tuning_three_configs")
+def tuning_three_configs(spark, sf):
+    """M8: conservative / moderate / aggressive boosting configs on raw price;
+    comparison rows (pick the best with `best_model`)."""
+    return _compare(spark, sf, [_gbt(f"gbt_{k}", *v) for k, v in models.THREE_CONFIGS.items()])
+
+
+@register("hgb_config_sweep")
+def hgb_config_sweep(spark, sf):
+    """M9: the eleven boosting configs on log price with early stopping: an
+    md5-bucket validation share inside train, stop when the validation
+    improvement falls under validationTol (no leaf cap / L2 / patience in MLlib)."""
+    from pyspark.sql import functions as F
+
+    from nameprice.operators.split import md5_bucket
+
+    data, _ = model_frame(spark, sf)
+    out = None
+    for name, (rate, depth, leaf, iters, share) in models.HGB_CONFIGS.items():
+        staged = data.withColumn(
+            "_is_val", md5_bucket(F.concat(F.col("product_id").cast("string"), F.lit(name)))
+            < int(round(share * 100)))
+        cfg = models.ModelConfig(f"hist_gb_{name}", "gbt", {
+            "stepSize": rate, "maxDepth": min(depth, 30), "minInstancesPerNode": leaf,
+            "maxIter": iters, "validationIndicatorCol": "_is_val", "validationTol": 0.01}, True)
+        preds, model, secs = models.fit_evaluate(cfg, staged)
+        row = metrics.model_comparison(preds).withColumn("train_time", F.lit(round(secs, 2))) \
+            .withColumn("trees", F.lit(model.getNumTrees))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("grid_search_small")
+def grid_search_small(spark, sf):
+    """M12 + A7: text variants × vectorisers × ridge, each run appended to the
+    experiment log (parquet); returns the log read back, best first."""
+    from nameprice.plans.grid import TEXT_VARIANTS, VECTORIZERS, run_grid
+
+    return run_grid(spark, sf, TEXT_VARIANTS, VECTORIZERS[:2],
+                    [models.ModelConfig("ridge_a1", "ridge", {"alpha": 1.0})])
