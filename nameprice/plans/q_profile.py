@@ -144,3 +144,26 @@ def category_price_summary(spark, sf):
     """Flagship: primary keyword category → price count/mean/median/std/min/max."""
     feats = with_category_features(products(spark, sf))
     return profile.category_price_summary(feats, "primary_category", "price")
+
+
+def _pred_hist_sql(series: str, expr: str) -> str:
+    return _HIST_SQL.replace(
+        "with v as (select {expr} as x from products where price is not null)",
+        f"with v as (select {expr} as x from predictions where model = 'ridge')").replace(
+        "select bin,", f"select '{series}' as series, bin,", 1)
+
+
+@register("prediction_histogram",
+          "select * from (" + _pred_hist_sql("actual", "cast(y as double)")
+          + ") a union all select * from (" + _pred_hist_sql("predicted", "greatest(yhat, 0.0)")
+          + ") p", ["bin_lo", "bin_hi"])
+def prediction_histogram(spark, sf):
+    """Actual vs predicted (clipped at 0) price histograms of the ridge model,
+    100 equal-width bins each."""
+    from nameprice.sources.tables import predictions
+
+    p = predictions(spark, sf).where(F.col("model") == "ridge")
+    actual = profile.histogram(p, F.col("y"), 100).select(F.lit("actual").alias("series"), "*")
+    pred = profile.histogram(p, F.greatest(F.col("yhat"), F.lit(0.0)), 100).select(
+        F.lit("predicted").alias("series"), "*")
+    return actual.unionByName(pred)

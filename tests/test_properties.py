@@ -40,3 +40,10 @@ def test_blend_weight_one_is_base(spark):
     base = preds.where(F.col("model") == "ridge").agg(
         (F.avg(F.abs(F.col("y") - F.greatest(F.col("yhat"), F.lit(1.0))))).alias("mae")).first()
     assert abs(grid.first()["mae"] - base["mae"]) < 1e-9
+
+
+def test_radix_and_window_strategies_agree(spark):
+    p = products(spark, SF_MID).select("product_id", "price")
+    small = split.split_stratified(p, "product_id", "price", 20, 15)
+    radix = split.split_stratified(p, "product_id", "price", 20, 15, window_max_rows=0)
+    assert small.exceptAll(radix).count() == 0 and radix.exceptAll(small).count() == 0
