@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameprice.functions.common import count_matches, safe_text
+from nameprice.functions.common import keyword_count, safe_text
 from nameprice.functions.lexicon import (
-    CATEGORY_KEYWORDS, CATEGORY_NAMES, OTHER_CATEGORY, OTHER_INDEX, fast_alternation)
+    CATEGORY_KEYWORDS, CATEGORY_NAMES, OTHER_CATEGORY, OTHER_INDEX)
 
 SCORE_COLUMNS = list(CATEGORY_NAMES)
 FLAG_COLUMNS = [f"cat_flag_{c}" for c in CATEGORY_NAMES]
@@ -29,7 +29,7 @@ STRING_COLUMNS = ["primary_category", "secondary_category"]
 
 
 def category_scores(lowered: Column) -> list[Column]:
-    return [count_matches(lowered, fast_alternation(terms)).cast("double").alias(cat)
+    return [keyword_count(lowered, [t.lower() for t in terms]).cast("double").alias(cat)
             for cat, terms in CATEGORY_KEYWORDS.items()]
 
 
@@ -84,8 +84,8 @@ def with_category_features(df: DataFrame, name_col: str = "name") -> DataFrame:
     (CollapseProject does not inline non-trivial expressions used twice) and
     keeps every generated method under the JVM's 64 KB limit.
     """
-    lowered = F.lower(safe_text(name_col))
-    scored = df.select("*", *category_scores(lowered))
+    low = df.select("*", F.lower(safe_text(name_col)).alias("_low"))
+    scored = low.select(*df.columns, *category_scores(F.col("_low")))
     summarized = scored.select("*", *_summary())
     flags = [(F.col(c) > 0).cast("int").alias(f"cat_flag_{c}") for c in SCORE_COLUMNS]
     return summarized.select(*df.columns, *SCORE_COLUMNS, *flags, *_derived())

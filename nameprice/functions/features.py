@@ -17,11 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nameprice.functions import lexicon as L
-from nameprice.functions.common import count_matches, has_match, ratio, safe_text
-from nameprice.functions.lexicon import CJK, fast_alternation
+from nameprice.functions.common import (
+    char_count, count_matches, has_match, keyword_count, keyword_flag, ratio, safe_text)
+from nameprice.functions.lexicon import CJK
 from nameprice.functions.text import QUICK_TOKEN, stable_hash
 
 FULLWIDTH_DIGITS = "０１２３４５６７８９"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+ASCII_LETTERS = UPPER + LOWER
+CJK_FIRST, CJK_LAST = "\u4e00", "\u9fff"
 ASCII_DIGITS = "0123456789"
 
 
@@ -60,6 +65,11 @@ def _count_if(arr: Column, pred) -> Column:
     return F.size(F.filter(arr, pred))
 
 
+def _is_ascii_letter(ch: Column) -> Column:
+    """One-character string in [A-Za-z] (UTF-8 byte order = code point order)."""
+    return ((ch >= F.lit("A")) & (ch <= F.lit("Z"))) | ((ch >= F.lit("a")) & (ch <= F.lit("z")))
+
+
 # --------------------------------------------------------------- J1 basic-5
 def with_basic5(df: DataFrame) -> DataFrame:
     """num_count, max/min/sum/avg over integer runs `\\d+` (0 when none)."""
@@ -129,7 +139,7 @@ def with_basic31(df: DataFrame) -> DataFrame:
         has_match(n, "[a-zA-Z]").alias("has_english"),
         has_match(n, f"[{CJK}]").alias("has_chinese"),
         has_match(n, "(?U)\\d").alias("has_number"),
-        count_matches(n, "[a-zA-Z]").alias("english_count"),
+        char_count(n, ASCII_LETTERS).alias("english_count"),
         count_matches(n, f"[{CJK}]").alias("chinese_count"),
         has_match(n, "[()]").alias("has_parenthesis"),
         has_match(n, "[\\[\\]]").alias("has_bracket"),
@@ -139,15 +149,15 @@ def with_basic31(df: DataFrame) -> DataFrame:
         count_matches(n, "(?U)[^\\w\\s]").alias("special_char_count"),
         has_match(n, "[A-Z]{2,}").alias("has_brand"),
         count_matches(n, "\\p{Lu}").alias("uppercase_count"),
-        has_match(n, "kg|KG|公斤").alias("has_kg"),
+        keyword_flag(n, ["kg", "KG", "公斤"]).alias("has_kg"),
         has_match(n, "(?U)(?<!\\d)g(?!\\d)|克").alias("has_g"),
-        has_match(n, "ml|ML|毫升").alias("has_ml"),
+        keyword_flag(n, ["ml", "ML", "毫升"]).alias("has_ml"),
         has_match(n, "(?U)(?<!\\d)[Ll](?!\\d)|公升").alias("has_l"),
-        has_match(n, "cm|CM|公分").alias("has_cm"),
-        has_match(n, "inch|吋").alias("has_inch"),
-        has_match(n, "包|入|組|盒").alias("has_pack"),
-        has_match(n, fast_alternation(L.SET_WORDS, lower=False)).alias("has_set"),
-        has_match(n, fast_alternation(L.LUXURY_WORDS_31, lower=False)).alias("has_luxury"))
+        keyword_flag(n, ["cm", "CM", "公分"]).alias("has_cm"),
+        keyword_flag(n, ["inch", "吋"]).alias("has_inch"),
+        keyword_flag(n, ["包", "入", "組", "盒"]).alias("has_pack"),
+        keyword_flag(n, L.SET_WORDS).alias("has_set"),
+        keyword_flag(n, L.LUXURY_WORDS_31).alias("has_luxury"))
 
 
 BASIC31_COLUMNS = [
@@ -174,28 +184,28 @@ def with_char_features(df: DataFrame) -> DataFrame:
     base = df.select(
         "*", n.alias("_n"), F.length(n).alias("_len"),
         count_matches(n, "(?U)\\s").alias("_sp"), count_matches(n, "(?U)\\d").alias("_dg"),
-        count_matches(n, "[A-Za-z]").alias("_al"), count_matches(n, f"[{CJK}]").alias("_zh"))
+        char_count(n, ASCII_LETTERS).alias("_al"), count_matches(n, f"[{CJK}]").alias("_zh"))
     t, ln = F.col("_n"), F.col("_len")
     sp, dg, al, zh = F.col("_sp"), F.col("_dg"), F.col("_al"), F.col("_zh")
     sym = ln - (sp + dg + al + zh)
     first, last = F.substring(t, 1, 1), F.substring(t, -1, 1)
     s_dig = first.rlike("(?U)^\\d")
-    s_alp = first.rlike("^[A-Za-z]")
-    s_zh = first.rlike(f"^[{CJK}]")
+    s_alp = _is_ascii_letter(first)
+    s_zh = (first >= F.lit(CJK_FIRST)) & (first <= F.lit(CJK_LAST))
     uniq = F.size(F.array_distinct(F.split(t, "")))
     uniq = F.when(ln > 0, uniq).otherwise(F.lit(0))
 
     def lit_count(ch: str) -> Column:
-        return count_matches(t, "\\Q" + ch + "\\E")
+        return char_count(t, ch)
 
     return base.select(
         *df.columns,
         ln.alias("name_length"), (ln - sp).alias("char_no_space"), sp.alias("space_count"),
         dg.alias("digit_count"), al.alias("alpha_count"),
-        count_matches(t, "[A-Z]").alias("alpha_upper_count"),
-        count_matches(t, "[a-z]").alias("alpha_lower_count"),
+        char_count(t, UPPER).alias("alpha_upper_count"),
+        char_count(t, LOWER).alias("alpha_lower_count"),
         zh.alias("chinese_count"), sym.alias("symbol_count"),
-        count_matches(t, "[!?.,;:]").alias("punctuation_count"),
+        char_count(t, "!?.,;:").alias("punctuation_count"),
         lit_count("!").alias("exclamation_count"), lit_count("?").alias("question_count"),
         lit_count("#").alias("hash_count"), lit_count("/").alias("slash_count"),
         lit_count("-").alias("dash_count"), lit_count("+").alias("plus_count"),
@@ -207,8 +217,9 @@ def with_char_features(df: DataFrame) -> DataFrame:
         s_zh.cast("int").alias("starts_with_chinese"),
         (~(s_dig | s_alp | s_zh)).cast("int").alias("starts_with_symbol"),
         last.rlike("(?U)\\d$").cast("int").alias("ends_with_digit"),
-        last.rlike("[A-Za-z]$").cast("int").alias("ends_with_alpha"),
-        last.rlike(f"[{CJK}]$").cast("int").alias("ends_with_chinese"),
+        _is_ascii_letter(last).cast("int").alias("ends_with_alpha"),
+        ((last >= F.lit(CJK_FIRST)) & (last <= F.lit(CJK_LAST))).cast("int")
+        .alias("ends_with_chinese"),
         uniq.alias("unique_char_count"), ratio(uniq, ln).alias("unique_char_ratio"))
 
 
@@ -286,14 +297,14 @@ def _convert_chain(table: dict[str, tuple[float, float]]):
 def with_unit_features(df: DataFrame) -> DataFrame:
     n = safe_text("name")
     low = F.lower(n)
-    counts = [count_matches(low, fast_alternation(t)).cast("double").alias(f"_u_{f}")
+    counts = [keyword_count(F.col("_low"), [x.lower() for x in t]).cast("double").alias(f"_u_{f}")
               for f, t in L.UNIT_PATTERNS.items()]
     extracts = []
     for m, _, pat, _ in MEASURES:
         p = "(?iU)" + pat
         extracts += [F.regexp_extract_all(n, F.lit(p), 1).alias(f"_{m}_v"),
                      F.regexp_extract_all(n, F.lit(p), 2).alias(f"_{m}_u")]
-    s1 = df.select("*", *counts, *extracts)
+    s1 = df.select("*", low.alias("_low")).select(*df.columns, *counts, *extracts)
     conv = []
     for m, _, _, table in MEASURES:
         pairs = F.arrays_zip(_nums(F.col(f"_{m}_v")).alias("v"), F.col(f"_{m}_u").alias("u"))
@@ -362,9 +373,10 @@ def with_token_features(df: DataFrame) -> DataFrame:
         stable_hash(second).alias("second_token_hash"),
         nup.alias("uppercase_token_count"),
         F.when(nup > 0, up_len / nup).otherwise(F.lit(0.0)).alias("uppercase_token_avg_len"),
-        has_match(F.col("_n"), "(?i)" + fast_alternation(L.BUNDLE_WORDS)).alias("bundle_flag"),
-        has_match(F.col("_n"), "(?i)" + fast_alternation(L.GIFT_WORDS)).alias("gift_flag"),
-        has_match(F.col("_n"), "(?i)" + fast_alternation(L.LIMITED_WORDS)).alias("limited_flag"))
+        keyword_flag(F.lower(F.col("_n")), [w.lower() for w in L.BUNDLE_WORDS]).alias("bundle_flag"),
+        keyword_flag(F.lower(F.col("_n")), [w.lower() for w in L.GIFT_WORDS]).alias("gift_flag"),
+        keyword_flag(F.lower(F.col("_n")), [w.lower() for w in L.LIMITED_WORDS])
+        .alias("limited_flag"))
 
 
 # --------------------------------------------------------------- J9 signals
@@ -385,23 +397,23 @@ def with_signal_features(df: DataFrame) -> DataFrame:
     n = safe_text("name")
     s1 = df.select("*", n.alias("_n"), F.lower(n).alias("_l"))
     t, low = F.col("_n"), F.col("_l")
-    color = count_matches(low, fast_alternation(L.COLOR_KEYWORDS)).cast("double")
+    color = keyword_count(low, [c.lower() for c in L.COLOR_KEYWORDS]).cast("double")
     dominant = F.coalesce(*[F.when(F.contains(low, F.lit(c.lower())), F.lit(c))
                             for c in L.COLOR_KEYWORDS], F.lit("none"))
-    lux = count_matches(low, fast_alternation(L.LUXURY_KEYWORDS)).cast("double")
+    lux = keyword_count(low, [c.lower() for c in L.LUXURY_KEYWORDS]).cast("double")
     out = [
         color.alias("color_hit_count"), (color > 0).cast("int").alias("color_flag"),
         dominant.alias("dominant_color"),
-        has_match(low, fast_alternation(L.IMPORT_KEYWORDS)).alias("import_flag"),
-        has_match(low, fast_alternation(L.DISCOUNT_KEYWORDS)).alias("discount_flag"),
-        has_match(low, fast_alternation(L.SIZE_KEYWORDS)).alias("size_keyword_flag"),
+        keyword_flag(low, [w.lower() for w in L.IMPORT_KEYWORDS]).alias("import_flag"),
+        keyword_flag(low, [w.lower() for w in L.DISCOUNT_KEYWORDS]).alias("discount_flag"),
+        keyword_flag(low, [w.lower() for w in L.SIZE_KEYWORDS]).alias("size_keyword_flag"),
         (lux > 0).cast("int").alias("luxury_flag"), lux.alias("luxury_keyword_count"),
         has_match(t, "(?U)" + L.MODEL_CODE_PATTERN).alias("model_code_flag"),
         has_match(t, L.HASH_CODE_PATTERN).alias("hash_code_flag"),
     ]
     for fam, groups in _families():
         for g, terms in groups.items():
-            c = count_matches(low, fast_alternation(terms)).cast("double")
+            c = keyword_count(low, [w.lower() for w in terms]).cast("double")
             out += [c.alias(f"{fam}_{g}_count"), (c > 0).cast("int").alias(f"{fam}_{g}_flag")]
     return s1.select(*df.columns, *out)
 

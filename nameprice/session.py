@@ -26,9 +26,9 @@ def get_spark(master: str | None = None, app: str = "nameprice",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
-        # the assembled feature frame is ~200 columns wide; keep it in
-        # whole-stage codegen instead of falling back at the default 100
-        .config("spark.sql.codegen.maxFields", "400")
+        # wide (>100-column) projections such as the 201-feature frame skip
+        # whole-stage codegen at the default maxFields; raising it makes the
+        # generated processNext() exceed the JVM's 64 KB method limit
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
     )
