@@ -100,14 +100,16 @@ def boxplot_stats(df: DataFrame, col: str = "price") -> DataFrame:
 
 
 def quantile_bins(df: DataFrame, col: str = "price", q: int = 10,
-                  out: str = "price_bin") -> DataFrame:
+                  out: str = "price_bin", edges: list[float] | None = None) -> DataFrame:
     """pd.qcut(q, duplicates='drop') semantics: interpolated edges, right-closed,
     lowest edge included; bin = greatest(#edges below x − 1, 0).
 
-    The edge array (≤ q+1 values) is a scalar subquery, so binning is narrow.
+    The edge array (≤ q+1 values) is a scalar subquery, or a literal when the
+    caller already read it, so binning is narrow.
     """
-    edges = exact_quantile_edges(df, col, q)
-    staged = df.select("*", edges.alias("_edges"))
+    e = exact_quantile_edges(df, col, q) if edges is None else \
+        F.array(*[F.lit(float(v)) for v in edges])
+    staged = df.select("*", e.alias("_edges"))
     x = F.col(col).cast("double")
     b = F.greatest(F.size(F.filter("_edges", lambda e: e < x)) - 1, F.lit(0))
     return staged.select(*df.columns, b.cast("int").alias(out))

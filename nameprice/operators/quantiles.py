@@ -19,18 +19,14 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
                     group_cols: list[str] | None = None) -> DataFrame:
     """One row per group with `q` = array of exact quantiles (same order as probs).
 
-    Values are first counted per (group, value) — a fixed-width, partial
-    hash aggregate that collapses repeated prices map-side — and the exact
-    percentile then runs over distinct values weighted by their counts.
+    Partial aggregation builds a value→count map per task, so repeated prices
+    collapse map-side; the final merge holds one entry per distinct value.
     """
     group_cols = group_cols or []
-    x = F.col(col).cast("double")
-    counted = df.where(F.col(col).isNotNull()).groupBy(*group_cols, x.alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"))
-    agg = F.percentile(F.col("_v"), _probs(probs), F.col("_c")).alias("q")
+    agg = F.percentile(F.col(col).cast("double"), _probs(probs)).alias("q")
     if group_cols:
-        return counted.groupBy(*group_cols).agg(agg)
-    return counted.agg(agg)
+        return df.groupBy(*group_cols).agg(agg)
+    return df.agg(agg)
 
 
 def qcut_probs(q: int) -> list[float]:

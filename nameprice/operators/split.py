@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameprice.operators.profile import quantile_bins
+from nameprice.operators.quantiles import exact_quantiles, qcut_probs
 
 
 def md5_bucket(id_col: str | Column, modulo: int = 100) -> Column:
@@ -95,10 +96,16 @@ def split_stratified(df: DataFrame, id_col: str = "product_id", price_col: str =
     a per-stratum window when every stratum fits one task comfortably,
     radix selection otherwise. Both give the same rows.
     """
-    binned = quantile_bins(df, price_col, q, "stratum").withColumn("_key", md5_key(id_col))
-    sizes = binned.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    k = sizes.select("stratum", F.floor((F.col("n") * val_pct + 99) / 100).cast("bigint").alias("k"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    # the ≤ q+1 edges and the per-stratum sizes are tiny aggregates: read once,
+    # then passed as literals so the quantile pass is not repeated downstream
+    row = exact_quantiles(df, price_col, qcut_probs(q)).select(F.array_distinct("q")).first()
+    edges = list(row[0] or [])
+    binned = quantile_bins(df, price_col, q, "stratum", edges).withColumn("_key", md5_key(id_col))
+    sizes = binned.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()
+    k = df.sparkSession.createDataFrame(
+        [(int(r["stratum"]), -(-int(r["n"]) * val_pct // 100)) for r in sizes],
+        "stratum int, k bigint")
+    largest = max([int(r["n"]) for r in sizes], default=0)
     if largest <= window_max_rows:
         cuts = _window_cuts(binned, k.where(F.col("k") > 0), id_col)
     else:
