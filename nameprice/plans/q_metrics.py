@@ -308,3 +308,12 @@ def split_stratified(spark, sf):
 def split_stratified_q20(spark, sf):
     p = products(spark, sf).select("product_id", "price")
     return split.split_stratified(p, "product_id", "price", 20, 15)
+
+
+@register("split_random_85_15", f"""
+select product_id, case when {MD5_BUCKET_SQL} < 15 then 'val' else 'train' end as split
+from products
+""")
+def split_random_85_15(spark, sf):
+    """L2: deterministic 85/15 md5-bucket split."""
+    return split.split_random(products(spark, sf), "product_id", 15).select("product_id", "split")

@@ -167,3 +167,15 @@ def prediction_histogram(spark, sf):
     pred = profile.histogram(p, F.greatest(F.col("yhat"), F.lit(0.0)), 100).select(
         F.lit("predicted").alias("series"), "*")
     return actual.unionByName(pred)
+
+
+@register("scan_products_csv", "select name, price from products")
+def scan_products_csv(spark, sf):
+    """A1: the price table landed as header CSV (quoted, multi-line-safe) in the
+    shared folder and scanned back with a declared schema (no inference)."""
+    from nameprice.sources import files
+    from nameprice.streaming.leaderboard import scratch_dir
+
+    path = scratch_dir(spark, "train-csv")
+    products(spark, sf).select("name", "price").write.option("header", True).csv(path)
+    return files.read_price_csv(spark, path).select("name", "price")
