@@ -21,7 +21,6 @@ KEEP_V2 = f"(?U)[^a-z0-9{CJK}\\s]"
 KEEP_V3 = f"(?U)[^a-z0-9{CJK}\\s\\-\\+\\*/\\(\\)\\[\\]]"
 KEEP_TFIDF = f"[^a-z0-9{CJK}#+/\\-]"
 QUICK_TOKEN = f"(?U)[A-Za-z]+|\\d+(?:\\.\\d+)?|[{CJK}]+"
-CJK_RUN = f"^[{CJK}]+$"
 # word analyser: maximal runs of ≥2 word characters (letters, numbers, _)
 WORD_TOKEN = "[\\p{L}\\p{N}_]{2,}"
 
@@ -83,9 +82,13 @@ def mixed_tokens(col: str | Column) -> Column:
     toks = quick_tokens(col)
 
     def expand(t: Column) -> Column:
+        # quick tokens are uniform runs: a token is a CJK run iff its first
+        # character is in U+4E00..U+9FFF (a byte-order range test, no regex)
         n = F.length(t)
+        first = t.substr(1, 1)
+        cjk = (first >= F.lit("\u4e00")) & (first <= F.lit("\u9fff"))
         bigrams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: t.substr(i, F.lit(2)))
-        return F.when(t.rlike(CJK_RUN) & (n >= 2), bigrams).otherwise(F.array(t))
+        return F.when(cjk & (n >= 2), bigrams).otherwise(F.array(t))
 
     return F.flatten(F.transform(toks, expand))
 

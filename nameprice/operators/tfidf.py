@@ -79,6 +79,21 @@ def transform(tf: DataFrame, vocab: DataFrame, cfg: TfidfConfig,
     return weighted.select(id_col, "term", "idx", (F.col("w") / norm).alias("weight"))
 
 
+def fit_transform(tf: DataFrame, n_docs: Column, cfg: TfidfConfig,
+                  id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """Fit the vocabulary and weight the same documents.
+
+    Both passes read the term counts; they are persisted once (memory, spilling
+    to disk; recomputed from lineage if an executor is lost) instead of
+    re-running tokenising and the per-document shuffle. Unpersist `tf` when done.
+    """
+    from pyspark import StorageLevel
+
+    tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
+    vocab = fit_vocabulary(tf, n_docs, cfg, id_col)
+    return vocab, transform(tf, vocab, cfg, id_col)
+
+
 def to_sparse_vectors(weights: DataFrame, vocab_size: int, id_col: str = "doc_id",
                       out: str = "features") -> DataFrame:
     """Each document's (idx, weight) pairs as an MLlib SparseVector column.

@@ -8,6 +8,7 @@ features and the TF-IDF shuffles.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,9 @@ def model_frame(spark: SparkSession, sf: str, q: int = 10, cfg: tfidf.TfidfConfi
     cleaned = X.CLEANERS[text]("name")
     doc_text = X.segment(cleaned) if segmented else cleaned
     docs = p.select(F.col("product_id").alias("doc_id"), doc_text.alias("text"))
-    tf = tfidf.term_counts(docs, X.word_tokens(F.col("text")), tfidf.word_analyzer(1, n_max))
+    # read twice (vocabulary on train rows, weights on all rows): persist once
+    tf = tfidf.term_counts(docs, X.word_tokens(F.col("text")), tfidf.word_analyzer(1, n_max)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     train_ids = sp.where(F.col("split") == "train").select(F.col("product_id").alias("doc_id"))
     tf_train = tf.join(train_ids, "doc_id", "left_semi")
     n_train = train_ids.select(F.count(F.lit(1))).scalar()
@@ -62,6 +65,7 @@ def model_frame(spark: SparkSession, sf: str, q: int = 10, cfg: tfidf.TfidfConfi
     data = models.assemble(rows, ["tfidf"] + FT.BASIC31_COLUMNS)
     data = checkpoint(data.select("product_id", "name", "price", "stratum", "split", "tfidf",
                                   "features", *FT.BASIC31_COLUMNS))
+    tf.unpersist()
     names = [f"tfidf_{i}" for i in range(size)] + FT.BASIC31_COLUMNS
     if base is None:
         _CACHE[key] = (data, names)
