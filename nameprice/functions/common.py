@@ -26,11 +26,6 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
-def r6(c: Column) -> Column:
-    """Round doubles for cross-engine comparison."""
-    return F.round(c, 6)
-
-
 def any_contains(text: Column, terms: list[str]) -> Column:
     """Byte-level substring test for any literal term (no regex, no decoding)."""
     tests = [F.contains(text, F.lit(t)) for t in terms]

@@ -279,6 +279,13 @@ UNIT_COLUMNS = (
         (f"{m}_mean_{u}", f"{m}_max_{u}", f"{m}_min_{u}", f"{m}_std_{u}", f"{m}_count"))])
 
 
+def _value_unit(x: Column) -> Column:
+    v = F.regexp_extract(x, "(?U)^\\d+(?:\\.\\d+)?", 0)
+    rest = x.substr(F.length(v) + 1, F.lit(1 << 20))
+    u = F.regexp_replace(rest, "(?U)^\\s", "")
+    return F.struct(_num(v).alias("v"), u.alias("u"))
+
+
 def _convert_chain(table: dict[str, tuple[float, float]]):
     def conv(p: Column) -> Column:
         v, u = p["v"], F.lower(p["u"])
@@ -299,15 +306,14 @@ def with_unit_features(df: DataFrame) -> DataFrame:
     low = F.lower(n)
     counts = [keyword_count(F.col("_low"), [x.lower() for x in t]).cast("double").alias(f"_u_{f}")
               for f, t in L.UNIT_PATTERNS.items()]
-    extracts = []
-    for m, _, pat, _ in MEASURES:
-        p = "(?iU)" + pat
-        extracts += [F.regexp_extract_all(n, F.lit(p), 1).alias(f"_{m}_v"),
-                     F.regexp_extract_all(n, F.lit(p), 2).alias(f"_{m}_u")]
+    # one pass per measure over the name (whole matches); each short match is
+    # then split into its greedy number and its unit after at most one space
+    extracts = [F.regexp_extract_all(n, F.lit("(?iU)" + pat), 0).alias(f"_{m}_x")
+                for m, _, pat, _ in MEASURES]
     s1 = df.select("*", low.alias("_low")).select(*df.columns, *counts, *extracts)
     conv = []
     for m, _, _, table in MEASURES:
-        pairs = F.arrays_zip(_nums(F.col(f"_{m}_v")).alias("v"), F.col(f"_{m}_u").alias("u"))
+        pairs = F.transform(f"_{m}_x", _value_unit)
         conv.append(F.transform(pairs, _convert_chain(table)).alias(f"_{m}"))
     s2 = s1.select("*", *conv)
     s3 = s2.select("*", *[_mean(F.col(f"_{m}")).alias(f"_{m}_mean") for m, _, _, _ in MEASURES])

@@ -182,6 +182,17 @@ def truncated_svd(data: DataFrame, col: str, k: int, id_col: str = "product_id")
     else:
         svd = mat.computeSVD(k, computeU=False)
         s, V = svd.s.toArray(), svd.V
+    return [float(x) for x in s], V, project(data, col, V, id_col)
+
+
+def project(data: DataFrame, col: str, V, id_col: str = "product_id") -> DataFrame:
+    """Rows of `col` times the local matrix V (width × k), distributed: (id, svd array)."""
+    from pyspark.mllib.linalg import Vectors as MVectors
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+
+    def to_mllib(r):
+        return IndexedRow(int(r[id_col]), MVectors.fromML(r[col]))
+
+    mat = IndexedRowMatrix(data.select(id_col, col).rdd.map(to_mllib))
     scores = mat.multiply(V).rows.map(lambda r: (int(r.index), r.vector.toArray().tolist()))
-    sdf = data.sparkSession.createDataFrame(scores, f"{id_col} long, svd array<double>")
-    return [float(x) for x in s], V, sdf
+    return data.sparkSession.createDataFrame(scores, f"{id_col} long, svd array<double>")

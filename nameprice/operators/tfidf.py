@@ -61,10 +61,17 @@ def fit_vocabulary(tf: DataFrame, n_docs: Column, cfg: TfidfConfig,
     if cfg.max_features is not None:
         kept = kept.orderBy(F.desc("total"), F.asc("term")).limit(cfg.max_features)
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df").cast("double"))) + F.lit(1.0)
-    # vocabulary is at most max_features rows: a global index window is bounded
-    w = Window.orderBy("term")
-    return kept.select("term", (F.row_number().over(w) - 1).alias("idx"), "df", "total",
-                       idf.alias("idf"))
+    scored = kept.select("term", "df", "total", idf.alias("idf"))
+    if cfg.max_features is not None:
+        # at most max_features rows: a global index window is bounded
+        w = Window.orderBy("term")
+        return scored.select("term", (F.row_number().over(w) - 1).alias("idx"),
+                             "df", "total", "idf")
+    # uncapped vocabulary: range-partitioned sort, then per-partition offsets
+    spark = tf.sparkSession
+    indexed = scored.orderBy("term").rdd.zipWithIndex().map(
+        lambda p: (p[0]["term"], int(p[1]), int(p[0]["df"]), int(p[0]["total"]), float(p[0]["idf"])))
+    return spark.createDataFrame(indexed, "term string, idx long, df long, total long, idf double")
 
 
 def transform(tf: DataFrame, vocab: DataFrame, cfg: TfidfConfig,
@@ -92,22 +99,3 @@ def fit_transform(tf: DataFrame, n_docs: Column, cfg: TfidfConfig,
     tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
     vocab = fit_vocabulary(tf, n_docs, cfg, id_col)
     return vocab, transform(tf, vocab, cfg, id_col)
-
-
-def to_sparse_vectors(weights: DataFrame, vocab_size: int, id_col: str = "doc_id",
-                      out: str = "features") -> DataFrame:
-    """Each document's (idx, weight) pairs as an MLlib SparseVector column.
-
-    Grouping is by document, so each collected list is bounded by that
-    document's distinct terms. Spark SQL has no sparse-vector constructor;
-    the only Python step is this O(nnz) builder per document.
-    """
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def build(kv):
-        return SparseVector(vocab_size, [int(p[0]) for p in kv], [float(p[1]) for p in kv])
-
-    pairs = weights.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("kv"))
-    return pairs.select(id_col, build("kv").alias(out))

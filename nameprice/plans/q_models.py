@@ -158,3 +158,4 @@ def grid_search_small(spark, sf):
 
     return run_grid(spark, sf, TEXT_VARIANTS, VECTORIZERS[:2],
                     [models.ModelConfig("ridge_a1", "ridge", {"alpha": 1.0})])
+

@@ -47,3 +47,18 @@ def test_radix_and_window_strategies_agree(spark):
     small = split.split_stratified(p, "product_id", "price", 20, 15)
     radix = split.split_stratified(p, "product_id", "price", 20, 15, window_max_rows=0)
     assert small.exceptAll(radix).count() == 0 and radix.exceptAll(small).count() == 0
+
+
+def test_uncapped_vocabulary_index_matches_capped(spark):
+    from nameprice.functions import text as X
+    from nameprice.operators import tfidf
+
+    p = products(spark, SF_MID)
+    docs = p.select(F.col("product_id").alias("doc_id"), X.clean_tfidf("name").alias("text"))
+    tf = tfidf.term_counts(docs, X.word_tokens(F.col("text")), tfidf.word_analyzer(1, 2))
+    n = p.count()
+    capped = tfidf.fit_vocabulary(tf, F.lit(n), tfidf.TfidfConfig(10 ** 7, 2, 1.0, True))
+    free = tfidf.fit_vocabulary(tf, F.lit(n), tfidf.TfidfConfig(None, 2, 1.0, True))
+    a = capped.select("term", F.col("idx").cast("long"), "df", "idf")
+    b = free.select("term", F.col("idx").cast("long"), "df", "idf")
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
