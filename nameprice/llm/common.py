@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def share_package() -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Enough in local mode and where machines share an installation; elsewhere the
+    submitter ships the package (`--py-files`).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = SparkContext.getOrCreate().environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def worker_udf(returns: str):
+    """Arrow-batched Pandas UDF whose workers can import this package."""
+    share_package()
+    return F.pandas_udf(returns)
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """URI of a fresh folder under the shared `spark.checkpoint.dir`."""
     base = ensure_checkpoint_dir(spark)

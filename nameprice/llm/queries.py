@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameprice.llm import chunk_dedup, histogram_sort, pfair
+from nameprice.llm import (bpe_tree, chunk_dedup, frames, histogram_sort, langid, pfair, pii_crf,
+                           warc)
 from nameprice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,53 @@ select b.doc_id, b.source, b.weight, b.block, b.idx,
 from blocked as b, lists as l, period as p
 where p.pick = b.i and p.p_index = b.block % b.weight
 """
+
+
+@query
+def op8_zstd_frames(spark, sf_dir):
+    """Token ids of all documents through files of independent zstandard frames."""
+    manifest, folder = frames.encode_to_files(table(spark, sf_dir, "documents"))
+    return frames.read_documents(spark, manifest, folder).select(
+        "doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op10_bpe_tree(spark, sf_dir):
+    """Byte-level BPE of all documents by tree reduction, and back."""
+    return bpe_tree.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_warc_salvage(spark, sf_dir):
+    """Pages through WARC archives and the salvage reader."""
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.where(F.col("record_type").isin("response", "revisit")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op2_zstd_language(spark, sf_dir):
+    """Language of every document by compression with per-language dictionaries."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_semi_markov_pii(spark, sf_dir):
+    """Personal data of every document: base patterns and semi-Markov CRF."""
+    return pii_crf.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_warc_salvage"] = r"""
+with p as (
+  select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
+g as (
+  select *, min(page_id) over (partition by payload) as first from p)
+select page_id, strlen(payload)::bigint as payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int,
+                1)), 'string_agg', '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id = first then null else first end as refers_to
+from g
+"""
