@@ -4,7 +4,9 @@ For each language a zstandard raw-content dictionary is cut from labelled texts.
 A lower-cased text is encoded with every dictionary, block by block, and the language whose
 dictionary gives the fewest bytes wins (ties: the smaller language name). The
 prediction is rejected when the margin is narrow: the bytes saved against the
-runner-up, as a share of the runner-up's.
+runner-up, as a share of the runner-up's. A short text would be stored as it is,
+whatever the dictionary; it is encoded behind a lead that every dictionary ends
+with, so that each of its own matches counts.
 
 Learning reads a bounded sample: `SAMPLE_DOCS` labelled texts per language, those
 with the smallest hashes of doc_id, of which at most `SAMPLE_CHARS` characters
@@ -39,6 +41,8 @@ MAX_LANGUAGES = 1024
 BLOCK = 1024               # characters encoded on their own, so dictionaries always matter
 LEVEL = 6
 MIN_MARGIN = 0.002
+SHORT = 256                # characters below which a text is encoded behind LEAD
+LEAD = b"".join(b"%05d\n" % (i * 7919 % 100_000) for i in range(48))
 UNKNOWN = "und"
 PREDICTION = "lang_pred string, score double, margin double, rejected boolean"
 LETTER = re.compile(r"[^\W\d_]")
@@ -86,7 +90,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     for lang, pieces in sorted(texts.items()):
         share = max(1, DICT_BYTES // max(1, len(pieces)))
         data = b"".join(p.encode("utf-8")[:max(share, 512)] + b"\n" for p in pieces)
-        out[lang] = data[:DICT_BYTES]
+        out[lang] = data[:DICT_BYTES - len(LEAD)] + LEAD
     return out
 
 
@@ -101,7 +105,10 @@ class Compressors:
         if not text or not self.langs or not LETTER.search(text):
             return (UNKNOWN, 0.0, 0.0, True)
         text = text.lower()
-        blocks = [text[i:i + BLOCK].encode("utf-8") for i in range(0, len(text), BLOCK)]
+        if len(text) < SHORT:
+            blocks = [LEAD + f" {text} ".encode()]
+        else:
+            blocks = [text[i:i + BLOCK].encode("utf-8") for i in range(0, len(text), BLOCK)]
         sizes = [sum(len(z.compress(b)) for b in blocks) for z in self.own]
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         rivals = [s for i, s in enumerate(sizes) if i != best] or [
