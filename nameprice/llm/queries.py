@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameprice.llm import (bpe_tree, chunk_dedup, frames, histogram_sort, langid, pfair, pii_crf,
-                           warc)
+from nameprice.llm import (bpe_tree, chunk_dedup, frames, histogram_sort, langid, odd_sketch,
+                           pfair, pii_crf, warc)
 from nameprice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,10 @@ select page_id, strlen(payload)::bigint as payload_bytes,
        case when page_id = first then null else first end as refers_to
 from g
 """
+
+
+@query
+def op9_odd_sketch(spark, sf_dir):
+    """Components of near copies (Jaccard of five-word shingles at least 0.85)."""
+    out = odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
