@@ -25,6 +25,7 @@ import hashlib
 import heapq
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
@@ -169,6 +170,21 @@ def encoder(path: str) -> TreeBPE:
     return TreeBPE(path)
 
 
+def encoded(docs: DataFrame, path: str = RANKS) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, intact): the ids of every whole text, and
+    whether decoding them gives its bytes again."""
+    @worker_udf("ids array<int>, intact boolean")
+    def encode(texts: pd.Series) -> pd.DataFrame:
+        own, rows = encoder(path), []
+        for text in texts:
+            ids = own.encode(text or "")
+            rows.append((np.array(ids, dtype=np.int32),
+                         own.decode(ids) == (text or "").encode("utf-8")))
+        return pd.DataFrame(rows, columns=["ids", "intact"])
+    return docs.select("doc_id", "lang", "source", encode(F.col("text")).alias("e")).select(
+        "doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.*")
+
+
 def ids_of(text: Column, path: str = RANKS) -> Column:
     """Ids of a text as array<int>."""
     @worker_udf("array<int>")

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameprice.llm import (bpe_tree, chunk_dedup, frames, histogram_sort, langid, odd_sketch,
-                           pfair, pii_crf, warc)
+from nameprice.llm import (bpe_tree, chunk_dedup, frames, histogram_sort, kmeans_tree, langid,
+                           odd_sketch, pfair, pii_crf, warc)
 from nameprice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,9 @@ def op9_odd_sketch(spark, sf_dir):
     """Components of near copies (Jaccard of five-word shingles at least 0.85)."""
     out = odd_sketch.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op4_kmeans_tree(spark, sf_dir):
+    """The 20 nearest of every 20th embedding by a k-means tree, best bin first."""
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
