@@ -104,9 +104,9 @@ def exact_dedup(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxha
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` (all their columns) that stay, one per group of equal texts."""
     stay = exact_dedup(docs).where("kept").select(
-        F.col("doc_id").alias("_keep_doc"), F.col("text_sha256").alias("_keep_sha"))
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    on = keyed.doc_id.eqNullSafe(F.col("_keep_doc")) & (F.col("_sha") == F.col("_keep_sha"))
+        F.col("doc_id").alias("__keep_doc"), F.col("text_sha256").alias("__keep_sha"))
+    keyed = docs.withColumn("__norm_sha", F.sha2(normalised(F.col("text")), 256))
+    on = keyed.doc_id.eqNullSafe(F.col("__keep_doc")) & (F.col("__norm_sha") == F.col("__keep_sha"))
     found = keyed.join(stay, on, "left_semi")
     # rows that repeat a doc_id and its text: one stays
-    return found.dropDuplicates(["doc_id", "_sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.dropDuplicates(["doc_id", "__norm_sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])

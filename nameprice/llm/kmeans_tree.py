@@ -303,7 +303,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS,
 
     def meet(stored: pd.DataFrame, called: pd.DataFrame) -> pd.DataFrame:
         if not len(stored) or not len(called):
-            return pd.DataFrame({"qkey": [], "scores": [], "ids": []})
+            return pd.DataFrame([], columns=["qkey", "scores", "ids"], dtype=object)
         found = list(search(matrix(called["query"]), matrix(stored["embedding"]),
                             list(stored["ids"]), k + 1))
         return pd.DataFrame({"qkey": called["qkey"].to_numpy(), "scores": [s for s, _ in found],

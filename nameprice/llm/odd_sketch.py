@@ -273,5 +273,5 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def drop_near_copies(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `docs` (all columns) that stay: one document per component."""
     stay = near_duplicates(docs, threshold).where("kept").select(
-        F.col("doc_id").alias("_keep_doc")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(F.col("_keep_doc")), "left_semi")
+        F.col("doc_id").alias("__keep_doc")).distinct()
+    return docs.join(stay, docs.doc_id.eqNullSafe(F.col("__keep_doc")), "left_semi")

@@ -113,6 +113,6 @@ def keep_mix(docs: DataFrame, weights: dict | None = None,
              block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of `docs` (all columns) that the mix draws."""
     drawn = mix(docs, weights, block_rows).where("in_mix").select(
-        F.col("doc_id").alias("_m_doc"), F.col("source").alias("_m_source"))
-    on = same(docs.doc_id, F.col("_m_doc")) & same(docs.source, F.col("_m_source"))
+        F.col("doc_id").alias("__mix_doc"), F.col("source").alias("__mix_source"))
+    on = same(docs.doc_id, F.col("__mix_doc")) & same(docs.source, F.col("__mix_source"))
     return docs.join(drawn, on, "left_semi")

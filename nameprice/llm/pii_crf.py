@@ -120,7 +120,7 @@ FEATURES = (
     "digits>19", "luhn", "one group", "two groups", "three groups", "four groups", "five groups",
     "more groups", "octets", "fours", "tail 3-4", "plus", "parenthesis", "unbalanced",
     "one joiner", "more joiners", "letters", "domain", "dots only", "dashes only", "blanks only",
-    "dots four groups", "date", "cut left", "cut right", "letters no joiner", "long")
+    "dots four groups", "date", "cut left", "joined left", "cut right", "letters no joiner", "long")
 PLACE = {name: i for i, name in enumerate(FEATURES)}
 
 
@@ -132,12 +132,12 @@ def features(text: str, start: int, end: int) -> np.ndarray:
     joiners = JOINER.findall(span)
     letters = any(c.isalpha() for c in span)
     hit = ["bias"]
-    hit.append("digits<7" if n < 7 else "digits7-9" if n < 10 else "digits10-11" if n < 12
-               else "digits12-15" if n < 16 else "digits16" if n == 16
-               else "digits17-19" if n < 20 else "digits>19")
-    names = ("one group", "two groups", "three groups", "four groups", "five groups")
-    if groups:
-        hit.append(names[len(groups) - 1] if len(groups) <= 5 else "more groups")
+    if not letters:          # digit counts say nothing about a span with a name in it
+        hit.append("digits<7" if n < 7 else "digits7-9" if n < 10 else "digits10-11" if n < 12
+                   else "digits12-15" if n < 16 else "digits16" if n == 16
+                   else "digits17-19" if n < 20 else "digits>19")
+        names = ("one group", "two groups", "three groups", "four groups", "five groups")
+        hit.append(names[len(groups) - 1] if 0 < len(groups) <= 5 else "more groups")
     if not letters and 13 <= n <= 19 and luhn(digits):
         hit.append("luhn")
     if not letters and len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups):
@@ -174,6 +174,8 @@ def features(text: str, start: int, end: int) -> np.ndarray:
         hit.append("date")
     if start and text[start - 1].isalnum():
         hit.append("cut left")
+    elif start and text[start - 1] in "._%+-":
+        hit.append("joined left")
     if end < len(text) and text[end].isalnum():
         hit.append("cut right")
     if end - start > 40:
