@@ -41,7 +41,7 @@ from nameprice.llm.segments import CACHE_ENTRIES, blocks, parts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-LEVEL = 3
+LEVEL = 1
 FILE_BYTES = 64 << 20
 # FIXED VALUES of the zstd seekable format
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -97,7 +97,7 @@ class CachedTokenizer:
                     self.known.clear()
                     new = list(set(pieces))
                 self._learn(new)
-            out += map(self.known.__getitem__, pieces)
+            out.append(b"".join(map(self.known.__getitem__, pieces)))
         return b"".join(out)
 
 

@@ -1,8 +1,9 @@
 """Cutting texts where no pre-token of the byte-level pattern can span.
 
-A pre-token never runs from a non-space into white space, so a text may be cut
-before every blank, tab or line end that follows a non-space, and the parts
-tokenised independently. Parts repeat far more often than texts do, so workers
+A pre-token never runs from a non-space into white space, and a run of letters ends
+where another character follows, so a text may be cut before every blank, tab or
+line end that follows a non-space and behind a word, and the parts tokenised
+independently. Parts repeat far more often than texts do, so workers
 keep a bounded cache of them. Texts with rarer white space go in one part.
 """
 
@@ -11,12 +12,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-PART = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+# letters that an ASCII character or the end follows are a pre-token of their own;
+# else everything up to the next white space goes together
+_WORD = "A-Za-zÀ-ÖØ-öø-ɏ"
+PART = re.compile(rf"[ \t\n\r]*+[{_WORD}]++(?=[\x00-\x7f]|$)|[ \t\n\r]*+[^ \t\n\r]++|[ \t\n\r]++")
 RARE_SPACE = re.compile(
     "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 SAFE_CUT = re.compile(r"(?<=[^ \t\n\r])[ \t\n\r]")
 BLOCK = 1 << 18
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 800_000
 
 
 def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
