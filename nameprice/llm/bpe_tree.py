@@ -23,6 +23,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -38,18 +40,35 @@ from nameprice.llm.segments import CACHE_ENTRIES, blocks, parts
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LEAF = 48                  # bytes encoded directly
 DECODE_LEAF = 4096         # ids decoded directly
-ENCODED = "ids array<int>"
+NONE = 1 << 62             # rank of a pair that is no token
+MAX_CACHED = 64           # characters of a part that is remembered
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+class Remembered(dict):
+    """Bounded cache of encoded parts."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.encode(part)
+        if len(part) <= MAX_CACHED:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class TreeBPE:
     def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {i: token for token, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.pretokens: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.decimal = [b"%d" % i for i in range(max(self.bytes_of) + 1)]
+        self.parts = Remembered(self.encode_part)
         self.stable = lru_cache(maxsize=200_000)(self._stable)
 
     def merge(self, data: bytes) -> list[int]:
@@ -58,15 +77,18 @@ class TreeBPE:
         if len(data) > 2 * LEAF:
             return self._merge_long(data)
         words = [data[i:i + 1] for i in range(len(data))]
-        while len(words) > 1:
-            best, at = None, -1
-            for i in range(len(words) - 1):
-                rank = ranks.get(words[i] + words[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        pairs = [ranks.get(data[i:i + 2], NONE) for i in range(len(data) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == NONE:
                 break
+            at = pairs.index(best)
             words[at:at + 2] = [words[at] + words[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = ranks.get(words[at] + words[at + 1], NONE)
+            if at:
+                pairs[at - 1] = ranks.get(words[at - 1] + words[at], NONE)
         return [ranks[w] for w in words]
 
     def _merge_long(self, data: bytes) -> list[int]:
@@ -119,32 +141,23 @@ class TreeBPE:
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
-    def encode_pretoken(self, word: str) -> tuple[int, ...]:
-        ids = self.pretokens.get(word)
-        if ids is None:
-            data = word.encode("utf-8")
-            whole = self.ranks.get(data)
-            ids = (whole,) if whole is not None else tuple(self.tree(data))
-            if len(self.pretokens) >= CACHE_ENTRIES:
-                self.pretokens.clear()
-            self.pretokens[word] = ids
-        return ids
+    def encode_pretoken(self, word: str) -> list[int]:
+        data = word.encode("utf-8")
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else self.tree(data)
+
+    def encode_part(self, part: str) -> bytes:
+        """Ids of a part as native 32-bit integers."""
+        return array("I", [i for word in self.pattern.findall(part)
+                           for i in self.encode_pretoken(word)]).tobytes()
 
-    def encode_part(self, part: str) -> tuple[str, tuple[int, ...]]:
-        """Ids of a part and their decimal list."""
-        found = self.parts.get(part)
-        if found is None:
-            ids = tuple(i for word in self.pattern.findall(part) for i in self.encode_pretoken(word))
-            found = (",".join(map(str, ids)), ids)
-            if len(part) > 64:
-                return found
-            if len(self.parts) >= CACHE_ENTRIES:
-                self.parts.clear()
-            self.parts[part] = found
-        return found
+    def encode_block(self, block: str) -> list[int]:
+        ids = array("I")
+        ids.frombytes(b"".join(map(self.parts.__getitem__, parts(block))))
+        return ids.tolist()
 
     def encode(self, text: str) -> list[int]:
-        return [i for block in blocks(text) for part in parts(block) for i in self.encode_part(part)[1]]
+        return [i for block in blocks(text) for i in self.encode_block(block)]
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= DECODE_LEAF:
@@ -156,10 +169,9 @@ class TreeBPE:
         """Number of ids, SHA-256 of the decimal ids and of the decoded bytes."""
         n, listed, decoded = 0, hashlib.sha256(), hashlib.sha256()
         for block in blocks(text):
-            found = [self.encode_part(part) for part in parts(block)]
-            ids = [i for _, own in found for i in own]
+            ids = self.encode_block(block)
             if ids:
-                listed.update(((b"," if n else b"") + ",".join([s for s, _ in found]).encode()))
+                listed.update(((b"," if n else b"") + b",".join(map(self.decimal.__getitem__, ids))))
                 decoded.update(self.decode(ids))
                 n += len(ids)
         return n, listed.hexdigest(), decoded.hexdigest()
