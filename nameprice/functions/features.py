@@ -281,7 +281,7 @@ UNIT_COLUMNS = (
 
 def _value_unit(x: Column) -> Column:
     v = F.regexp_extract(x, "(?U)^\\d+(?:\\.\\d+)?", 0)
-    rest = x.substr(F.length(v) + 1, F.lit(1 << 20))
+    rest = x.substr(F.length(v) + 1, F.length(x))
     u = F.regexp_replace(rest, "(?U)^\\s", "")
     return F.struct(_num(v).alias("v"), u.alias("u"))
 

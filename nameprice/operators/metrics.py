@@ -3,6 +3,9 @@
 A prediction table is long: (product_id, model, y, yhat[, split]). Every
 metric is one `groupBy` with partial aggregation, so a model or split that
 holds a third of the rows is still combined map-side before the shuffle.
+
+A missing prediction (NULL or NaN) is not scored: every metric averages over the
+scored rows, and `n` (rows) and `n_scored` are reported side by side.
 """
 
 from __future__ import annotations
@@ -12,19 +15,25 @@ from pyspark.sql import functions as F
 
 
 def clip_floor(c: Column, floor: float) -> Column:
-    return F.greatest(c.cast("double"), F.lit(float(floor)))
+    """greatest(c, floor); a missing value stays missing."""
+    x = c.cast("double")
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(float(floor))))
 
 
-def smape_term(y: Column, yhat: Column, floor: float | None = 0.0) -> Column:
-    """|y−p| / ((|y|+|p|)/2) with p clipped at `floor`; 0 when both are 0.
+def scored(y: Column, yhat: Column) -> Column:
+    """True where both sides are numbers."""
+    t, p = y.cast("double"), yhat.cast("double")
+    return t.isNotNull() & p.isNotNull() & ~F.isnan(t) & ~F.isnan(p)
 
-    NaN terms (NaN predictions) become NULL so `avg` skips them, like nanmean.
-    """
+
+def smape_term(y: Column, yhat: Column, floor: float | None = 0.0) -> Column:
+    """|y−p| / ((|y|+|p|)/2) with p clipped at `floor`; 0 when both are 0, NULL
+    (skipped by `avg`) when either side is missing."""
     p = clip_floor(yhat, floor) if floor is not None else yhat.cast("double")
     t = y.cast("double")
     den = (F.abs(t) + F.abs(p)) / F.lit(2.0)
     term = F.when(den == 0, F.lit(0.0)).otherwise(F.abs(t - p) / den)
-    return F.when(F.isnan(p) | F.isnan(t), F.lit(None)).otherwise(term)
+    return F.when(scored(t, p), term)
 
 
 def smape(y: Column, yhat: Column, floor: float | None = 0.0) -> Column:
@@ -33,11 +42,11 @@ def smape(y: Column, yhat: Column, floor: float | None = 0.0) -> Column:
 
 
 def mae(y: Column, yhat: Column) -> Column:
-    return F.avg(F.abs(y.cast("double") - yhat.cast("double")))
+    return F.avg(F.when(scored(y, yhat), F.abs(y.cast("double") - yhat.cast("double"))))
 
 
 def rmse(y: Column, yhat: Column) -> Column:
-    d = y.cast("double") - yhat.cast("double")
+    d = F.when(scored(y, yhat), y.cast("double") - yhat.cast("double"))
     return F.sqrt(F.avg(d * d))
 
 
@@ -47,6 +56,7 @@ def metrics_by(preds: DataFrame, keys: list[str], floor: float = 1.0,
     p = clip_floor(F.col(yhat), floor)
     return preds.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
+        F.count_if(scored(F.col(y), p)).cast("bigint").alias("n_scored"),
         smape(F.col(y), p, None).alias("smape"),
         mae(F.col(y), p).alias("mae"),
         rmse(F.col(y), p).alias("rmse"),
@@ -77,11 +87,16 @@ def metrics_long(comparison: DataFrame) -> DataFrame:
 
 def best_model(comparison: DataFrame, metric: str = "val_smape",
                order_col: str | None = None) -> DataFrame:
-    """Arg-min with a deterministic tie rule (metric, then order column / name)."""
+    """Arg-min with a deterministic tie rule (metric, then order column / name).
+
+    A missing score (a failed run) never wins; without any score both are NULL.
+    """
     tie = F.col(order_col) if order_col else F.col("model")
-    return comparison.agg(
-        F.min_by(F.col("model"), F.struct(F.col(metric), tie)).alias("best_model"),
-        F.min(F.col(metric)).alias(metric))
+    score = F.col(metric)
+    usable = score.isNotNull() & ~F.isnan(score)
+    best = F.min(F.when(usable, F.struct(score.alias("s"), tie.alias("t"), F.col("model").alias("m"))))
+    return comparison.agg(best.alias("b")).select(
+        F.col("b.m").alias("best_model"), F.col("b.s").alias(metric))
 
 
 def format_percent(c: Column, decimals: int = 2) -> Column:

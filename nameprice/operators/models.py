@@ -9,9 +9,10 @@ Design notes
   SparseVector (one builder call per document); hstack = VectorAssembler.
 * Ridge: sklearn minimises ||y−Xw||² + α||w||²; MLlib minimises
   (1/2n)||y−Xw||² + (λ/2)||w||² on a label it scales by its sample std, so
-  λ = α·sd(y)/n. The only driver reads are these two scalars.
-* Trees: MLlib caps maxDepth at 30 and has no leaf-count cap, L2 term or
-  patience; early stopping is validationIndicatorCol + validationTol.
+  λ = α·sd(y)/n. The only driver reads are these two scalars. One solver
+  (L-BFGS), whatever the width.
+* Trees: MLlib caps maxDepth at 30 and has no leaf-count cap or L2 term; early
+  stopping with patience reads the held-out error after every tree.
 * Fits persist their input (MEMORY_AND_DISK) and iterative learners
   checkpoint into the shared `spark.checkpoint.dir` every 10 iterations, so
   a lost executor recomputes from the last checkpoint, not from the scan.
@@ -25,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nameprice.operators.metrics import clip_floor
@@ -50,13 +51,13 @@ THREE_CONFIGS = {  # trees, rate, depth, row sample, column sample
     "moderate": (150, 0.1, 7, 0.8, 0.8),
     "aggressive": (200, 0.15, 10, 0.7, 0.7),
 }
-HGB_CONFIGS = {  # rate, depth, min leaf, iterations, validation share
-    "light": (0.08, 10, 15, 300, 0.10), "deep": (0.06, 16, 10, 500, 0.10),
-    "shallow": (0.12, 8, 25, 250, 0.10), "stable": (0.09, 12, 18, 350, 0.10),
-    "wide": (0.05, 18, 8, 600, 0.15), "fast": (0.15, 6, 20, 180, 0.10),
-    "regularized": (0.07, 14, 12, 500, 0.12), "balanced": (0.065, 12, 16, 420, 0.10),
-    "ultra": (0.04, 20, 8, 700, 0.15), "extreme": (0.03, 24, 6, 900, 0.18),
-    "lowlr": (0.02, 18, 5, 1100, 0.20),
+HGB_CONFIGS = {  # rate, depth, min leaf, iterations, validation share, patience
+    "light": (0.08, 10, 15, 300, 0.10, 20), "deep": (0.06, 16, 10, 500, 0.10, 30),
+    "shallow": (0.12, 8, 25, 250, 0.10, 15), "stable": (0.09, 12, 18, 350, 0.10, 25),
+    "wide": (0.05, 18, 8, 600, 0.15, 40), "fast": (0.15, 6, 20, 180, 0.10, 10),
+    "regularized": (0.07, 14, 12, 500, 0.12, 30), "balanced": (0.065, 12, 16, 420, 0.10, 20),
+    "ultra": (0.04, 20, 8, 700, 0.15, 40), "extreme": (0.03, 24, 6, 900, 0.18, 50),
+    "lowlr": (0.02, 18, 5, 1100, 0.20, 60),
 }
 
 
@@ -89,23 +90,13 @@ def _label(df: DataFrame, label: str, log_target: bool) -> DataFrame:
     return df.withColumn("_label", F.log1p(y) if log_target else y)
 
 
-NORMAL_SOLVER_MAX_FEATURES = 4096
-
-
-def estimator(cfg: ModelConfig, n_train: int | None = None, sd_label: float | None = None,
-              n_features: int | None = None, sd_pop: float | None = None):
+def estimator(cfg: ModelConfig, n_train: int | None = None, sd_label: float | None = None):
     p = dict(cfg.params)
     common = dict(featuresCol="features", labelCol="_label", predictionCol="_pred")
     if cfg.kind == "ridge":
-        alpha = p.pop("alpha")
-        n = max(n_train or 1, 1)
-        if n_features is not None and n_features <= NORMAL_SOLVER_MAX_FEATURES:
-            # one distributed pass for the Gram matrix (n_features² ≤ 16M doubles)
-            return LinearRegression(regParam=alpha * (sd_pop or 1.0) / n, elasticNetParam=0.0,
-                                    standardization=False, solver="normal", **common)
-        return LinearRegression(regParam=alpha * (sd_label or 1.0) / n, elasticNetParam=0.0,
-                                standardization=False, solver="l-bfgs",
-                                maxIter=p.pop("maxIter", 200), **common)
+        lam = p.pop("alpha") * (sd_label or 1.0) / max(n_train or 1, 1)
+        return LinearRegression(regParam=lam, elasticNetParam=0.0, standardization=False,
+                                solver="l-bfgs", maxIter=p.pop("maxIter", 500), tol=1e-9, **common)
     if cfg.kind in ("lasso", "elasticnet"):
         mix = 1.0 if cfg.kind == "lasso" else p.pop("l1_ratio", 0.5)
         return LinearRegression(regParam=p.pop("alpha"), elasticNetParam=mix,
@@ -127,22 +118,79 @@ def fit_evaluate(cfg: ModelConfig, data: DataFrame, label: str = "price",
     ensure_checkpoint_dir(data.sparkSession)
     staged = _label(data, label, cfg.log_target).persist(StorageLevel.MEMORY_AND_DISK)
     train = staged.where(F.col(split_col) == "train")
-    n_train, sd, sd_pop, width = None, None, None, None
-    if cfg.kind == "ridge":
-        row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_label").alias("sd"),
-                        F.stddev_pop("_label").alias("sdp")).first()
-        n_train, sd, sd_pop = int(row["n"]), float(row["sd"] or 1.0), float(row["sdp"] or 1.0)
-        width = data.schema["features"].metadata.get("ml_attr", {}).get("num_attrs")
     t0 = time.perf_counter()
-    model = estimator(cfg, n_train, sd, width, sd_pop).fit(train)
+    model = _fit(cfg, train)
     seconds = time.perf_counter() - t0
-    pred = F.expm1("_pred") if cfg.log_target else F.col("_pred")
-    out = model.transform(staged).select(
+    staged.unpersist()
+    out = predict(cfg, model, data, floor, label).select(
         id_col, F.lit(cfg.name).alias("model"), F.col(split_col).alias("split"),
-        F.col(label).alias("y"), clip_floor(pred, floor).alias("yhat"))
+        F.col(label).alias("y"), "yhat")
     return out, model, seconds
 
 
+def _fit(cfg: ModelConfig, train: DataFrame):
+    """Fit on rows that carry `_label`."""
+    if cfg.kind != "ridge":
+        return estimator(cfg).fit(train)
+    row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_label").alias("sd")).first()
+    return estimator(cfg, int(row["n"]), float(row["sd"] or 1.0)).fit(train)
+
+
+def predict(cfg: ModelConfig, model, data: DataFrame, floor: float = 1.0,
+            label: str = "price") -> DataFrame:
+    """`data` with `yhat`: back-transformed for log targets and clipped at `floor`."""
+    pred = F.expm1("_pred") if cfg.log_target else F.col("_pred")
+    return model.transform(data).withColumn("yhat", clip_floor(pred, floor)).drop("_pred")
+
+
+def refit(cfg: ModelConfig, data: DataFrame, label: str = "price"):
+    """Fit on every row that has a label, whatever its split."""
+    ensure_checkpoint_dir(data.sparkSession)
+    rows = _label(data.where(F.col(label).isNotNull()), label, cfg.log_target).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    model = _fit(cfg, rows)
+    rows.unpersist()
+    return model
+
+
+def best_round(errors: list[float], patience: int) -> int:
+    """Trees (1-based) at the lowest error before `patience` rounds bring no gain."""
+    best, at = float("inf"), 0
+    for i, e in enumerate(errors, 1):
+        if e < best:
+            best, at = e, i
+        elif i - at >= patience:
+            break
+    return at
+
+
+def fit_with_patience(cfg: ModelConfig, data: DataFrame, held: Column, patience: int,
+                      label: str = "price"):
+    """Boosting with early stopping: (config with the kept number of trees, errors).
+
+    Rows of the train split where `held` is true measure the error after every
+    tree. The ensemble is grown (doubling) until the best round is `patience`
+    rounds behind its end or the configured number of trees is reached; boosting
+    is sequential, so a shorter fit is a prefix of a longer one.
+    """
+    staged = _label(data.where(F.col("split") == "train"), label, cfg.log_target).withColumn(
+        "_held", held).persist(StorageLevel.MEMORY_AND_DISK)
+    fit_rows, check_rows = staged.where(~F.col("_held")), staged.where("_held")
+    most, n = cfg.params["maxIter"], 2 * patience
+    while True:
+        n = min(n, most)
+        model = estimator(ModelConfig(cfg.name, cfg.kind, {**cfg.params, "maxIter": n},
+                                      cfg.log_target)).fit(fit_rows)
+        errors = list(model.evaluateEachIteration(check_rows, "squared"))
+        kept = best_round(errors, patience)
+        if n == most or kept + patience <= n:
+            break
+        n *= 2
+    staged.unpersist()
+    return ModelConfig(cfg.name, cfg.kind, {**cfg.params, "maxIter": max(1, kept)},
+                       cfg.log_target), errors
+
+
 def feature_importance(model, names: list[str]) -> list[tuple[str, float]]:
     """(feature, importance) pairs of a fitted tree ensemble (model metadata,
     not row data)."""
@@ -150,39 +198,20 @@ def feature_importance(model, names: list[str]) -> list[tuple[str, float]]:
     return [(n, float(v)) for n, v in zip(names, imp)]
 
 
-GRAM_SVD_MAX_WIDTH = 5000
-
-
 def truncated_svd(data: DataFrame, col: str, k: int, id_col: str = "product_id"):
     """Uncentred truncated SVD; returns (singular values, V, scores DF).
 
-    Width ≤ 5000 (vocabularies are capped by max_features): one distributed
-    pass builds the Gram matrix XᵀX (width² doubles, a proven bound) and the
-    eigendecomposition is local; wider inputs use MLlib's distributed ARPACK
-    `computeSVD`, which never forms XᵀX. Scores (= U·S = X·V) are a
-    distributed IndexedRowMatrix product; V (width × k) is the only local matrix.
+    MLlib's distributed `computeSVD`; V (width × k, bounded by max_features) is the
+    only local matrix, and scores (= U·S = X·V) are a distributed product.
     """
-    import numpy as np
-    from pyspark.mllib.linalg import DenseMatrix
     from pyspark.mllib.linalg import Vectors as MVectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     def to_mllib(r):
         return IndexedRow(int(r[id_col]), MVectors.fromML(r[col]))
 
-    mat = IndexedRowMatrix(data.select(id_col, col).rdd.map(to_mllib))
-    width = int(mat.numCols())
-    if width <= GRAM_SVD_MAX_WIDTH:
-        gram = mat.computeGramianMatrix().toArray()
-        vals, vecs = np.linalg.eigh(gram)
-        order = np.argsort(vals)[::-1][:k]
-        s = np.sqrt(np.clip(vals[order], 0.0, None))
-        v_arr = vecs[:, order]
-        V = DenseMatrix(width, len(order), v_arr.flatten(order="F").tolist())
-    else:
-        svd = mat.computeSVD(k, computeU=False)
-        s, V = svd.s.toArray(), svd.V
-    return [float(x) for x in s], V, project(data, col, V, id_col)
+    svd = IndexedRowMatrix(data.select(id_col, col).rdd.map(to_mllib)).computeSVD(k, computeU=False)
+    return [float(x) for x in svd.s.toArray()], svd.V, project(data, col, svd.V, id_col)
 
 
 def project(data: DataFrame, col: str, V, id_col: str = "product_id") -> DataFrame:

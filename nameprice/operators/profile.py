@@ -119,16 +119,19 @@ def category_price_summary(df_with_category: DataFrame, cat_col: str = "primary_
                            col: str = "price") -> DataFrame:
     """Per category: count, mean, median, sample std, min, max; by mean desc.
 
-    One partial-aggregating pass: the exact median's state is a value→count
-    map per group, merged map-side like the other aggregates.
+    One partial-aggregating pass, and the distributed exact medians joined by category
+    (categories come from a fixed list).
     """
     x = F.col(col)
     stats = df_with_category.groupBy(cat_col).agg(
         F.count(x).alias("count"),
         (F.sum(x).cast("double") / F.count(x)).alias("mean"),
-        F.percentile(x.cast("double"), F.lit(0.5)).alias("median"),
         F.stddev_samp(x.cast("double")).alias("std"),
         F.min(x).cast("double").alias("min"),
         F.max(x).cast("double").alias("max"),
     )
+    medians = exact_quantiles(df_with_category, col, [0.5], [cat_col]).select(
+        F.col(cat_col).alias("_cat"), F.col("q")[0].alias("median"))
+    stats = stats.join(medians, F.col(cat_col).eqNullSafe(F.col("_cat")), "left").select(
+        cat_col, "count", "mean", "median", "std", "min", "max")
     return stats.orderBy(F.desc("mean"), F.asc(cat_col))

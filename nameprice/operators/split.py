@@ -75,42 +75,21 @@ def kth_smallest_per_group(df: DataFrame, group: str, key: str, id_col: str,
         group, F.col(key).alias("cut_key"), F.col(id_col).alias("cut_id"))
 
 
-# largest stratum ranked by one window task; beyond it, radix selection
-WINDOW_MAX_ROWS = 2_000_000
-
-
-def _window_cuts(binned: DataFrame, k: DataFrame, id_col: str) -> DataFrame:
-    """Small strata: rank each stratum in one task (size-checked by the caller)."""
-    w = Window.partitionBy("stratum").orderBy("_key", id_col)
-    ranked = binned.select("stratum", "_key", id_col).withColumn("rk", F.row_number().over(w))
-    return ranked.join(F.broadcast(k), "stratum").where(F.col("rk") == F.col("k")).select(
-        "stratum", F.col("_key").alias("cut_key"), F.col(id_col).alias("cut_id"))
-
-
 def split_stratified(df: DataFrame, id_col: str = "product_id", price_col: str = "price",
-                     q: int = 10, val_pct: int = 15, out: str = "split",
-                     window_max_rows: int = WINDOW_MAX_ROWS) -> DataFrame:
-    """Exact-size stratified split over q price-quantile strata.
+                     q: int = 10, val_pct: int = 15, out: str = "split") -> DataFrame:
+    """Exact-size stratified split over q price-quantile strata, by radix selection.
 
-    The strategy is chosen from one aggregated scalar (the largest stratum):
-    a per-stratum window when every stratum fits one task comfortably,
-    radix selection otherwise. Both give the same rows.
+    The ≤ q+1 edges are read once and become literals; sizes, cuts and labels are
+    one lazy plan.
     """
-    # the ≤ q+1 edges and the per-stratum sizes are tiny aggregates: read once,
-    # then passed as literals so the quantile pass is not repeated downstream
     row = exact_quantiles(df, price_col, qcut_probs(q)).select(F.array_distinct("q")).first()
-    edges = list(row[0] or [])
-    binned = quantile_bins(df, price_col, q, "stratum", edges).withColumn("_key", md5_key(id_col))
-    sizes = binned.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()
-    k = df.sparkSession.createDataFrame(
-        [(int(r["stratum"]), -(-int(r["n"]) * val_pct // 100)) for r in sizes],
-        "stratum int, k bigint")
-    largest = max([int(r["n"]) for r in sizes], default=0)
-    if largest <= window_max_rows:
-        cuts = _window_cuts(binned, k.where(F.col("k") > 0), id_col)
-    else:
-        cuts = kth_smallest_per_group(binned, "stratum", "_key", id_col, k)
-    joined = binned.join(F.broadcast(cuts), "stratum", "left")
+    binned = quantile_bins(df, price_col, q, "stratum", list(row[0] or [])).withColumn(
+        "_key", md5_key(id_col))
+    size = F.count(F.lit(1))
+    k = binned.groupBy("stratum").agg(
+        F.ceil(size * val_pct / F.lit(100)).cast("bigint").alias("k"))
+    cuts = kth_smallest_per_group(binned, "stratum", "_key", id_col, k)
+    joined = binned.join(F.broadcast(cuts), "stratum", "left")      # one row per stratum
     is_val = F.struct(F.col("_key"), F.col(id_col)) <= F.struct(F.col("cut_key"), F.col("cut_id"))
     s = F.when(F.col("cut_key").isNotNull() & is_val, F.lit("val")).otherwise(F.lit("train"))
     return joined.select(*df.columns, "stratum", s.alias(out))

@@ -3,13 +3,15 @@
 The split and engineered features are computed once; each (variant,
 vectoriser) frame is built once and checkpointed, and its model fits run
 concurrently from a small driver thread pool (Spark schedules the jobs).
-Failures log a NULL metric instead of a sentinel value.
+A failed fit logs a NULL metric and its reason.
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +24,14 @@ from nameprice.streaming.leaderboard import scratch_dir
 TEXT_VARIANTS = (("v1_notok", "clean_v1", False), ("v1_tok", "clean_v1", True),
                  ("v2_notok", "clean_v2", False), ("v2_tok", "clean_v2", True),
                  ("v3_tok", "clean_v3", True))
-VECTORIZERS = (
-    ("tfidf_5k_12", tfidf.TfidfConfig(5000, 3, 0.9, True), 2),
-    ("tfidf_8k_13", tfidf.TfidfConfig(8000, 2, 0.95, True), 3),
-    ("tfidf_10k_13", tfidf.TfidfConfig(10000, 2, 0.95, True), 3),
-    ("tfidf_15k_23", tfidf.TfidfConfig(15000, 2, 0.95, True), 3),
+VECTORIZERS = (  # name, vocabulary, n-gram range
+    ("tfidf_5k_12", tfidf.TfidfConfig(5000, 3, 0.9, True), (1, 2)),
+    ("tfidf_8k_13", tfidf.TfidfConfig(8000, 2, 0.95, True), (1, 3)),
+    ("tfidf_10k_13", tfidf.TfidfConfig(10000, 2, 0.95, True), (1, 3)),
+    ("tfidf_15k_23", tfidf.TfidfConfig(15000, 2, 0.95, True), (2, 3)),
 )
+# what a fit can fail with: its reason goes to the log, anything else is a fault
+FIT_ERRORS = (PySparkException, Py4JJavaError)
 
 
 def _one(cfg: models.ModelConfig, data: DataFrame, prep: str, vec: str, run_id: int):
@@ -36,15 +40,16 @@ def _one(cfg: models.ModelConfig, data: DataFrame, prep: str, vec: str, run_id:
         preds, _, secs = models.fit_evaluate(cfg, data)
         val = metrics.model_comparison(preds).select("val_smape")
         smape = F.format_string("%.4f", val.scalar())
-        t = f"{secs:.2f}"
-    except Exception:  # noqa: BLE001 — a failed run is logged, not fatal
+        t, reason = f"{secs:.2f}", F.lit(None).cast("string")
+    except FIT_ERRORS as fault:
         smape, t = F.lit(None).cast("string"), "0.00"
+        reason = F.lit(f"{type(fault).__name__}: {fault}"[:500])
     full = f"{prep}|{vec}|{cfg.name}{'_log' if cfg.log_target else ''}"
     return spark.range(1).select(
         F.lit(run_id).cast("long").alias("run_id"), F.lit(prep).alias("preprocessing"),
         F.lit(vec).alias("vectorization"), F.lit(cfg.name).alias("model"),
         F.lit(cfg.log_target).alias("use_log"), smape.alias("val_smape"),
-        F.lit(t).alias("train_time"), F.lit(full).alias("full_name"))
+        F.lit(t).alias("train_time"), F.lit(full).alias("full_name"), reason.alias("error"))
 
 
 def run_grid(spark: SparkSession, sf: str, variants, vectorizers, model_cfgs,
@@ -52,8 +57,8 @@ def run_grid(spark: SparkSession, sf: str, variants, vectorizers, model_cfgs,
     log_path = log_path or scratch_dir(spark, "experiment-log")
     run_id = 0
     for prep, cleaner, seg in variants:
-        for vec, cfg, n_max in vectorizers:
-            data, _ = model_frame(spark, sf, cfg=cfg, text=cleaner, segmented=seg, n_max=n_max)
+        for vec, cfg, ngrams in vectorizers:
+            data, _ = model_frame(spark, sf, cfg=cfg, text=cleaner, segmented=seg, ngrams=ngrams)
             jobs = []
             with ThreadPoolExecutor(max_workers=workers) as pool:
                 for m in model_cfgs:

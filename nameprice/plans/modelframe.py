@@ -24,9 +24,17 @@ _CACHE: dict[tuple, tuple[DataFrame, list[str]]] = {}
 _SPLITS: dict[tuple, DataFrame] = {}
 
 
+def _inputs(spark: SparkSession, sf: str) -> tuple:
+    """What a frame depends on: the application, and the state of the table it reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/part.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (spark.sparkContext.applicationId, sf, files.getFileStatus(path).getModificationTime(),
+            files.getContentSummary(path).getLength())
+
+
 def _split_features(spark, sf, q, p: DataFrame, cacheable: bool) -> DataFrame:
     """Split + 31 features, computed once per (sf, q) and checkpointed."""
-    key = (id(spark), sf, q)
+    key = (*_inputs(spark, sf), q)
     if cacheable and key in _SPLITS:
         return _SPLITS[key]
     feats = FT.with_basic31(p.select("product_id", "name", "price"))
@@ -38,22 +46,30 @@ def _split_features(spark, sf, q, p: DataFrame, cacheable: bool) -> DataFrame:
 
 def model_frame(spark: SparkSession, sf: str, q: int = 10, cfg: tfidf.TfidfConfig = GRID_5K,
                 text: str = "clean_v1", segmented: bool = False,
-                base: DataFrame | None = None, n_max: int = 2) -> tuple[DataFrame, list[str]]:
+                base: DataFrame | None = None, ngrams: tuple[int, int] = (1, 2),
+                extra: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """(product_id, name, price, stratum, split, tfidf, features) and feature names.
 
     The vectoriser is fit on the train split only (validation does not leak)
-    and applied to every row; `features` = hstack(tfidf, 31 engineered).
+    and applied to every row; `features` = hstack(tfidf, 31 engineered). Rows of
+    `extra` (product_id, name) have no price and the split `score`.
     """
-    key = (id(spark), sf, q, cfg, text, segmented, n_max, base is None)
+    key = (*_inputs(spark, sf), q, cfg, text, segmented, ngrams, extra is not None)
     if base is None and key in _CACHE:
         return _CACHE[key]
     p = base if base is not None else products(spark, sf)
     sp = _split_features(spark, sf, q, p, base is None)
+    if extra is not None:
+        more = FT.with_basic31(extra.select("product_id", "name")).select(
+            "*", F.lit(None).cast("long").alias("price"), F.lit(None).cast("int").alias("stratum"),
+            F.lit("score").alias("split"))
+        sp = sp.unionByName(more.select(*sp.columns))
+        p = p.select("product_id", "name").unionByName(extra.select("product_id", "name"))
     cleaned = X.CLEANERS[text]("name")
     doc_text = X.segment(cleaned) if segmented else cleaned
     docs = p.select(F.col("product_id").alias("doc_id"), doc_text.alias("text"))
     # read twice (vocabulary on train rows, weights on all rows): persist once
-    tf = tfidf.term_counts(docs, X.word_tokens(F.col("text")), tfidf.word_analyzer(1, n_max)) \
+    tf = tfidf.term_counts(docs, X.word_tokens(F.col("text")), tfidf.word_analyzer(*ngrams)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     train_ids = sp.where(F.col("split") == "train").select(F.col("product_id").alias("doc_id"))
     tf_train = tf.join(train_ids, "doc_id", "left_semi")

@@ -115,6 +115,21 @@ def standardize_features(spark, sf):
     return scale.standardize(feats, FT.BASIC31_COLUMNS, keep=["product_id"])
 
 
+NUMERIC_FEATURES = [c for c in FT.all_feature_columns() if c not in FT.STRING_FEATURES]
+
+
+@register("standardize_all_features", "select product_id, " + ",\n  ".join(
+    f"case when stddev_pop({c}) over () > 1e-9 then ({c} - avg({c}) over ()) "
+    f"/ stddev_pop({c}) over () else 0.0 end as {c}" for c in NUMERIC_FEATURES)
+    + " from (select product_id, " + ", ".join(f"cast({c} as double) as {c}" for c in NUMERIC_FEATURES)
+    + " from (" + _all_features_sql() + ") a) f", {c: 4 for c in NUMERIC_FEATURES})
+def standardize_all_features(spark, sf):
+    """K5: population z-scores of all 198 numeric features (constant columns → 0), the
+    dense part of the feature-rich frame."""
+    feats = FT.with_all_features(products(spark, sf).select("product_id", "name"))
+    return scale.standardize(feats, NUMERIC_FEATURES, keep=["product_id"])
+
+
 def _corr_sql() -> str:
     numeric = [c for c in FT.all_feature_columns() if c not in FT.STRING_FEATURES]
     casts = ", ".join(f"cast({c} as double) as {c}" for c in numeric)

@@ -14,8 +14,13 @@ MD5_BUCKET_SQL = "(('0x' || substr(md5(cast(product_id as varchar)), 1, 8))::big
 MD5_KEY_SQL = "('0x' || substr(md5(cast(product_id as varchar)), 1, 15))::bigint"
 
 
+def _clip_sql(floor: str) -> str:
+    """Clipped prediction; NULL where it is missing or not a number."""
+    return f"(case when yhat is null or isnan(yhat) then null else greatest(yhat, {floor}) end)"
+
+
 def _smape_sql(floor: str) -> str:
-    p = f"greatest(yhat, {floor})"
+    p = _clip_sql(floor)
     return (f"100.0 * avg(case when (abs(cast(y as double)) + abs({p})) / 2.0 = 0 then 0.0 "
             f"else abs(cast(y as double) - {p}) / ((abs(cast(y as double)) + abs({p})) / 2.0) end)")
 
@@ -43,14 +48,14 @@ def metrics_smape_floor1(spark, sf):
 
 
 @register("metrics_mae_rmse", """
-select model, cast(count(*) as bigint) as n,
-  avg(abs(cast(y as double) - greatest(yhat, 1.0))) as mae,
-  sqrt(avg((cast(y as double) - greatest(yhat, 1.0)) * (cast(y as double) - greatest(yhat, 1.0)))) as rmse
-from predictions group by model
+select model, cast(count(*) as bigint) as n, cast(count(p) as bigint) as n_scored,
+  avg(abs(cast(y as double) - p)) as mae,
+  sqrt(avg((cast(y as double) - p) * (cast(y as double) - p))) as rmse
+from (select *, """ + _clip_sql("1.0") + """ as p from predictions) s group by model
 """, ["mae", "rmse"])
 def metrics_mae_rmse(spark, sf):
     m = metrics.metrics_by(predictions(spark, sf), ["model"], floor=1.0)
-    return m.select("model", "n", "mae", "rmse")
+    return m.select("model", "n", "n_scored", "mae", "rmse")
 
 
 def _comparison(spark, sf):
@@ -60,7 +65,7 @@ def _comparison(spark, sf):
 
 _COMPARISON_SQL = f"""
 with s as (select *, case when {MD5_BUCKET_SQL} < 20 then 'val' else 'train' end as split,
-    greatest(yhat, 1.0) as p from predictions),
+    {_clip_sql("1.0")} as p from predictions),
 m as (select model, split,
     100.0 * avg(case when (abs(cast(y as double)) + abs(p)) / 2.0 = 0 then 0.0
         else abs(cast(y as double) - p) / ((abs(cast(y as double)) + abs(p)) / 2.0) end) as smape,
@@ -97,44 +102,52 @@ def metrics_long_q(spark, sf):
 
 @register("best_model", f"""
 with c as ({_COMPARISON_SQL})
-select arg_min(model, val_smape) as best_model, min(val_smape) as val_smape
-from (select * from c order by val_smape, model) c2
+select model as best_model, val_smape from c where val_smape is not null
+order by val_smape, model limit 1
 """, ["val_smape"])
 def best_model(spark, sf):
     """Arg-min validation SMAPE; ties go to the first model name."""
     return metrics.best_model(_comparison(spark, sf), "val_smape")
 
 
-@register("prediction_stats", """
-select model, cast(count(*) as bigint) as n,
-  min(greatest(yhat, 0.0)) as min, max(greatest(yhat, 0.0)) as max,
-  avg(greatest(yhat, 0.0)) as mean, quantile_cont(greatest(yhat, 0.0), 0.5) as median
-from predictions group by model
+@register("prediction_stats", f"""
+select model, cast(count(*) as bigint) as n, cast(count(p) as bigint) as n_scored,
+  min(p) as min, max(p) as max, avg(p) as mean, quantile_cont(p, 0.5) as median
+from (select model, {_clip_sql("0.0")} as p from predictions) s group by model
 """, ["min", "max", "mean", "median"])
 def prediction_stats(spark, sf):
     """min/max/mean/median of the clipped predictions per model."""
-    p = predictions(spark, sf).withColumn("p", metrics.clip_floor(F.col("yhat"), 0.0))
-    base = p.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("min"),
-                                  F.max("p").alias("max"), F.avg("p").alias("mean"))
+    number = F.when(~F.isnan("yhat"), F.col("yhat"))
+    p = predictions(spark, sf).withColumn("p", metrics.clip_floor(number, 0.0))
+    base = p.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.count("p").alias("n_scored"), F.min("p").alias("min"),
+        F.max("p").alias("max"), F.avg("p").alias("mean"))
     med = exact_quantiles(p, "p", [0.5], ["model"]).select("model", F.col("q")[0].alias("median"))
-    return base.join(med, "model")
+    return base.join(med, "model", "left")
 
 
 @register("validate_predictions", """
 with sub as (select pr.name as name, d.yhat as price
              from products pr join predictions d on pr.product_id = d.product_id
              where d.model = 'ridge')
-select true as columns_ok, cast(count(*) as bigint) as n_rows,
-  (select cast(count(*) as bigint) from products) as expected_rows,
-  count(*) = (select count(*) from products) as row_count_ok,
-  cast(count(*) filter (where name is null or price is null) as bigint) as null_rows,
-  cast(count(*) filter (where price < 0) as bigint) as negative_rows,
-  min(price) as min_price, max(price) as max_price, avg(price) as mean_price,
-  count(*) = (select count(*) from products)
-    and count(*) filter (where name is null or price is null) = 0
-    and count(*) filter (where price < 0) = 0 as valid
-from sub
-""", ["min_price", "max_price", "mean_price"])
+select true as columns_ok, n_rows, expected_rows, n_rows = expected_rows as row_count_ok,
+  null_rows, nan_rows, negative_rows, min_price, max_price, mean_price, median_price, messages,
+  messages = '' as valid
+from (select *, concat_ws('; ',
+    case when n_rows <> expected_rows then 'row count differs from the template' end,
+    case when null_rows > 0 then 'missing values' end,
+    case when nan_rows > 0 then 'prices that are not numbers' end,
+    case when negative_rows > 0 then 'negative prices' end) as messages
+  from (select cast(count(*) as bigint) as n_rows,
+    (select cast(count(*) as bigint) from products) as expected_rows,
+    cast(count(*) filter (where name is null or price is null) as bigint) as null_rows,
+    cast(count(*) filter (where isnan(price)) as bigint) as nan_rows,
+    cast(count(*) filter (where not isnan(price) and price < 0) as bigint) as negative_rows,
+    min(price) filter (where not isnan(price)) as min_price,
+    max(price) filter (where not isnan(price)) as max_price,
+    avg(price) filter (where not isnan(price)) as mean_price,
+    quantile_cont(price, 0.5) filter (where not isnan(price)) as median_price from sub) as c) as m
+""", ["min_price", "max_price", "mean_price", "median_price"])
 def validate_predictions(spark, sf):
     """(name, price) prediction file of the ridge model vs the products template."""
     pr = products(spark, sf)
@@ -220,23 +233,25 @@ def log_price_roundtrip(spark, sf):
     return p.select("product_id", "price", lp.alias("log_price"), F.expm1(lp).alias("price_back"))
 
 
+# each blend keeps its own partner: the two pseudo-trees take turns
+BLEND_PAIRS = [(name, w, ("tree_a", "tree_b")[i % 2])
+               for i, (name, w) in enumerate(ensemble.BLEND_RIDGE_WEIGHTS.items())]
+
+
 def _blend_sql() -> str:
-    rows = []
-    for name, w in ensemble.BLEND_RIDGE_WEIGHTS.items():
-        for t in ("tree_a", "tree_b"):
-            rows.append(f"('blend_ridge_{t}_{name}', cast({w!r} as double), '{t}')")
+    rows = [f"('blend_{name}', cast({w!r} as double), '{t}')" for name, w, t in BLEND_PAIRS]
     return f"""
 with w as (select product_id, max(y) as y,
-    max(case when model = 'ridge' then greatest(yhat, 1.0) end) as ridge,
-    max(case when model = 'tree_a' then greatest(yhat, 1.0) end) as tree_a,
-    max(case when model = 'tree_b' then greatest(yhat, 1.0) end) as tree_b
-  from predictions group by product_id),
+    max(case when model = 'ridge' then p end) as ridge,
+    max(case when model = 'tree_a' then p end) as tree_a,
+    max(case when model = 'tree_b' then p end) as tree_b
+  from (select *, {_clip_sql("1.0")} as p from predictions) s group by product_id),
 c(blend, base_weight, partner) as (values {", ".join(rows)}),
 b as (select c.blend, c.base_weight, c.partner, cast(w.y as double) as y,
     c.base_weight * w.ridge + (1.0 - c.base_weight)
       * (case when c.partner = 'tree_a' then w.tree_a else w.tree_b end) as p
   from c join w on true)
-select blend, base_weight, partner, cast(count(*) as bigint) as n,
+select blend, base_weight, partner, cast(count(*) as bigint) as n, cast(count(p) as bigint) as n_scored,
   100.0 * avg(case when (abs(y) + abs(p)) / 2.0 = 0 then 0.0 else abs(y - p) / ((abs(y) + abs(p)) / 2.0) end) as smape,
   avg(abs(y - p)) as mae, sqrt(avg((y - p) * (y - p))) as rmse
 from b group by blend, base_weight, partner
@@ -246,17 +261,18 @@ from b group by blend, base_weight, partner
 @register("blend_grid", _blend_sql(),
           {"base_weight": 6, "smape": 6, "mae": 4, "rmse": 4})
 def blend_grid(spark, sf):
-    """M13 + D4: ridge-weight grid blended with each tree model."""
-    return ensemble.blend_grid(predictions(spark, sf), "ridge", ["tree_a", "tree_b"])
+    """M13 + D4: eleven ridge + tree blends, each weight with its own partner."""
+    return ensemble.blend_grid(predictions(spark, sf), "ridge", BLEND_PAIRS)
 
 
 @register("ensemble_top2", f"""
 with c as ({_COMPARISON_SQL}),
 t as (select model, row_number() over (order by val_smape, model) as rk from c
-      order by val_smape, model limit 2),
+      where val_smape is not null order by val_smape, model limit 2),
 e as (select d.product_id, max(d.y) as y,
-    sum(case when t.rk = 1 then 0.6 else 0.4 end * greatest(d.yhat, 0.0)) as yhat
-  from predictions d join t on d.model = t.model group by d.product_id)
+    case when count(p) = 2 then sum(case when t.rk = 1 then 0.6 else 0.4 end * p) end as yhat
+  from (select *, {_clip_sql("0.0")} as p from predictions) d join t on d.model = t.model
+  group by d.product_id)
 select (select model from t where rk = 1) as model_1, (select model from t where rk = 2) as model_2,
   cast(count(*) as bigint) as n,
   100.0 * avg(case when (abs(cast(y as double)) + abs(yhat)) / 2.0 = 0 then 0.0

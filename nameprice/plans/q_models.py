@@ -11,9 +11,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nameprice.operators import metrics, models
+from nameprice.operators import metrics, models, validate
 from nameprice.plans.modelframe import model_frame
 from nameprice.plans.registry import register
+from nameprice.session import checkpoint
+from nameprice.sources import files
+from nameprice.sources.tables import products_unpriced
+from nameprice.streaming.leaderboard import scratch_dir
 
 GB_100 = models.ModelConfig("GB_100_5_lr01_log", "gbt", {
     "maxIter": 100, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8}, True)
@@ -87,17 +91,45 @@ def feature_importance(spark, sf):
     return df.orderBy(F.desc("importance"), F.asc("feature")).limit(150)
 
 
+def _scored_rows(spark, sf) -> DataFrame:
+    """Choose the best model on the validation split, refit it on every labelled
+    row and score the rows without a price; the predictions pass through the sink."""
+    unpriced = products_unpriced(spark, sf)
+    data, _ = model_frame(spark, sf, extra=unpriced)
+    cfgs = {c.name: c for c in (
+        models.ModelConfig("ridge_a3", "ridge", {"alpha": 3.0}),
+        models.ModelConfig("RF_100_10_log", "rf", {
+            "numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "all"}, True))}
+    table = _compare(spark, sf, list(cfgs.values()))
+    best = cfgs[metrics.best_model(table).first()["best_model"]]
+    scored = models.predict(best, models.refit(best, data), data.where(F.col("split") == "score"))
+    rows = checkpoint(scored.select("product_id", "name", F.col("yhat").alias("price")))
+    path = scratch_dir(spark, "predictions")
+    files.write_predictions(rows, path)
+    written = spark.read.schema(files.PREDICTION_SCHEMA).option("header", True).option(
+        "escape", '"').csv(path)
+    report = validate.validate_predictions(written, unpriced).first()
+    if not report["valid"]:
+        raise ValueError(f"predictions are not valid: {report['messages']}")
+    return rows
+
+
 @register("predict_holdout")
 def predict_holdout(spark, sf):
-    """M15 + A3: refit the RF-log model on all training rows and write (name, price)
-    predictions for the held-out rows, clipped at 1."""
-    data, _ = model_frame(spark, sf)
-    cfg = models.ModelConfig("RF_100_10_log", "rf", {
-        "numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "all"}, True)
-    preds, _, _ = models.fit_evaluate(cfg, data)
-    held = preds.where(F.col("split") == "val")
-    return held.join(data.select("product_id", "name"), "product_id").select(
-        "product_id", "name", F.col("yhat").alias("price"))
+    """M15 + A3 + C8: (product_id, name, price) of every row without a price, by the best
+    model refitted on all labelled rows; written, read back and validated."""
+    return _scored_rows(spark, sf)
+
+
+@register("predict_holdout_rows", """
+select product_id, name, true as priced, true as at_least_floor from products_unpriced
+""")
+def predict_holdout_rows(spark, sf):
+    """Every row without a price gets exactly one prediction, at or above the floor."""
+    price = F.col("price")
+    return _scored_rows(spark, sf).select(
+        "product_id", "name", price.isNotNull().alias("priced"),
+        F.coalesce(price >= 1.0, F.lit(False)).alias("at_least_floor"))
 
 
 @register("svd_components")
@@ -128,22 +160,20 @@ def tuning_three_configs(spark, sf):
 @register("hgb_config_sweep")
 def hgb_config_sweep(spark, sf):
     """M9: the eleven boosting configs on log price with early stopping: an
-    md5-bucket validation share inside train, stop when the validation
-    improvement falls under validationTol (no leaf cap / L2 / patience in MLlib)."""
-    from pyspark.sql import functions as F
-
+    md5-bucket validation share inside train and the config's patience (no leaf
+    cap / L2 in MLlib). One row per config with the number of trees kept."""
     from nameprice.operators.split import md5_bucket
 
     data, _ = model_frame(spark, sf)
     out = None
-    for name, (rate, depth, leaf, iters, share) in models.HGB_CONFIGS.items():
-        staged = data.withColumn(
-            "_is_val", md5_bucket(F.concat(F.col("product_id").cast("string"), F.lit(name)))
-            < int(round(share * 100)))
+    for name, (rate, depth, leaf, iters, share, patience) in models.HGB_CONFIGS.items():
+        held = md5_bucket(F.concat(F.col("product_id").cast("string"), F.lit(name))) \
+            < int(round(share * 100))
         cfg = models.ModelConfig(f"hist_gb_{name}", "gbt", {
             "stepSize": rate, "maxDepth": min(depth, 30), "minInstancesPerNode": leaf,
-            "maxIter": iters, "validationIndicatorCol": "_is_val", "validationTol": 0.01}, True)
-        preds, model, secs = models.fit_evaluate(cfg, staged)
+            "maxIter": iters}, True)
+        kept, _ = models.fit_with_patience(cfg, data, held, patience)
+        preds, model, secs = models.fit_evaluate(kept, data)
         row = metrics.model_comparison(preds).withColumn("train_time", F.lit(round(secs, 2))) \
             .withColumn("trees", F.lit(model.getNumTrees))
         out = row if out is None else out.unionByName(row)
@@ -152,10 +182,10 @@ def hgb_config_sweep(spark, sf):
 
 @register("grid_search_small")
 def grid_search_small(spark, sf):
-    """M12 + A7: text variants × vectorisers × ridge, each run appended to the
+    """M12 + A7: all text variants × all vectorisers × ridge, each run appended to the
     experiment log (parquet); returns the log read back, best first."""
     from nameprice.plans.grid import TEXT_VARIANTS, VECTORIZERS, run_grid
 
-    return run_grid(spark, sf, TEXT_VARIANTS, VECTORIZERS[:2],
+    return run_grid(spark, sf, TEXT_VARIANTS, VECTORIZERS,
                     [models.ModelConfig("ridge_a1", "ridge", {"alpha": 1.0})])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from nameprice.functions import text as X
 from nameprice.operators.partitioning import spread
 from nameprice.operators import tfidf
+from nameprice.plans import sql_features as SF
 from nameprice.plans.registry import register
 from nameprice.sources.tables import products, read_table
 
@@ -104,10 +105,10 @@ def tokenize_mixed_documents(spark, sf):
     return _documents(spark, sf).select("doc_id", X.segment(X.clean_tfidf("text")).alias("segmented"))
 
 
-@register("token_hashes")
+@register("token_hashes", "select product_id, first_token_hash, second_token_hash, last_token_hash "
+          "from (" + SF.tokens_sql(True) + ") t")
 def token_hashes(spark, sf):
-    """crc32 mod 2048 of the first/second/last lowercased quick token
-    (DuckDB has no crc32: rows-only here, zlib golden values in pytest)."""
+    """crc32 mod 2048 of the first/second/last lowercased quick token."""
     toks = F.transform(X.quick_tokens("name"), lambda t: F.lower(t))
     n = F.size(toks)
     first = F.when(n > 0, toks[0]).otherwise(F.lit(""))
@@ -119,10 +120,10 @@ def token_hashes(spark, sf):
         X.stable_hash(last).alias("last_token_hash"))
 
 
-def _word_ngram_sql(src: str, id_col: str, text_sql: str, n_max: int) -> str:
+def _word_ngram_sql(src: str, id_col: str, text_sql: str, n_max: int, n_min: int = 1) -> str:
     toks = fill(SQL_WORD_TOKENS, text_sql)
-    parts = [f"select {id_col}, unnest(t) as term from w"]
-    for n in range(2, n_max + 1):
+    parts = [f"select {id_col}, unnest(t) as term from w"] if n_min == 1 else []
+    for n in range(max(2, n_min), n_max + 1):
         parts.append(
             f"select {id_col}, unnest(list_transform(range(1, len(t) - {n - 2}), "
             f"lambda i: array_to_string(t[i:i + {n - 1}], ' '))) as term from w where len(t) >= {n}")

@@ -132,3 +132,30 @@ def tfidf_vocab_documents(spark, sf):
     n = read_table(spark, sf, "documents").select(F.count(F.lit(1))).scalar()
     return tfidf.fit_vocabulary(tf, n, GRID_5K)
 
+
+# the remaining vectoriser configurations: name, n-gram range, vocabulary
+OTHER_VOCABULARIES = {
+    "tfidf_vocab_3k": ((1, 2), tfidf.TfidfConfig(3000, 2, 1.0, False)),
+    "tfidf_vocab_8k_13": ((1, 3), tfidf.TfidfConfig(8000, 2, 0.95, True)),
+    "tfidf_vocab_10k_13": ((1, 3), tfidf.TfidfConfig(10000, 2, 0.95, True)),
+    "tfidf_vocab_15k_23": ((2, 3), tfidf.TfidfConfig(15000, 2, 0.95, True)),
+}
+
+
+def _register_vocabulary(name: str, ngrams: tuple[int, int], cfg: tfidf.TfidfConfig) -> None:
+    tf_sql = _word_ngram_sql(f"(select product_id as doc_id, {SEG_NAME_SQL} as s from products) p",
+                             "doc_id", "s", ngrams[1], ngrams[0])
+
+    @register(name, "with " + _vocab_sql(tf_sql, "select count(*) from products", cfg)
+              + " select term, idx, df, total, idf from vi", ["idf"])
+    def vocabulary(spark, sf):
+        docs = products(spark, sf).select(F.col("product_id").alias("doc_id"),
+                                          X.segment(X.clean_tfidf("name")).alias("text"))
+        tf = tfidf.term_counts(docs, X.word_tokens(F.col("text")), tfidf.word_analyzer(*ngrams))
+        return tfidf.fit_vocabulary(tf, _n_products(spark, sf), cfg)
+
+    vocabulary.__doc__ = f"K1: {ngrams[0]}-{ngrams[1]}-gram vocabulary of {cfg.max_features} terms."
+
+
+for _name, (_ngrams, _cfg) in OTHER_VOCABULARIES.items():
+    _register_vocabulary(_name, _ngrams, _cfg)

@@ -19,8 +19,9 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
                  "benchmark", "labels", "conversations")
 
-# FIXED VALUES: pseudo-model names and multipliers of the `predictions` view
-PSEUDO_MODELS = (("ridge", 37), ("tree_a", 13), ("tree_b", 7))
+# FIXED VALUES: pseudo-model names and multipliers of the `predictions` view; the
+# model `failed` has no prediction at all
+PSEUDO_MODELS = (("ridge", 37), ("tree_a", 13), ("tree_b", 7), ("failed", 0))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +51,18 @@ def _suffix(k6: Column, size: Column) -> Column:
             .otherwise(F.lit("黃金手錶 !?")))
 
 
+# FIXED VALUES: price per unit of size for each tail of the products view, by p_partkey % 6
+TAIL_PRICES = (11, 3, 40, 25, 8, 300)
+
+
+def _price(k: Column, size: Column) -> Column:
+    """What the name says (tail, size, prefix), ±10 % noise, every 41st a hundredfold."""
+    per = F.element_at(F.array(*[F.lit(v) for v in TAIL_PRICES]), (k % 6 + 1).cast("int"))
+    noise = F.lit(90) + (k * 7919) % 21
+    tail = F.when(k % 41 == 0, F.lit(100)).otherwise(F.lit(1))
+    return F.floor((size * per + 50) * (k % 8 + 10) * noise / 1000) * tail
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(product_id, name, price): one product per part, nulls, zeros, heavy tail."""
     part = read_table(spark, sf_dir, "part")
@@ -57,13 +70,20 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(k % 97 == 0, F.lit(None).cast("string")).otherwise(F.concat(
         _prefix(k % 8), F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" "),
         F.col("p_type"), F.lit(" "), _suffix(k % 6, F.col("p_size"))))
-    factor = F.when(k % 41 == 0, F.lit(100)).otherwise(F.lit(1))
-    price = F.when(k % 50 == 0, F.lit(0)).otherwise(
-        F.floor(F.col("p_retailprice") * (k % 7 + 1) * factor))
+    price = F.when(k % 50 == 0, F.lit(0)).otherwise(_price(k, F.col("p_size")))
     return part.select(k.alias("product_id"), name.alias("name"),
                        price.cast("bigint").alias("price"))
 
 
+def products_unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(product_id, name): products still without a price, one per part, decorated otherwise."""
+    part = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    name = F.concat(_prefix((k + 3) % 8), F.col("p_name"), F.lit(" "), F.col("p_brand"), F.lit(" "),
+                    F.col("p_type"), F.lit(" "), _suffix((k + 1) % 6, F.col("p_size")))
+    return part.select((-k - 1).alias("product_id"), name.alias("name"))
+
+
 def products_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One product row per lineitem (bench input, ~ the surveyed train size).
 
@@ -85,9 +105,9 @@ def products_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
-    """Long prediction table (product_id, model, y, yhat): three models per product.
+    """Long prediction table (product_id, model, y, yhat): four models per product.
 
-    The model list is a generator over each row (narrow, no join).
+    Some predictions are NULL or NaN; all of the model `failed` are NULL. The model list is a generator over each row (narrow, no join).
     """
     base = base if base is not None else products(spark, sf_dir)
     models = F.explode(F.array(*[
@@ -95,7 +115,10 @@ def predictions(spark: SparkSession, sf_dir: str, base: DataFrame | None = None)
     exploded = base.select("product_id", "price", models.alias("m"))
     pid = F.col("product_id")
     wobble = ((pid * F.col("m.k")) % 41 - 20).cast("double") / F.lit(100.0)
-    yhat = F.when(pid % 29 == 0, F.lit(-5.0)).otherwise(
+    missing = (F.col("m.model") == "failed") | (pid % 53 == 0)
+    yhat = F.when(missing, F.lit(None)).when(
+        (pid + F.col("m.k")) % 59 == 0, F.lit(float("nan"))).when(
+        pid % 29 == 0, F.lit(-5.0)).otherwise(
         F.col("price").cast("double") * (F.lit(1.0) + wobble))
     return exploded.select(pid, F.col("m.model").alias("model"),
                            F.col("price").alias("y"), yhat.alias("yhat"))
@@ -124,6 +147,7 @@ def experiment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FIXTURES = {
     "products": products,
+    "products_unpriced": products_unpriced,
     "products_large": products_large,
     "predictions": predictions,
     "experiment_log": experiment_log,

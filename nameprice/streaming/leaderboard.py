@@ -53,26 +53,40 @@ def run_stats(spark: SparkSession, src: str, out: str, available_now: bool = Tru
     return spark.read.parquet(out)
 
 
+TOP_SCHEMA = "run_id long, full_name string, val_smape double, train_time double"
+
+
 def run_top_k(spark: SparkSession, src: str, out: str, k: int = 5) -> DataFrame:
-    """Running k best runs (val_smape asc, append order), merged per micro-batch."""
+    """Running k best runs (val_smape asc, append order), merged per micro-batch.
+
+    The state belongs to the epoch: batch e reads version e - 1 and overwrites
+    version e, so a retried epoch is not merged twice and a restarted query goes
+    on where its committed offsets are.
+    """
     typed = leaderboard.typed_log(log_stream(spark, src))
-    state = {"version": 0}
 
     def merge(batch: DataFrame, epoch: int) -> None:
         best = leaderboard.top_k(batch, k)
-        if state["version"] > 0:
-            prev = spark.read.parquet(f"{out}/v{state['version']}")
-            best = leaderboard.top_k(prev.unionByName(best), k)
-        state["version"] += 1
-        best.write.mode("overwrite").parquet(f"{out}/v{state['version']}")
+        if epoch > 0:
+            before = spark.read.schema(TOP_SCHEMA).parquet(f"{out}/version={epoch - 1}")
+            best = leaderboard.top_k(before.unionByName(best), k)
+        best.write.mode("overwrite").parquet(f"{out}/version={epoch}")
 
     handle = (typed.writeStream.foreachBatch(merge).trigger(availableNow=True)
               .option("checkpointLocation", out + "_ckpt").start())
     handle.awaitTermination()
-    if state["version"] == 0:
-        return spark.createDataFrame([], "run_id long, full_name string, val_smape double, "
-                                         "train_time double")
-    return spark.read.parquet(f"{out}/v{state['version']}")
+    return newest_top_k(spark, out)
+
+
+def newest_top_k(spark: SparkSession, out: str) -> DataFrame:
+    """The top-k table of the last epoch (empty before the first one)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = [int(f.getPath().getName().partition("=")[2]) for f in files.listStatus(folder)
+                if f.getPath().getName().startswith("version=")] if files.exists(folder) else []
+    if not versions:
+        return spark.createDataFrame([], TOP_SCHEMA)
+    return spark.read.schema(TOP_SCHEMA).parquet(f"{out}/version={max(versions)}")
 
 
 def write_log_files(log: DataFrame, path: str, files: int = 4) -> None:
