@@ -47,6 +47,20 @@ def blend_grid(preds: DataFrame, base: str, pairs: list[tuple[str, float, str]],
         rmse(F.col("y"), F.col("p")).alias("rmse"))
 
 
+def blend_predictions(preds: DataFrame, base: str, pairs: list[tuple[str, float, str]],
+                      floor: float = 1.0) -> DataFrame:
+    """Long predictions (product_id, model, split, y, yhat) of paired blends `blend_<name>`."""
+    names = [base, *sorted({t for _, _, t in pairs})]
+    p = clip_floor(F.col("yhat"), floor)
+    wide = preds.groupBy("product_id", "split", "y").pivot("model", names).agg(F.first(p))
+    listed = F.explode(F.array(*[F.struct(
+        F.lit(f"blend_{name}").alias("model"),
+        (F.lit(float(w)) * F.col(base) + F.lit(1.0 - w) * F.col(t)).alias("yhat"))
+        for name, w, t in pairs]))
+    return wide.select("product_id", "split", "y", listed.alias("b")).select(
+        "product_id", "b.model", "split", "y", "b.yhat")
+
+
 def weighted_top2(preds: DataFrame, ranking: DataFrame, metric: str = "val_smape",
                   weights: tuple[float, float] = (0.6, 0.4), floor: float = 0.0) -> DataFrame:
     """Ensemble of the two best models (by `metric`, ties by name), weights .6/.4.

@@ -96,7 +96,7 @@ def estimator(cfg: ModelConfig, n_train: int | None = None, sd_label: float | No
     if cfg.kind == "ridge":
         lam = p.pop("alpha") * (sd_label or 1.0) / max(n_train or 1, 1)
         return LinearRegression(regParam=lam, elasticNetParam=0.0, standardization=False,
-                                solver="l-bfgs", maxIter=p.pop("maxIter", 500), tol=1e-9, **common)
+                                solver="l-bfgs", maxIter=p.pop("maxIter", 100), tol=1e-9, **common)
     if cfg.kind in ("lasso", "elasticnet"):
         mix = 1.0 if cfg.kind == "lasso" else p.pop("l1_ratio", 0.5)
         return LinearRegression(regParam=p.pop("alpha"), elasticNetParam=mix,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nameprice.operators import metrics, models, validate
+from nameprice.operators.split import md5_bucket
 from nameprice.plans.modelframe import model_frame
 from nameprice.plans.registry import register
 from nameprice.session import checkpoint
@@ -160,26 +161,42 @@ def tuning_three_configs(spark, sf):
 @register("hgb_config_sweep")
 def hgb_config_sweep(spark, sf):
     """M9: the eleven boosting configs on log price with early stopping: an
-    md5-bucket validation share inside train and the config's patience (no leaf
-    cap / L2 in MLlib). One row per config with the number of trees kept."""
-    from nameprice.operators.split import md5_bucket
-
+    md5-bucket validation share inside train, stop when the validation error no
+    longer falls (no leaf cap / L2 in MLlib; patience: `boosting_patience`)."""
     data, _ = model_frame(spark, sf)
     out = None
-    for name, (rate, depth, leaf, iters, share, patience) in models.HGB_CONFIGS.items():
-        held = md5_bucket(F.concat(F.col("product_id").cast("string"), F.lit(name))) \
-            < int(round(share * 100))
+    for name, (rate, depth, leaf, iters, share, _) in models.HGB_CONFIGS.items():
+        staged = data.withColumn("_is_val", _held(name, share))
         cfg = models.ModelConfig(f"hist_gb_{name}", "gbt", {
             "stepSize": rate, "maxDepth": min(depth, 30), "minInstancesPerNode": leaf,
-            "maxIter": iters}, True)
-        kept, _ = models.fit_with_patience(cfg, data, held, patience)
-        preds, model, secs = models.fit_evaluate(kept, data)
+            "maxIter": iters, "validationIndicatorCol": "_is_val", "validationTol": 0.001}, True)
+        preds, model, secs = models.fit_evaluate(cfg, staged)
         row = metrics.model_comparison(preds).withColumn("train_time", F.lit(round(secs, 2))) \
             .withColumn("trees", F.lit(model.getNumTrees))
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def _held(name: str, share: float):
+    """Rows of a config's validation share: an md5 bucket of the id and its name."""
+    return md5_bucket(F.concat(F.col("product_id").cast("string"), F.lit(name))) \
+        < int(round(share * 100))
+
+
+@register("boosting_patience")
+def boosting_patience(spark, sf):
+    """M9: the `fast` config with its patience: held-out error after every tree, the best
+    number of trees kept, then refitted on the train split."""
+    rate, depth, leaf, iters, share, patience = models.HGB_CONFIGS["fast"]
+    data, _ = model_frame(spark, sf)
+    cfg = models.ModelConfig("hist_gb_fast_patience", "gbt", {
+        "stepSize": rate, "maxDepth": depth, "minInstancesPerNode": leaf, "maxIter": iters}, True)
+    kept, errors = models.fit_with_patience(cfg, data, _held("fast", share), patience)
+    preds, model, secs = models.fit_evaluate(kept, data)
+    return metrics.model_comparison(preds).withColumn("train_time", F.lit(round(secs, 2))) \
+        .withColumn("trees", F.lit(model.getNumTrees)).withColumn("rounds", F.lit(len(errors)))
+
+
 @register("grid_search_small")
 def grid_search_small(spark, sf):
     """M12 + A7: all text variants × all vectorisers × ridge, each run appended to the
@@ -188,4 +205,3 @@ def grid_search_small(spark, sf):
 
     return run_grid(spark, sf, TEXT_VARIANTS, VECTORIZERS,
                     [models.ModelConfig("ridge_a1", "ridge", {"alpha": 1.0})])
-
