@@ -102,11 +102,15 @@ def exact_dedup(docs: DataFrame, chunk_hash: Callable[[Column], Column] = F.xxha
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` (all their columns) that stay, one per group of equal texts."""
+    """The rows of `docs` (all their columns) that stay, one per group of equal texts.
+
+    Whole rows are exchanged once: the join key has no nulls, so dropping rows that
+    repeat a doc_id and its text needs no other partitioning.
+    """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     stay = exact_dedup(docs).where("kept").select(
-        F.col("doc_id").alias("__keep_doc"), F.col("text_sha256").alias("__keep_sha"))
-    keyed = docs.withColumn("__norm_sha", F.sha2(normalised(F.col("text")), 256))
-    on = keyed.doc_id.eqNullSafe(F.col("__keep_doc")) & (F.col("__norm_sha") == F.col("__keep_sha"))
-    found = keyed.join(stay, on, "left_semi")
-    # rows that repeat a doc_id and its text: one stays
-    return found.dropDuplicates(["doc_id", "__norm_sha"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        key.alias("__doc_key"), F.col("text_sha256").alias("__norm_sha"))
+    keyed = docs.withColumns({"__doc_key": key, "__norm_sha": F.sha2(normalised(F.col("text")), 256)})
+    found = keyed.join(stay, ["__doc_key", "__norm_sha"], "left_semi")
+    return found.dropDuplicates(["__doc_key", "__norm_sha"]).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
