@@ -47,7 +47,7 @@ SAMPLE = 512               # hashes folded into a sketch
 BITS = 2048
 SIGMAS = 5.0
 CELL_DOCS, CELL_SHINGLES = 1024, 2_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 SIGNATURE = "n long, digest binary, bands array<long>, sketch binary"
 
 _RANDOM = np.random.default_rng(20240229)
