@@ -27,11 +27,13 @@ def wide_predictions(preds: DataFrame, models: list[str], floor: float = 1.0) ->
         F.first("y").alias("y"), F.first(clip_floor(F.col("yhat"), floor)).alias("p"))
 
 
-def blend_grid(preds: DataFrame, base: str, pairs: list[tuple[str, float, str]],
-               floor: float = 1.0) -> DataFrame:
-    """Metrics of w·base + (1−w)·partner for each (name, w, partner), paired as listed."""
-    partners = sorted({t for _, _, t in pairs})
-    wide = wide_predictions(preds, [base] + partners, floor)
+def blend_grid(preds: DataFrame, base: str, partners: list[str],
+               weights: dict[str, float] | None = None, floor: float = 1.0) -> DataFrame:
+    """Metrics of w·base + (1−w)·partner: every named weight keeps its own partner, in the
+    order of the two lists; fewer partners than weights take turns."""
+    weights = weights or BLEND_RIDGE_WEIGHTS
+    pairs = [(name, w, partners[i % len(partners)]) for i, (name, w) in enumerate(weights.items())]
+    wide = wide_predictions(preds, [base] + sorted(set(partners)), floor)
     listed = F.explode(F.array(*[
         F.struct(F.lit(f"blend_{name}").alias("blend"), F.lit(float(w)).alias("w"),
                  F.lit(t).alias("partner"), F.col(f"{t}_p").alias("pt")) for name, w, t in pairs]))

@@ -43,7 +43,8 @@ def test_blends_keep_their_pairs(spark):
     pairs = [("one", 0.5, "s"), ("two", 0.75, "t")]
     got = {r["model"]: r["yhat"] for r in ensemble.blend_predictions(preds, "r", pairs).collect()}
     assert got == {"blend_one": 20.0, "blend_two": 20.0}
-    grid = {r["blend"]: (r["partner"], r["mae"]) for r in ensemble.blend_grid(preds, "r", pairs).collect()}
+    grid = {r["blend"]: (r["partner"], r["mae"]) for r in ensemble.blend_grid(
+        preds, "r", ["s", "t"], {"one": 0.5, "two": 0.75}).collect()}
     assert grid == {"blend_one": ("s", 10.0), "blend_two": ("t", 10.0)}
 
 
