@@ -317,6 +317,15 @@ def test_frames(docs, empty):
     assert frames.read_documents(empty.sparkSession, manifest, folder).count() == 0
 
 
+def test_a_key_that_fills_several_ranges_is_spread_over_them():
+    ends = np.array([3, 7, 7, 7, 9])
+    spots = [frames.place(ends, 7, c << 24) for c in range(256)]
+    assert spots == sorted(spots) and set(spots) == {1, 2, 3, 4}
+    every = [(k, c, frames.place(ends, k, c)) for k in range(-1, 12) for c in (0, 1 << 31, (1 << 32) - 1)]
+    assert [p for *_, p in every] == sorted(p for *_, p in every)
+    assert frames.place(np.zeros(0, dtype=np.int64), 5, 9) == 0
+
+
 def test_frames_detect_damage(tmp_path):
     import zstandard
     file = frames.SeekableFile(tmp_path.as_uri(), "f.zst")
