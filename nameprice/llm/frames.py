@@ -6,9 +6,11 @@ the seek table of the public zstd seekable format: per frame its compressed and
 decompressed size and the low 32 bits of XXH64 of its content. A reader fetches
 the table from the end of the file and decompresses only the frames it wants.
 
-Documents are encoded and compressed where they are read, checkpointed, dealt
-out by one range exchange on doc_id and streamed into files in that order; texts
-never move. A file's name is fixed by its partition and it appears by a rename,
+Ranges of doc_id of near equal row counts come from a quantile sketch over the
+doc_id column alone. Documents are encoded and compressed where they are read and
+dealt out once, by range; each range is sorted and streamed into files in order.
+Texts never move. A doc_id that fills several ranges is spread over them by
+checksum. A file's name is fixed by its range and it appears by a rename,
 so repeated or speculative task attempts leave the same file. Files go to the
 shared folder through pyarrow's file systems, chosen by URI.
 
@@ -29,6 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -36,13 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nameprice.llm.common import checkpoint, share_package, shared_folder, worker_udf
+from nameprice.llm.common import checkpoint, share_package, shared_folder
 from nameprice.llm.segments import CACHE_ENTRIES, blocks, parts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 LEVEL = 1
 FILE_BYTES = 64 << 20
+SLICE = 512                # texts that a task unpacks at once
+NULL_KEY = -(1 << 63)
 # FIXED VALUES of the zstd seekable format
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 HAS_CHECKSUMS = 0x80
@@ -106,18 +111,51 @@ def tokenizer(path: str) -> CachedTokenizer:
     return CachedTokenizer(path)
 
 
-def framed(text: Column, path: str = TOKENIZER, level: int = LEVEL) -> Column:
-    """struct(frame, size, check): the compressed ids of a text, their bytes and checksum."""
-    @worker_udf("frame binary, size long, check long")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+def ranges(docs: DataFrame, n: int) -> np.ndarray:
+    """Ascending upper ends of n - 1 ranges of the sort key of doc_id."""
+    shares = [i / n for i in range(1, n)]
+    if not shares:
+        return np.zeros(0, dtype=np.int64)
+    found = docs.agg(F.percentile_approx(sort_key(F.col("doc_id")), shares,
+                                         max(10_000, 10 * n))).first()[0]
+    return np.array(found or [], dtype=np.int64)
+
+
+def sort_key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NULL_KEY))
+
+
+def place(ends: np.ndarray, key: int, check: int) -> int:
+    """Range of a row; equal keys are dealt over all ranges that they fill, by checksum."""
+    first, last = np.searchsorted(ends, key, "left"), np.searchsorted(ends, key, "right")
+    return int(first + (check * int(last - first + 1) >> 32)) if last > first else int(first)
+
+
+def framed(docs: DataFrame, ends: np.ndarray, path: str = TOKENIZER,
+           level: int = LEVEL) -> DataFrame:
+    """(doc_id, key, range, frame, size, check): the compressed ids of every text and where
+    they go. Batches are cut into slices, so a task unpacks `SLICE` texts at once."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       sort_key(F.col("doc_id")).alias("key"), "text")
+    end = struct.pack("<I", END_ID)
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=level, write_checksum=True)
-        end, rows = struct.pack("<I", END_ID), []
-        for text in texts:
-            ids = (tokenizer(path).encode(text) if text else b"") + end
-            rows.append((packer.compress(ids), len(ids),
-                         xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
-        return pd.DataFrame(rows, columns=["frame", "size", "check"])
-    return encode(text)
+        known = tokenizer(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [(known.encode(t) if t else b"") + end for t in part.column(2).to_pylist()]
+                checks = [xxhash.xxh64_intdigest(i) & 0xFFFFFFFF for i in ids]
+                spots = [place(ends, k, c) for k, c in zip(part.column(1).to_pylist(), checks)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(spots, pa.int32()),
+                     pa.array([packer.compress(i) for i in ids], pa.binary()),
+                     pa.array([len(i) for i in ids], pa.int64()), pa.array(checks, pa.int64())],
+                    names=["doc_id", "key", "range", "frame", "size", "check"])
+
+    share_package()
+    return rows.mapInArrow(encode, "doc_id long, key long, range int, frame binary, size long, check long")
 
 
 def _skippable(magic: int, payload: bytes) -> bytes:
@@ -159,29 +197,29 @@ def write_ids(docs: DataFrame, folder: str, path: str = TOKENIZER,
 
     (file, n_docs, n_ids, bytes): a row per file; file names ascend with doc_id.
     """
-    encoded = checkpoint(docs.select("doc_id", framed(F.col("text"), path).alias("f"))
-                         .select("doc_id", "f.*"))
-    ordered = encoded.repartitionByRange("doc_id", "check").sortWithinPartitions(
-        "doc_id", "check", "frame")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    encoded = framed(docs, ranges(docs, parts), path)
+    ordered = encoded.repartitionById(parts, F.col("range")).sortWithinPartitions(
+        "range", F.col("doc_id").isNotNull(), "key", "check", "frame")
 
     def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, number, out, done = TaskContext.get().partitionId(), 0, None, []
+        out, done, now, number = None, [], None, 0
         for batch in batches:
-            for doc_id, frame, size, check in zip(
-                    batch["doc_id"], batch["frame"], batch["size"], batch["check"]):
+            for doc_id, part, frame, size, check in zip(
+                    batch["doc_id"], batch["range"], batch["frame"], batch["size"], batch["check"]):
+                if out is not None and (part != now or out.bytes >= file_bytes):
+                    done.append(out.close())
+                    out = None
                 if out is None:
+                    now, number = part, number + 1 if part == now else 0
                     out = SeekableFile(folder, f"ids-{part:07d}-{number:05d}.zst")
-                    number += 1
                 out.add(int(doc_id) if doc_id is not None else None, frame, size, check)
-                if out.bytes >= file_bytes:
-                    done.append(out.close())
-                    out = None
         if out is not None:
             done.append(out.close())
         yield pd.DataFrame(done, columns=["file", "n_docs", "n_ids", "bytes"])
 
     # a string column keeps null ids apart from numbers on the way through pandas
-    rows = ordered.select(F.col("doc_id").cast("string"), "frame", "size", "check")
+    rows = ordered.select(F.col("doc_id").cast("string"), "range", "frame", "size", "check")
     return checkpoint(rows.mapInPandas(write, MANIFEST))
 
 
