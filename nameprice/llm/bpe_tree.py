@@ -24,22 +24,25 @@ import base64
 import hashlib
 import heapq
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nameprice.llm.common import worker_udf
+from nameprice.llm.common import share_package, worker_udf
 from nameprice.llm.segments import CACHE_ENTRIES, blocks, parts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LEAF = 48                  # bytes encoded directly
 DECODE_LEAF = 4096         # ids decoded directly
+SLICE = 512                # documents whose ids a task holds at once
 NONE = 1 << 62             # rank of a pair that is no token
 MAX_CACHED = 64           # characters of a part that is remembered
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -184,17 +187,28 @@ def encoder(path: str) -> TreeBPE:
 
 def encoded(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, intact): the ids of every whole text, and
-    whether decoding them gives its bytes again."""
-    @worker_udf("ids array<int>, intact boolean")
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        own, rows = encoder(path), []
-        for text in texts:
-            ids = own.encode(text or "")
-            rows.append((np.array(ids, dtype=np.int32),
-                         own.decode(ids) == (text or "").encode("utf-8")))
-        return pd.DataFrame(rows, columns=["ids", "intact"])
-    return docs.select("doc_id", "lang", "source", encode(F.col("text")).alias("e")).select(
-        "doc_id", "lang", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.*")
+    whether decoding them gives its bytes again. Batches are cut into slices, so a task
+    holds the ids of `SLICE` documents at most."""
+    rows = docs.select("doc_id", "lang", "source", "text")
+
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = [t or "" for t in part.column(3).to_pylist()]
+                ids = [np.array(own.encode(t), dtype=np.int32) for t in texts]
+                intact = [own.decode(i.tolist()) == t.encode("utf-8") for i, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array([len(i) for i in ids], pa.int64()),
+                     pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())],
+                    names=["doc_id", "lang", "source", "n_tokens", "ids", "intact"])
+
+    share_package()
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("n_tokens", T.LongType()),
+                           T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("intact", T.BooleanType())])
+    return rows.mapInArrow(encode, schema)
 
 
 def ids_of(text: Column, path: str = RANKS) -> Column:
