@@ -47,6 +47,7 @@ NUMERIC = re.compile(r"[0-9][0-9 .-]*")
 
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 8192
+OVERSAMPLE = 16
 MAX_TOKENS = 16
 MIN_SCORE = 1.0
 ISLAND = re.compile(
@@ -347,10 +348,17 @@ def train(texts: list[str], steps: int = 60, rate: float = 0.3, decay: float = 0
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Train on a bounded sample of documents that hold digits or an address sign."""
-    seen = docs.where(F.col("text").rlike("[0-9]{3}|@")).select(
-        F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("place"),
-        "doc_id")
+    """Train on a bounded sample of documents that hold digits or an address sign.
+
+    Rows whose hashed doc_id lies below a threshold, about `OVERSAMPLE` times the
+    sample, are looked at, so tasks send the driver a bounded number of rows however
+    many there are. Rows without a doc_id are not learned from.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    share = min(1.0, OVERSAMPLE * sample_docs / max(1, docs.count()))
+    seen = docs.where(F.col("doc_id").isNotNull() & (place <= min(2 ** 63 - 1, int(share * 2 ** 63)))) \
+        .where(F.col("text").rlike("[0-9]{3}|@")).select(
+        F.substring("text", 1, SAMPLE_CHARS).alias("text"), place.alias("place"), "doc_id")
     return train([r["text"] for r in seen.orderBy("place", "doc_id", "text").limit(sample_docs).collect()])
 
 
