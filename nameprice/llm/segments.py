@@ -20,7 +20,7 @@ RARE_SPACE = re.compile(
     "[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 SAFE_CUT = re.compile(r"(?<=[^ \t\n\r])[ \t\n\r]")
 BLOCK = 1 << 18
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 
 
 def blocks(text: str, size: int = BLOCK) -> Iterator[str]:
