@@ -14,7 +14,8 @@ check: gzip member complete with its CRC, version line, header block, content
 length, closing blank lines, block and payload digests. After a failed check the
 reader searches for the next gzip member or version line at which a valid record
 starts, goes on there, and logs the bytes between as a quarantined gap with the
-reason. So one damaged stretch costs only the records that it touches.
+reason. So one damaged stretch costs only the records that it touches. A header block
+may be of any length (a url may be); a block may be as long as any value of a row.
 
 Defined cases: null html is an empty payload. A null page_id is written as `null`,
 read back as null and sorts after all others; in a group of null ids alone one is
@@ -47,7 +48,9 @@ DATE = "2000-01-01T00:00:00Z"          # fixed, so that a repeated task writes t
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 STARTS = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
-CHUNK, WINDOW, MAX_HEADER, MAX_BLOCK = 1 << 16, 1 << 20, 1 << 16, 1 << 30
+CHUNK, WINDOW, HEADER = 1 << 16, 1 << 20, 1 << 16
+# a value of a row is shorter than 2 GiB, and its url three times as long when encoded
+MAX_BLOCK, MAX_MEMBER = (1 << 31) + (1 << 16), 1 << 33
 MANIFEST = "file string, n_records long, bytes long"
 RECORD = ("file string, kind string, offset long, length long, reason string, record_type string, "
           "record_id string, target_uri string, page_id long, refers_to long, payload_bytes long, "
@@ -204,20 +207,35 @@ class Source:
         return self.size
 
 
+def _header(take: Callable[[int, int], bytes], at: int) -> bytes:
+    """Header block at `at`, read on until its blank line or a line that is none; raises Damaged."""
+    n = HEADER
+    while True:
+        head = take(at, n)
+        if not head.startswith(VERSION) or b"\r\n" not in head[:HEADER]:
+            raise Damaged("no version line")
+        stop = head.find(b"\r\n\r\n")
+        if stop >= 0:
+            return head[:stop]
+        if any(b":" not in line for line in head.split(b"\r\n")[1:-1]):
+            raise Damaged("header line without a colon")
+        if len(head) < n:
+            raise Damaged("header block does not end")
+        n *= 4
+
+
 def _parse(take: Callable[[int, int], bytes], at: int, size: int) -> tuple[Record, int]:
     """The record at `at` of uncompressed bytes and where it ends; raises Damaged."""
-    head = take(at, MAX_HEADER)
-    if not head.startswith(VERSION):
-        raise Damaged("no version line")
-    stop = head.find(b"\r\n\r\n")
-    if stop < 0:
-        raise Damaged("header block does not end")
-    headers = {}
-    for line in head[:stop].split(b"\r\n")[1:]:
+    head = _header(take, at)
+    stop, headers = len(head), {}
+    for line in head.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without a colon")
-        headers[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        key = name.decode("utf-8", "replace").lower()
+        if key in headers and key in ("warc-type", "content-length"):      # of a record cut off before
+            raise Damaged("header block runs into another one")
+        headers[key] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
     if not length.isdigit() or "warc-type" not in headers:
         raise Damaged("no type or content length")
@@ -249,7 +267,7 @@ def _member(source: Source, at: int) -> tuple[bytes, int]:
             while data and not unpacker.eof:
                 part = unpacker.decompress(data, WINDOW)
                 total += len(part)
-                if total > MAX_BLOCK + MAX_HEADER:
+                if total > MAX_MEMBER:
                     raise Damaged("gzip member is too large")
                 out.append(part)
                 data = unpacker.unconsumed_tail

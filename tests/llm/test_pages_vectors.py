@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import zlib
+from urllib.parse import unquote
 
 import numpy as np
 import pytest
@@ -63,6 +65,27 @@ def test_short_payloads_are_all_responses_and_payloads_come_back(pages):
     assert sorted(r[0] for r in listed.collect()) == sorted(r["file"] for r in manifest.collect())
 
 
+def test_long_urls_come_back(spark):
+    urls = {1: "data:text/html;base64," + "QUJD" * 50_000, 2: "http://h/" + "ü日" * 40_000, 3: "u"}
+    rows = [(i, u, "same" if i < 3 else "other", "k", 1, "p", 1) for i, u in urls.items()]
+    got = warc.round_trip(spark.createDataFrame(rows, PAGES)).where("record_type <> 'warcinfo' or "
+                                                                    "kind = 'gap'").collect()
+    assert sorted((r["page_id"], r["kind"], r["record_type"], r["refers_to"]) for r in got) == [
+        (1, "record", "response", None), (2, "record", "revisit", 1), (3, "record", "response", None)]
+    assert {r["page_id"]: unquote(r["target_uri"]) for r in got} == urls
+
+
+def test_salvage_of_plain_records_with_long_headers():
+    plain = [zlib.decompress(warc.page_record(str(i), "u" * n, b"x", 1, False, None), 31)
+             for i, n in enumerate((10, 70_000, 500_000, 20))]
+    assert salvaged(b"".join(plain)) == ([0, 1, 2, 3], [])
+    cut = plain[2][:300_000]                            # its header block never ends
+    ids, gaps = salvaged(plain[0] + cut + plain[1] + cut)
+    assert ids == [0, 1]
+    assert [(g.offset, g.length) for g in gaps] == [
+        (len(plain[0]), 300_000), (len(plain[0] + cut + plain[1]), 300_000)]
+
+
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
