@@ -3,8 +3,9 @@
 Base spans (email, ip, card, phone) come from fixed patterns and are always
 reported. Around digits and address signs lie *islands* of text, and there a
 semi-Markov CRF looks for spans that the patterns miss (an address written with
-"(at)", a number without its country code, a card number dotted in fours). It
-scores whole candidate segments, up to `MAX_TOKENS` tokens, by features of the
+"(at)" or " @ ", a number without its country code, a card number dotted in fours). It
+scores whole candidate segments, up to `MAX_TOKENS` tokens (`MAX_ADDRESS` with an address
+sign; at least seven digits, four octets or an address sign), by features of the
 entire span (digit groups, Luhn sum, octets, separators, edges) and one dynamic
 programme per island chooses boundaries and types jointly: a token is outside, or
 it belongs to exactly one segment of one type. Segments that win by
@@ -13,8 +14,8 @@ it belongs to exactly one segment of one type. Segments that win by
 The model is trained by maximum likelihood (forward-backward over segments) on a
 bounded sample: `SAMPLE_DOCS` documents that hold digits or an address sign, those
 with the smallest hashes of doc_id, up to `SAMPLE_CHARS` characters each. Gold
-segments are base spans and rewritten copies of them; dates and version numbers
-stand in as decoys. Predictions read whole
+segments are base spans and rewritten copies of them; dates, version numbers
+and handles stand in as decoys. Predictions read whole
 texts; work is linear in a text's length (an island longer than `MAX_ISLAND` goes on
 as another one).
 
@@ -49,20 +50,23 @@ SAMPLE_DOCS = 300
 SAMPLE_CHARS = 8192
 OVERSAMPLE = 16
 MAX_TOKENS = 16
+MAX_ADDRESS = 48
 MIN_SCORE = 1.0
 ISLAND = re.compile(
     r"(?:[A-Za-z0-9._%+()\[\]-]*[0-9@][A-Za-z0-9._%+@()\[\]-]*"
-    r"|[A-Za-z0-9._%+-]+ ?[(\[]at[)\] ][A-Za-z0-9.()\[\]-]*)"
+    r"|[A-Za-z0-9._%+-]+ ?(?:[(\[]at[)\] ]|@)[A-Za-z0-9.()\[\]-]*)"
     r"(?: (?:[A-Za-z0-9._%+()\[\]-]*[0-9@][A-Za-z0-9._%+@()\[\]-]*|[(\[](?:at|dot)[)\]]"
     r"|(?<=[\])@] )[A-Za-z0-9.-]+))*")
 TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 MAX_LEAD, MAX_ISLAND = 80, 4096
 DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
-DECOYS = ("2024-01-02 12:33:44", "1.2.3.4.5", "12:33:44 2024-11-30", "1234567")
+DECOYS = ("2024-01-02 12:33:44", "1.2.3.4.5", "12:33:44 2024-11-30", "1234567",
+          "hello @user", "lunch @ noon")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[(\[](?:at|dot)[)\]]|.", re.S)
 JOINER = re.compile(r" ?(?:@|[(\[]at[)\]]) ?")
 DOT = re.compile(r" ?(?:\.|[(\[]dot[)\]]) ?")
 DIGITS = re.compile(r"[0-9]+")
+OCTETS = re.compile(r"[0-9]{1,3}(?:\[?\.\]?[0-9]{1,3}){3}")
 OUTPUT = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 Span = tuple[str, int, int]
@@ -199,8 +203,10 @@ class Lattice:
         first = [text[a].isalnum() or text[a] in "+(" for a, _ in spans]
         last = [text[a].isalnum() for a, _ in spans]
         places = [(i, j) for i in range(self.n) if first[i]
-                  for j in range(i + 1, min(self.n, i + MAX_TOKENS) + 1)
-                  if last[j - 1] and (number[j] - number[i] >= 7 or sign[j] > sign[i])]
+                  for j in range(i + 1, min(self.n, i + MAX_ADDRESS) + 1)
+                  if last[j - 1] and (sign[j] > sign[i] or j - i <= MAX_TOKENS and (
+                      number[j] - number[i] >= 7 or number[j] - number[i] >= 4
+                      and OCTETS.fullmatch(text, self.cuts[i], self.cuts[j])))]
         self.at = places
         self.rows = np.array([features(text, self.cuts[i], self.cuts[j]) for i, j in places]
                              ) if places else np.zeros((0, len(FEATURES)))
@@ -263,7 +269,7 @@ def islands(text: str) -> Iterator[tuple[int, int]]:
         floor = max(done, at - MAX_LEAD)
         while start > floor and not text[start - 1].isspace():
             start -= 1
-        if text[at] in "([" and start == at and start - 1 > floor:      # "name (at) host"
+        if text[at] in "([@" and start == at and start - 1 > floor:     # "name (at) host", "name @ host"
             start -= 1
             while start > floor and not text[start - 1].isspace():
                 start -= 1

@@ -238,6 +238,34 @@ def test_crf_adds_what_the_patterns_miss():
     assert report(t) == ["email:0:6", "phone:11:25"]          # base spans stay
 
 
+@pytest.mark.parametrize("kind, span", [
+    ("email", "john.doe@example.com"), ("email", "a.b@c.d.e.f"), ("email", "x1@y2.org"),
+    ("email", "john.doe-smith_b+tag99@mail-3.my-host2.co.uk"), ("ip", "10.1.2.3"),
+    ("ip", "1.2.3.4"), ("ip", "192.168.100.200"), ("card", "4111 1111 1111 1111"),
+    ("phone", "+1 (212) 555-7713"), ("phone", "+49-30-123-4567")])
+@pytest.mark.parametrize("lead, tail", [("", ""), ("write to ", " now"), ("no 12 of (", "), or")])
+def test_every_rewrite_is_a_candidate(kind, span, lead, tail):
+    assert (0, len(span)) in pii_crf.base_spans(span)[kind]
+    new = pii_crf.rewrites(kind, span)
+    assert new
+    for form in new:
+        text, a, b = lead + form + tail, len(lead), len(lead) + len(form)
+        inside = [(s, e) for s, e in pii_crf.islands(text) if s <= a and b <= e]
+        assert len(inside) == 1, form
+        lattice = pii_crf.Lattice(text, *inside[0])
+        assert (a, b) in {(lattice.cuts[i], lattice.cuts[j]) for i, j in lattice.at}, form
+
+
+def test_crf_finds_addresses_with_blanks_and_spelled_out_hosts():
+    short = [f"host {k % 9 + 1}.{k % 7}.{k % 5}.{k} is up" for k in range(20)]
+    weights = pii_crf.train([*short, *_pii_texts()])
+    report = lambda t: [s for s in pii_crf.report(t, weights)[5].split(",") if s]
+    assert report("write john.doe @ example.com now") == ["email:6:28"]
+    assert report("a.b [at] c [dot] d [dot] e [dot] org") == ["email:0:36"]
+    assert report("host 10[.]1[.]2[.]3 is down") == ["ip:5:19"]
+    assert report("hello @user how are you, lunch @ noon") == []
+
+
 def test_segment_search_and_gradient_against_enumeration():
     rnd = np.random.default_rng(1)
     lattice = pii_crf.Lattice("(212) 555-7713 x", 0, 14)
