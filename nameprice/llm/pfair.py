@@ -9,12 +9,15 @@ keeps every source, at every prefix, less than one block from its share.
 The schedule repeats every W slots, so only one period (W rows, W is bounded by
 `resolution` plus the number of sources) is made on the driver; block i of a
 source runs in slot (i div w) * W + slot_in_period(i mod w), a join with that
-table. The mix ends before the first slot whose source has no block left: target
-weights hold to the end and nothing repeats. (`keep_mix` matches rows by doc_id and
-source, so rows repeating both go together.)
-
-Defined cases: a null source is a source of its own (first in tie order). Text
-is not read. Null doc_ids sort first; repeated rows are separate documents.
+table. A source that has run out leaves its slots unused, so in order of slots the
+others go on at their weights to each other, and every document of a weighted source
+has a slot. `in_mix` tells the rows before the first slot whose source has no block
+left, where the weights of all sources still hold; `keep_mix` keeps all rows, in order
+of their slots. (It matches rows by doc_id, source and hashed text; rows repeating all
+three share the first one's place.)
+
+Defined cases: a null source is a source of its own (first in tie order). Null
+doc_ids sort first; repeated rows are separate documents. `mix` does not read text.
 Sources without a weight, or with weight 0, take no part. An empty table gives an
 empty mix. More than `MAX_SOURCES` sources raise ValueError (no block schedule can
 serve them at this resolution).
@@ -70,10 +73,16 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
 
     (doc_id, source, weight, block, idx, release, deadline, slot, in_mix): the
     document is number `idx` of its source's block `block`, which runs in `slot`;
-    the mix is the rows with in_mix, in order of (slot, idx).
+    in_mix tells the rows before the first source runs out.
     """
-    spark = docs.sparkSession
-    counts = source_counts(docs)
+    return _schedule(docs.select("doc_id", "source"), weights, block_rows)
+
+
+def _schedule(rows: DataFrame, weights: dict | None, block_rows: int) -> DataFrame:
+    """`mix` of rows (doc_id, source, ...); further columns order rows of one doc_id and stay."""
+    spark = rows.sparkSession
+    more = [c for c in rows.columns if c not in ("doc_id", "source")]
+    counts = source_counts(rows)
     weights = tempered_weights(counts) if weights is None else weights
     names = sorted((s for s in counts if weights.get(s, 0) > 0),
                    key=lambda s: (s is not None, s or ""))
@@ -91,8 +100,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
     end = min(((b // w[i]) * total + at[i][b % w[i]] for i, b in enumerate(blocks)), default=0)
     plan = spark.createDataFrame(
         slots, "p_source string, weight long, p_index long, p_slot long")
-    placed = with_positions(docs.select("doc_id", "source"), ["source"], ["doc_id"], "_n").select(
-        "doc_id", "source", F.expr(f"_n div {block_rows}").alias("block"),
+    placed = with_positions(rows, ["source"], ["doc_id", *more], "_n").select(
+        "doc_id", "source", *more, F.expr(f"_n div {block_rows}").alias("block"),
         (F.col("_n") % block_rows).alias("idx"))
     # `plan` has W rows: bounded by RESOLUTION and the number of sources
     width = F.broadcast(plan.where("p_index = 0").select(F.col("p_source").alias("w_source"),
@@ -103,7 +112,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
         & (F.col("block") % F.col("weight") == F.col("p_index")))
     slot = F.expr(f"(block div weight) * {total} + p_slot")
     return joined.select(
-        "doc_id", "source", "weight", "block", "idx",
+        "doc_id", "source", *more, "weight", "block", "idx",
         F.expr(f"(block * {total}) div weight").alias("release"),
         F.expr(f"((block + 1) * {total} + weight - 1) div weight").alias("deadline"),
         slot.alias("slot"), (slot < F.lit(end)).alias("in_mix"))
@@ -111,8 +120,11 @@ def mix(docs: DataFrame, weights: dict | None = None, block_rows: int = BLOCK_RO
 
 def keep_mix(docs: DataFrame, weights: dict | None = None,
              block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The rows of `docs` (all columns) that the mix draws."""
-    drawn = mix(docs, weights, block_rows).where("in_mix").select(
-        F.col("doc_id").alias("__mix_doc"), F.col("source").alias("__mix_source"))
-    on = same(docs.doc_id, F.col("__mix_doc")) & same(docs.source, F.col("__mix_source"))
-    return docs.join(drawn, on, "left_semi")
+    """The rows of `docs` (all columns) of every weighted source, in order of (slot, idx)."""
+    text = F.xxhash64("text")
+    placed = _schedule(docs.select("doc_id", "source", text.alias("__mix_text")), weights, block_rows)
+    first = placed.groupBy(F.col("doc_id").alias("__mix_doc"), F.col("source").alias("__mix_source"),
+                           "__mix_text").agg(F.min(F.struct("slot", "idx")).alias("__mix_at"))
+    on = (same(docs.doc_id, F.col("__mix_doc")) & same(docs.source, F.col("__mix_source"))
+          & (F.xxhash64(docs.text) == F.col("__mix_text")))
+    return docs.join(first, on).orderBy("__mix_at").select(*[docs[c] for c in docs.columns])

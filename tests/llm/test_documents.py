@@ -195,6 +195,28 @@ def test_mix_odd_rows(docs):
     assert pfair.keep_mix(docs).columns == docs.columns
 
 
+def test_keep_mix_goes_on_after_a_source_runs_out(spark):
+    sizes = {"a": 400, "b": 150, "tiny": 3, None: 2}
+    rows = [(None if s is None else i * 1000 + k, f"{s} {k}", s)
+            for i, (s, n) in enumerate(sizes.items()) for k in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = [(r["source"], r["text"]) for r in pfair.keep_mix(docs).collect()]
+    assert sorted(map(str, got)) == sorted(str((s, t)) for _, t, s in rows)
+    names = [None, "a", "b", "tiny"]
+    weights = pfair.tempered_weights(sizes)
+    blocks = {s: [set(t for _, t in got if t.startswith(f"{s} "))] if s is None else
+              [{f"{s} {k}" for k in range(b, min(b + pfair.BLOCK_ROWS, n))}
+               for b in range(0, n, pfair.BLOCK_ROWS)] for s, n in sizes.items()}
+    at, turns = 0, pfair.period([weights[s] for s in names])
+    while any(blocks.values()):
+        for i in turns:
+            if blocks[names[i]]:                        # one that has run out is passed over
+                block = blocks[names[i]].pop(0)
+                assert {t for _, t in got[at:at + len(block)]} == block
+                at += len(block)
+    assert at == len(rows)
+
+
 # ---- personal data -------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
