@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nameprice.llm import (bpe_tree, chunk_dedup, frames, histogram_sort, kmeans_tree, langid,
-                           odd_sketch, pfair, pii_crf, warc)
+                           odd_sketch, pfair, pii_crf, stratified, warc)
 from nameprice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,42 @@ def op9_odd_sketch(spark, sf_dir):
 def op4_kmeans_tree(spark, sf_dir):
     """The 20 nearest of every 20th embedding by a k-means tree, best bin first."""
     return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op12_stratified_index(spark, sf_dir):
+    """The ten best documents of every benchmark item through the length-stratified index."""
+    index = stratified.build(table(spark, sf_dir, "documents"))
+    return stratified.search(index, table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_stratified_index"] = r"""
+with cut as (
+  select doc_id, row_number() over () as row, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents where text is not null),
+sized as (select *, len(terms)::bigint as n from cut where len(terms) > 0),
+total as (select count(*)::bigint as docs, sum(n)::bigint as all_terms from sized),
+posting as (
+  select doc_id, row, n, term, count(*)::bigint as tf
+  from (select doc_id, row, n, unnest(terms) as term from sized) group by all),
+weight as (
+  select term, floor(1000 * ln((2.0::double * docs + 2) / (2.0::double * count(*) + 1)))::bigint as w
+  from posting, total group by term, docs),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+scored as (
+  select item_id, doc_id, row, sum(w * ((1000000000 * tf) //
+           (1000 * tf + 8 * (10 + (90 * n * docs) // all_terms))))::bigint as score
+  from asked join weight using (term) join posting using (term), total
+  group by item_id, doc_id, row),
+ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank,
+         doc_id, score
+  from scored where score > 0)
+select * from ranked where rank <= 10
+"""
