@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameprice.llm import (bpe_tree, chunk_dedup, frames, histogram_sort, kmeans_tree, langid,
-                           odd_sketch, pfair, pii_crf, stratified, warc)
+from nameprice.llm import (bpe_tree, chunk_dedup, frames, hilbert_blocks, histogram_sort, kmeans_tree,
+                           langid, odd_sketch, pfair, pii_crf, stratified, warc)
 from nameprice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,60 @@ ranked as (
   from scored where score > 0)
 select * from ranked where rank <= 10
 """
+
+
+@query
+def op13_hilbert_blocks(spark, sf_dir):
+    """Product-quantisation codes of all embeddings over Hilbert-sorted flat blocks."""
+    coded, books = hilbert_blocks.encode(table(spark, sf_dir, "embeddings"))
+    per_label = coded.groupBy("own_label").agg(F.sum("error").alias("label_error")) \
+        .withColumnRenamed("own_label", "label")
+    code = F.lower(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), ""))
+    return coded.join(per_label, F.col("own_label").eqNullSafe(F.col("label"))).select(
+        "vec_id", code.alias("code"), "error", "label_error",
+        F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def _quantiser_sql() -> str:
+    """Chained rounds: parts of all vectors (v), books 0 to ROUNDS, assignments of each."""
+    p, k, rounds = hilbert_blocks.PARTS, hilbert_blocks.ENTRIES, hilbert_blocks.ROUNDS
+    text = f"""
+with kept as (
+  select vec_id, label, row_number() over (order by vec_id nulls last, ints) - 1 as row, ints
+  from (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as ints
+        from embeddings
+        where embedding is not null and len(embedding) > 0
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)),
+v as (
+  select row, part, ints[1 + part * (len(ints) // {p}):(part + 1) * (len(ints) // {p})] as x
+  from kept, range({p}) as parts(part)),
+b0 as (select part, row as entry, x from v where row < {k})"""
+    for i in range(rounds + 1):
+        text += f""",
+a{i} as materialized (
+  select row, part, first(entry order by d, entry) as entry, min(d) as d, any_value(x) as x
+  from (select v.row, v.part, b.entry, v.x,
+               list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+        from v join b{i} as b using (part)) group by row, part)"""
+        if i < rounds:
+            text += f""",
+m{i} as (
+  select part, entry, list(mean order by i) as x
+  from (select part, entry, i, floor(sum(c)::hugeint / count(*))::bigint as mean
+        from (select part, entry, unnest(x) as c, unnest(range(len(x))) as i from a{i})
+        group by part, entry, i) group by part, entry),
+b{i + 1} as materialized (
+  select part, entry, coalesce(m.x, b.x) as x from b{i} as b left join m{i} as m using (part, entry))"""
+    return text + f""",
+coded as (
+  select row, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' order by part) as code,
+         sum(d)::bigint as error from a{rounds} group by row),
+books as (
+  select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as digest from b{rounds})
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+       digest as codebooks_sha256
+from kept join coded using (row), books
+"""
+
+
+ORACLES["op13_hilbert_blocks"] = _quantiser_sql()
