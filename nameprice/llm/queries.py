@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nameprice.llm import (bpe_tree, chunk_dedup, frames, hilbert_blocks, histogram_sort, kmeans_tree,
-                           langid, odd_sketch, pfair, pii_crf, stratified, warc)
+                           kneser_ney, langid, odd_sketch, pfair, pii_crf, stratified, warc)
 from nameprice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -261,3 +261,9 @@ from kept join coded using (row), books
 
 
 ORACLES["op13_hilbert_blocks"] = _quantiser_sql()
+
+
+@query
+def op11_kneser_ney(spark, sf_dir):
+    """Toxicity of every document by class-conditional Kneser-Ney models."""
+    return kneser_ney.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
