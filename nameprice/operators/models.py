@@ -7,10 +7,8 @@ metrics are a `groupBy`, never a driver loop over rows.
 Design notes
 * Vectors: dense engineered features via VectorAssembler; TF-IDF rows as
   SparseVector (one builder call per document); hstack = VectorAssembler.
-* Ridge: sklearn minimises ||y−Xw||² + α||w||²; MLlib minimises
-  (1/2n)||y−Xw||² + (λ/2)||w||² on a label it scales by its sample std, so
-  λ = α·sd(y)/n. The only driver reads are these two scalars. One solver
-  (L-BFGS), whatever the width.
+* Ridge: ||y−Xw−b||² + α||w||², solved to a residual by operators/ridge.py, several
+  alphas and targets in the passes of one.
 * Trees: MLlib caps maxDepth at 30 and has no leaf-count cap or L2 term; early
   stopping with patience reads the held-out error after every tree.
 * Fits persist their input (MEMORY_AND_DISK) and iterative learners
@@ -29,6 +27,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nameprice.operators import ridge
 from nameprice.operators.metrics import clip_floor
 from nameprice.session import ensure_checkpoint_dir
 
@@ -90,13 +89,9 @@ def _label(df: DataFrame, label: str, log_target: bool) -> DataFrame:
     return df.withColumn("_label", F.log1p(y) if log_target else y)
 
 
-def estimator(cfg: ModelConfig, n_train: int | None = None, sd_label: float | None = None):
+def estimator(cfg: ModelConfig):
     p = dict(cfg.params)
     common = dict(featuresCol="features", labelCol="_label", predictionCol="_pred")
-    if cfg.kind == "ridge":
-        lam = p.pop("alpha") * (sd_label or 1.0) / max(n_train or 1, 1)
-        return LinearRegression(regParam=lam, elasticNetParam=0.0, standardization=False,
-                                solver="l-bfgs", maxIter=p.pop("maxIter", 100), tol=1e-9, **common)
     if cfg.kind in ("lasso", "elasticnet"):
         mix = 1.0 if cfg.kind == "lasso" else p.pop("l1_ratio", 0.5)
         return LinearRegression(regParam=p.pop("alpha"), elasticNetParam=mix,
@@ -130,10 +125,27 @@ def fit_evaluate(cfg: ModelConfig, data: DataFrame, label: str = "price",
 
 def _fit(cfg: ModelConfig, train: DataFrame):
     """Fit on rows that carry `_label`."""
-    if cfg.kind != "ridge":
-        return estimator(cfg).fit(train)
-    row = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("_label").alias("sd")).first()
-    return estimator(cfg, int(row["n"]), float(row["sd"] or 1.0)).fit(train)
+    if cfg.kind == "ridge":
+        return ridge.fit(train, [(cfg.params["alpha"], F.col("_label"))])
+    return estimator(cfg).fit(train)
+
+
+def fit_evaluate_ridges(cfgs: list[ModelConfig], data: DataFrame, label: str = "price",
+                        split_col: str = "split", floor: float = 1.0, id_col: str = "product_id"):
+    """`fit_evaluate` of several ridges in one fit: (long predictions of all, model, seconds)."""
+    y = F.col(label).cast("double")
+    t0 = time.perf_counter()
+    model = ridge.fit(data.where(F.col(split_col) == "train"), [
+        (c.params["alpha"], F.log1p(y) if c.log_target else y) for c in cfgs])
+    seconds = time.perf_counter() - t0
+    found = data.select(id_col, F.col(split_col).alias("split"), F.col(label).alias("y"),
+                        model.predictions().alias("_all"))
+    own = [F.struct(F.lit(c.name).alias("model"), clip_floor(
+        F.expm1(F.col("_all")[i]) if c.log_target else F.col("_all")[i], floor).alias("yhat"))
+        for i, c in enumerate(cfgs)]
+    out = found.select(id_col, "split", "y", F.explode(F.array(*own)).alias("m")).select(
+        id_col, "m.model", "split", "y", "m.yhat")
+    return out, model, seconds
 
 
 def predict(cfg: ModelConfig, model, data: DataFrame, floor: float = 1.0,
