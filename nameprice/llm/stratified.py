@@ -2,7 +2,7 @@
 
 A document of n terms has the normaliser m = 10 + (90 n N) div L (N documents with a
 term, L terms in all). Documents of equal m form a stratum, stored as segments of at
-most a few thousand documents; a segment's postings are grouped by term and tf:
+most `SEGMENT_POSTINGS` postings; a segment's postings are grouped by term and tf:
 (m, segment, term, tf, docs). In a stratum the impact of a posting,
 (10^9 tf) div (1000 tf + 8 m), depends on tf alone and is computed once per tf.
 
@@ -43,10 +43,10 @@ from nameprice.llm.common import checkpoint, share_package, shared_folder
 from nameprice.llm.tokens import slices, terms
 
 TOP = 10
-SEGMENT_DOCS = 4096
+SEGMENT_POSTINGS = 1 << 18 # postings of a segment (or one document)
 BLOCK_PAIRS = 1 << 18      # (item, term) pairs searched at once
 LEAD = 1                   # strata per item that are searched first
-BUFFER = 4_000_000         # postings that a task orders by bound at once
+BUFFER = 2_000_000         # postings that a task orders by bound at once
 NULL_ID = (1 << 63) - 1
 SCALE, TF_FACTOR, M_FACTOR = 1_000_000_000, 1000, 8
 FORWARD = "doc_id long, n long, terms array<string>, tfs array<int>"
@@ -94,12 +94,22 @@ def forward(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, FORWARD)
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive documents with at most SEGMENT_POSTINGS terms together (or one document)."""
+    offsets = batch.column(2).offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(offsets, offsets[at] + SEGMENT_POSTINGS, "right")) - 1
+        end = min(max(end, at + 1), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of documents that come in order of m: a batch is cut into segments."""
     number = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for at in range(0, batch.num_rows, SEGMENT_DOCS):
-            part = batch.slice(at, SEGMENT_DOCS)
+        for part in _cut(batch):
             doc, m = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             lists = part.column(2)
             sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
@@ -162,24 +172,28 @@ def impacts(tf: np.ndarray, m: int) -> np.ndarray:
 class Segment:
     """Postings of a block's terms in one segment, ordered by term."""
 
-    def __init__(self, m: int, term: np.ndarray, tf: np.ndarray, docs: np.ndarray, sizes: np.ndarray,
-                 n_words: int):
+    def __init__(self, m: int, term: np.ndarray, tf: np.ndarray, docs: np.ndarray, sizes: np.ndarray):
         value = impacts(tf, m)
-        self.peak = np.zeros(n_words, dtype=np.int64)
-        np.maximum.at(self.peak, term, value)
-        self.docs, self.local = np.unique(docs, return_inverse=True)
-        self.value = np.repeat(value, sizes)
-        spread = np.repeat(term, sizes)
-        self.first = np.searchsorted(spread, np.arange(n_words), "left")
-        self.last = np.searchsorted(spread, np.arange(n_words), "right")
+        self.terms, first = np.unique(term, return_index=True)
+        self.peaks = np.maximum.reduceat(value, first)
+        self.ends = np.append(0, np.cumsum(np.add.reduceat(sizes, first)))
+        self.docs, local = np.unique(docs, return_inverse=True)
+        self.local = local.astype(np.int32)
+        self.value = np.repeat(value, sizes).astype(np.int32)          # impacts are below 10^6
+
+    def bounds(self, queries: Queries) -> np.ndarray:
+        """Largest score that a document of the segment can have, for every item."""
+        peak = np.zeros(len(queries.words), dtype=np.int64)
+        peak[self.terms] = self.peaks
+        return np.add.reduceat(queries.weight * peak[queries.term], queries.starts[:-1])
 
     def scores(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Score of every document of the segment (sums stay below 2^53)."""
-        held = self.last[term] > self.first[term]
-        spans = list(zip(self.first[term[held]].tolist(), self.last[term[held]].tolist()))
-        weights = np.repeat(weight[held], [b - a for a, b in spans])
-        places = np.concatenate([self.local[a:b] for a, b in spans])
-        values = np.concatenate([self.value[a:b] for a, b in spans]) * weights
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        held = self.terms[at] == term
+        spans = [(self.ends[i], self.ends[i + 1], w) for i, w in zip(at[held].tolist(), weight[held].tolist())]
+        places = np.concatenate([self.local[a:b] for a, b, _ in spans])
+        values = np.concatenate([self.value[a:b] * float(w) for a, b, w in spans])
         return np.bincount(places, values, len(self.docs)).astype(np.int64)
 
 
@@ -206,8 +220,7 @@ def visit(segments: list[Segment], queries: Queries, best: Best) -> None:
     """Search segments for every item, those of the highest bound first."""
     if not segments:
         return
-    bounds = np.stack([np.add.reduceat(queries.weight * s.peak[queries.term], queries.starts[:-1])
-                       for s in segments])
+    bounds = np.stack([s.bounds(queries) for s in segments])
     for item in range(len(queries.starts) - 1):
         own = slice(queries.starts[item], queries.starts[item + 1])
         for i in np.argsort(-bounds[:, item], kind="stable"):
@@ -236,8 +249,6 @@ def _by_segment(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _searched(hits: DataFrame, queries: Queries, least: np.ndarray) -> DataFrame:
     """(item, doc_id, score): the best documents of each item in every task."""
-    n_words = len(queries.words)
-
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, ready, held = Best(least), [], 0
         for part in _by_segment(batches):
@@ -245,7 +256,7 @@ def _searched(hits: DataFrame, queries: Queries, least: np.ndarray) -> DataFrame
             sizes = np.diff(docs.offsets.to_numpy()).astype(np.int64)
             ready.append(Segment(part.column("m")[0].as_py(), part.column("word").to_numpy(),
                                  part.column("tf").to_numpy().astype(np.int64),
-                                 docs.flatten().to_numpy(), sizes, n_words))
+                                 docs.flatten().to_numpy(), sizes))
             held += int(sizes.sum())
             if held > BUFFER:
                 visit(ready, queries, best)
