@@ -9,8 +9,8 @@ Design notes
   SparseVector (one builder call per document); hstack = VectorAssembler.
 * Ridge: ||y−Xw−b||² + α||w||², solved to a residual by operators/ridge.py, several
   alphas and targets in the passes of one.
-* Trees: MLlib caps maxDepth at 30 and has no leaf-count cap or L2 term; early
-  stopping with patience reads the held-out error after every tree.
+* Trees: single forests and boosters are MLlib's (depth at most 30, no leaf cap or L2
+  term); families of boosting configurations grow together in operators/boosting.py.
 * Fits persist their input (MEMORY_AND_DISK) and iterative learners
   checkpoint into the shared `spark.checkpoint.dir` every 10 iterations, so
   a lost executor recomputes from the last checkpoint, not from the scan.
@@ -24,10 +24,10 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nameprice.operators import ridge
+from nameprice.operators import boosting, ridge
 from nameprice.operators.metrics import clip_floor
 from nameprice.session import ensure_checkpoint_dir
 
@@ -45,18 +45,23 @@ RIDGE_ALPHAS_SWEEP = (0.1, 1.0, 10.0, 50.0)
 GB_GRID = (  # (trees, depth, rate), subsample .8, log target
     (100, 5, 0.1), (150, 7, 0.1), (200, 7, 0.1), (200, 10, 0.08), (300, 8, 0.05),
     (300, 10, 0.08), (400, 10, 0.05), (500, 12, 0.05), (500, 15, 0.03))
-THREE_CONFIGS = {  # trees, rate, depth, row sample, column sample
-    "conservative": (100, 0.05, 5, 0.8, 0.8),
-    "moderate": (150, 0.1, 7, 0.8, 0.8),
-    "aggressive": (200, 0.15, 10, 0.7, 0.7),
+THREE_CONFIGS = {  # trees, rate, depth, leaves, row sample, column sample
+    "conservative": (100, 0.05, 5, 20, 0.8, 0.8),
+    "moderate": (150, 0.1, 7, 31, 0.8, 0.8),
+    "aggressive": (200, 0.15, 10, 50, 0.7, 0.7),
 }
-HGB_CONFIGS = {  # rate, depth, min leaf, iterations, validation share, patience
-    "light": (0.08, 10, 15, 300, 0.10, 20), "deep": (0.06, 16, 10, 500, 0.10, 30),
-    "shallow": (0.12, 8, 25, 250, 0.10, 15), "stable": (0.09, 12, 18, 350, 0.10, 25),
-    "wide": (0.05, 18, 8, 600, 0.15, 40), "fast": (0.15, 6, 20, 180, 0.10, 10),
-    "regularized": (0.07, 14, 12, 500, 0.12, 30), "balanced": (0.065, 12, 16, 420, 0.10, 20),
-    "ultra": (0.04, 20, 8, 700, 0.15, 40), "extreme": (0.03, 24, 6, 900, 0.18, 50),
-    "lowlr": (0.02, 18, 5, 1100, 0.20, 60),
+HGB_CONFIGS = {  # rate, depth, leaves, min leaf, l2, iterations, validation share, patience
+    "light": (0.08, 10, 63, 15, 0.5, 300, 0.10, 20),
+    "deep": (0.06, 16, 127, 10, 1.0, 500, 0.10, 30),
+    "shallow": (0.12, 8, 45, 25, 0.3, 250, 0.10, 15),
+    "stable": (0.09, 12, 95, 18, 0.8, 350, 0.10, 25),
+    "wide": (0.05, 18, 255, 8, 1.2, 600, 0.15, 40),
+    "fast": (0.15, 6, 40, 20, 0.2, 180, 0.10, 10),
+    "regularized": (0.07, 14, 150, 12, 2.0, 500, 0.12, 30),
+    "balanced": (0.065, 12, 90, 16, 0.9, 420, 0.10, 20),
+    "ultra": (0.04, 20, 320, 8, 1.8, 700, 0.15, 40),
+    "extreme": (0.03, 24, 420, 6, 2.5, 900, 0.18, 50),
+    "lowlr": (0.02, 18, 256, 5, 2.0, 1100, 0.20, 60),
 }
 
 
@@ -165,42 +170,38 @@ def refit(cfg: ModelConfig, data: DataFrame, label: str = "price"):
     return model
 
 
-def best_round(errors: list[float], patience: int) -> int:
-    """Trees (1-based) at the lowest error before `patience` rounds bring no gain."""
-    best, at = float("inf"), 0
-    for i, e in enumerate(errors, 1):
-        if e < best:
-            best, at = e, i
-        elif i - at >= patience:
-            break
-    return at
-
-
-def fit_with_patience(cfg: ModelConfig, data: DataFrame, held: Column, patience: int,
-                      label: str = "price"):
-    """Boosting with early stopping: (config with the kept number of trees, errors).
-
-    Rows of the train split where `held` is true measure the error after every
-    tree. The ensemble is grown (doubling) until the best round is `patience`
-    rounds behind its end or the configured number of trees is reached; boosting
-    is sequential, so a shorter fit is a prefix of a longer one.
-    """
-    staged = _label(data.where(F.col("split") == "train"), label, cfg.log_target).withColumn(
-        "_held", held).persist(StorageLevel.MEMORY_AND_DISK)
-    fit_rows, check_rows = staged.where(~F.col("_held")), staged.where("_held")
-    most, n = cfg.params["maxIter"], 2 * patience
-    while True:
-        n = min(n, most)
-        model = estimator(ModelConfig(cfg.name, cfg.kind, {**cfg.params, "maxIter": n},
-                                      cfg.log_target)).fit(fit_rows)
-        errors = list(model.evaluateEachIteration(check_rows, "squared"))
-        kept = best_round(errors, patience)
-        if n == most or kept + patience <= n:
-            break
-        n *= 2
-    staged.unpersist()
-    return ModelConfig(cfg.name, cfg.kind, {**cfg.params, "maxIter": max(1, kept)},
-                       cfg.log_target), errors
+def boost_configs() -> dict[str, list[boosting.BoostConfig]]:
+    """The fixed configurations for boosting.fit: `hgb` (eleven, each with its patience),
+    `three` (raw price) and `grid` (nine without early stopping)."""
+    hgb = [boosting.BoostConfig(f"hist_gb_{name}", iters, rate, depth, leaves, leaf, l2,
+                                held_share=share, patience=patience)
+           for name, (rate, depth, leaves, leaf, l2, iters, share, patience) in HGB_CONFIGS.items()]
+    # 20 rows a leaf and no L2 term: the defaults of the surveyed learner
+    three = [boosting.BoostConfig(name, trees, rate, depth, leaves, 20, 0.0, rows, columns)
+             for name, (trees, rate, depth, leaves, rows, columns) in THREE_CONFIGS.items()]
+    grid = [boosting.BoostConfig(f"GB_{trees}_{depth}_lr{rate:g}".replace(".", ""), trees, rate, depth,
+                                 rows=0.8) for trees, depth, rate in GB_GRID]
+    return {"hgb": hgb, "three": three, "grid": grid}
+
+
+def fit_evaluate_boosted(cfgs: list[boosting.BoostConfig], data: DataFrame, log_target: bool = True,
+                         features: str = "dense", label: str = "price", split_col: str = "split",
+                         floor: float = 1.0, id_col: str = "product_id"):
+    """`fit_evaluate` of several boosting configurations in one fit over one binned matrix:
+    (long predictions of all, models by name, seconds)."""
+    y = F.col(label).cast("double")
+    t0 = time.perf_counter()
+    fitted = boosting.fit(data.where(F.col(split_col) == "train"), F.log1p(y) if log_target else y,
+                          cfgs, features, id_col)
+    seconds = time.perf_counter() - t0
+    found = data.select(id_col, F.col(split_col).alias("split"), F.col(label).alias("y"),
+                        boosting.predictions(fitted).alias("_all"))
+    own = [F.struct(F.lit(m.config.name).alias("model"), clip_floor(
+        F.expm1(F.col("_all")[i]) if log_target else F.col("_all")[i], floor).alias("yhat"))
+        for i, m in enumerate(fitted)]
+    out = found.select(id_col, "split", "y", F.explode(F.array(*own)).alias("m")).select(
+        id_col, "m.model", "split", "y", "m.yhat")
+    return out, {m.config.name: m for m in fitted}, seconds
 
 
 def feature_importance(model, names: list[str]) -> list[tuple[str, float]]:
@@ -208,32 +209,3 @@ def feature_importance(model, names: list[str]) -> list[tuple[str, float]]:
     not row data)."""
     imp = model.featureImportances.toArray()
     return [(n, float(v)) for n, v in zip(names, imp)]
-
-
-def truncated_svd(data: DataFrame, col: str, k: int, id_col: str = "product_id"):
-    """Uncentred truncated SVD; returns (singular values, V, scores DF).
-
-    MLlib's distributed `computeSVD`; V (width × k, bounded by max_features) is the
-    only local matrix, and scores (= U·S = X·V) are a distributed product.
-    """
-    from pyspark.mllib.linalg import Vectors as MVectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    def to_mllib(r):
-        return IndexedRow(int(r[id_col]), MVectors.fromML(r[col]))
-
-    svd = IndexedRowMatrix(data.select(id_col, col).rdd.map(to_mllib)).computeSVD(k, computeU=False)
-    return [float(x) for x in svd.s.toArray()], svd.V, project(data, col, svd.V, id_col)
-
-
-def project(data: DataFrame, col: str, V, id_col: str = "product_id") -> DataFrame:
-    """Rows of `col` times the local matrix V (width × k), distributed: (id, svd array)."""
-    from pyspark.mllib.linalg import Vectors as MVectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    def to_mllib(r):
-        return IndexedRow(int(r[id_col]), MVectors.fromML(r[col]))
-
-    mat = IndexedRowMatrix(data.select(id_col, col).rdd.map(to_mllib))
-    scores = mat.multiply(V).rows.map(lambda r: (int(r.index), r.vector.toArray().tolist()))
-    return data.sparkSession.createDataFrame(scores, f"{id_col} long, svd array<double>")

@@ -62,9 +62,10 @@ def duplicate_counts(df: DataFrame, row_cols: list[str], key_col: str = "name")
 def histogram(df: DataFrame, value: Column, bins: int = 100) -> DataFrame:
     """Equal-width histogram: bin = least(floor((x-min)/(max-min)*bins), bins-1).
 
-    Only non-empty bins are returned (bin, bin_lo, bin_hi, n).
+    Only non-empty bins are returned (bin, bin_lo, bin_hi, n). NULL and NaN are in no bin.
     """
-    vals = df.select(value.cast("double").alias("x")).where(F.col("x").isNotNull())
+    vals = df.select(value.cast("double").alias("x")).where(
+        F.col("x").isNotNull() & ~F.isnan("x"))
     lo = vals.select(F.min("x")).scalar()
     hi = vals.select(F.max("x")).scalar()
     width = hi - lo

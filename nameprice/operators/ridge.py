@@ -30,6 +30,8 @@ from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nameprice.session import share_package
+
 HEAVY = 256
 TOLERANCE = 1e-10
 BLOCK_ROWS = 4096
@@ -95,11 +97,12 @@ def blocks(data: DataFrame, targets: list[Column], features: str = "features"):
                      np.frombuffer(r["place"], dtype=np.int32), np.frombuffer(r["value"], dtype=np.float64),
                      np.frombuffer(r["target"], dtype=np.float64).reshape(r["n"], n_targets))
 
+    share_package()
     packed = rows.mapInArrow(pack, BLOCK)
     return packed.rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _summed(parts, of, shape: tuple[int, ...]) -> np.ndarray:
+def summed(parts, of, shape: tuple[int, ...]) -> np.ndarray:
     """Sum of of(block) over all blocks: partial sums in every partition, then in a tree."""
     def add(a, b):
         return b if a is None else a if b is None else a + b
@@ -124,7 +127,7 @@ def moments(parts, width: int, n_targets: int) -> Moments:
         ends = np.zeros((1, 2 + n_targets))
         ends[0, 0], ends[0, 2:] = len(b.target), b.target.sum(0)
         return np.vstack([np.hstack([columns[:, :1], squares, columns[:, 1:]]), ends])
-    total = _summed(parts, of, (width + 1, 2 + n_targets))
+    total = summed(parts, of, (width + 1, 2 + n_targets))
     n = total[-1, 0]
     if not n:
         raise ValueError("no rows to fit")
@@ -145,7 +148,7 @@ def _heavy_gram(parts, heavy: np.ndarray, m: Moments) -> np.ndarray:
         dense = np.zeros((len(b.target), len(heavy)))
         dense[b.row[column >= 0], column[column >= 0]] = b.value[column >= 0]
         return dense.T @ dense
-    gram = _summed(parts, of, (len(heavy), len(heavy)))
+    gram = summed(parts, of, (len(heavy), len(heavy)))
     return gram - m.n * np.outer(m.mean[heavy], m.mean[heavy])
 
 
@@ -182,7 +185,7 @@ def solve(parts, width: int, m: Moments, alphas: np.ndarray, rhs: np.ndarray,
         if rounds > 10 * width + 100:          # exact arithmetic needs at most `width`
             raise ArithmeticError(f"no convergence in {rounds} rounds")
         v = p[:, todo]
-        product = _summed(parts, lambda b: b.back(b.times(v), width), v.shape)
+        product = summed(parts, lambda b: b.back(b.times(v), width), v.shape)
         product = np.where(live[:, None], product - m.n * np.outer(m.mean, m.mean @ v), 0.0) + alphas[todo] * v
         step = rz[todo] / (v * product).sum(0)
         w[:, todo] += step * v

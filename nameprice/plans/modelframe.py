@@ -24,7 +24,7 @@ _CACHE: dict[tuple, tuple[DataFrame, list[str]]] = {}
 _SPLITS: dict[tuple, DataFrame] = {}
 
 
-def _inputs(spark: SparkSession, sf: str) -> tuple:
+def inputs(spark: SparkSession, sf: str) -> tuple:
     """What a frame depends on: the application, and the state of the table it reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/part.parquet")
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -34,7 +34,7 @@ def _inputs(spark: SparkSession, sf: str) -> tuple:
 
 def _split_features(spark, sf, q, p: DataFrame, cacheable: bool) -> DataFrame:
     """Split + 31 features, computed once per (sf, q) and checkpointed."""
-    key = (*_inputs(spark, sf), q)
+    key = (*inputs(spark, sf), q)
     if cacheable and key in _SPLITS:
         return _SPLITS[key]
     feats = FT.with_basic31(p.select("product_id", "name", "price"))
@@ -54,7 +54,7 @@ def model_frame(spark: SparkSession, sf: str, q: int = 10, cfg: tfidf.TfidfConfi
     and applied to every row; `features` = hstack(tfidf, 31 engineered). Rows of
     `extra` (product_id, name) have no price and the split `score`.
     """
-    key = (*_inputs(spark, sf), q, cfg, text, segmented, ngrams, extra is not None)
+    key = (*inputs(spark, sf), q, cfg, text, segmented, ngrams, extra is not None)
     if base is None and key in _CACHE:
         return _CACHE[key]
     p = base if base is not None else products(spark, sf)

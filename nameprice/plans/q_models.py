@@ -11,8 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nameprice.operators import metrics, models, validate
-from nameprice.operators.split import md5_bucket
+from nameprice.operators import boosting, ensemble, metrics, models, svd, validate
+from nameprice.plans import richflow
 from nameprice.plans.modelframe import model_frame
 from nameprice.plans.registry import register
 from nameprice.session import checkpoint
@@ -88,12 +88,15 @@ def model_gbt(spark, sf):
 
 @register("feature_importance")
 def feature_importance(spark, sf):
-    """M16 + G3 + A5: importances of the GB-100 model, the 150 largest (top-k report)."""
-    data, names = model_frame(spark, sf)
-    _, model, _ = models.fit_evaluate(GB_100, data)
-    pairs = models.feature_importance(model, names)
-    df = spark.createDataFrame(pairs, "feature string, importance double")
-    return df.orderBy(F.desc("importance"), F.asc("feature")).limit(150)
+    """M16 + G3 + A5: gain and permutation importance of a 400-tree model on the dense
+    matrix, by feature name; the 150 largest (top-k report) pass through the sink."""
+    frame = richflow.cached_frame(spark, sf)
+    config = boosting.BoostConfig("importance", 400, 0.05, 10, 63, 15, 0.5, held_share=0.1, patience=30)
+    found = richflow.importances(frame, config).withColumnRenamed("gain", "importance")
+    path = scratch_dir(spark, "importance")
+    files.write_top_importance(found, path)
+    return spark.read.schema("feature STRING, importance DOUBLE, permutation DOUBLE").option(
+        "header", True).csv(path).orderBy(F.desc("importance"), F.asc("feature"))
 
 
 def _scored_rows(spark, sf) -> DataFrame:
@@ -139,66 +142,100 @@ def predict_holdout_rows(spark, sf):
 
 @register("svd_components")
 def svd_components(spark, sf):
-    """K4: uncentred truncated SVD of the TF-IDF rows, k = min(150, width − 1):
-    singular values (sign-free) per component."""
+    """K4: uncentred truncated SVD of the TF-IDF rows of the train split, k = min(150,
+    width − 1): singular values per component."""
     data, names = model_frame(spark, sf)
-    width = len(names) - 31
-    k = max(1, min(150, width - 1))
-    s, _, _ = models.truncated_svd(data.where(F.col("split") == "train"), "tfidf", k)
-    return spark.createDataFrame(list(enumerate(s)), "component int, singular_value double")
+    k = max(1, min(150, len(names) - 31 - 1))
+    found = svd.fit(data.where(F.col("split") == "train"), "tfidf", k)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found.values)],
+                                 "component int, singular_value double")
+
+
+def _scores(spark, sf, column: str) -> DataFrame:
+    frame = richflow.cached_frame(spark, sf)
+    return frame.rows.select("product_id", frame.reductions[column].scores().alias("scores"))
+
+
+@register("svd_scores_word")
+def svd_scores_word(spark, sf):
+    """K4: scores of every product on the (up to) 150 word components, signs fixed."""
+    return _scores(spark, sf, "word").select("product_id", F.posexplode("scores").alias("component", "score"))
+
+
+@register("svd_scores_char")
+def svd_scores_char(spark, sf):
+    """K4: scores of every product on the (up to) 100 character components, signs fixed."""
+    return _scores(spark, sf, "char").select("product_id", F.posexplode("scores").alias("component", "score"))
 
 
-def _gbt(name: str, trees: int, rate: float, depth: int, rows: float, cols: float,
-         log: bool = False, **extra) -> models.ModelConfig:
-    return models.ModelConfig(name, "gbt", {
-        "maxIter": trees, "stepSize": rate, "maxDepth": depth, "subsamplingRate": rows,
-        "featureSubsetStrategy": repr(cols) if cols < 1 else "all", **extra}, log)
+def _boosted(spark, sf, kind: str, log_target: bool) -> DataFrame:
+    labelled = richflow.cached_frame(spark, sf).rows.where("split <> 'score'")
+    preds, fitted, secs = models.fit_evaluate_boosted(models.boost_configs()[kind], labelled, log_target)
+    rounds = spark.createDataFrame([(n, len(m.trees), max(len(m.errors), len(m.trees)))
+                                    for n, m in fitted.items()], "m string, trees int, rounds int")
+    return metrics.model_comparison(preds).join(F.broadcast(rounds), F.col("model") == F.col("m")).drop("m") \
+        .withColumn("train_time", F.lit(round(secs, 2)))
 
 
 @register("tuning_three_configs")
 def tuning_three_configs(spark, sf):
-    """M8: conservative / moderate / aggressive boosting configs on raw price;
-    comparison rows (pick the best with `best_model`)."""
-    return _compare(spark, sf, [_gbt(f"gbt_{k}", *v) for k, v in models.THREE_CONFIGS.items()])
+    """M8: conservative / moderate / aggressive boosting configurations on raw price, grown
+    together; comparison rows (pick the best with `best_model`)."""
+    return _boosted(spark, sf, "three", False)
 
 
 @register("hgb_config_sweep")
 def hgb_config_sweep(spark, sf):
-    """M9: the eleven boosting configs on log price with early stopping: an
-    md5-bucket validation share inside train, stop when the validation error no
-    longer falls (no leaf cap / L2 in MLlib; patience: `boosting_patience`)."""
-    data, _ = model_frame(spark, sf)
-    out = None
-    for name, (rate, depth, leaf, iters, share, _) in models.HGB_CONFIGS.items():
-        staged = data.withColumn("_is_val", _held(name, share))
-        cfg = models.ModelConfig(f"hist_gb_{name}", "gbt", {
-            "stepSize": rate, "maxDepth": min(depth, 30), "minInstancesPerNode": leaf,
-            "maxIter": iters, "validationIndicatorCol": "_is_val", "validationTol": 0.001}, True)
-        preds, model, secs = models.fit_evaluate(cfg, staged)
-        row = metrics.model_comparison(preds).withColumn("train_time", F.lit(round(secs, 2))) \
-            .withColumn("trees", F.lit(model.getNumTrees))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def _held(name: str, share: float):
-    """Rows of a config's validation share: an md5 bucket of the id and its name."""
-    return md5_bucket(F.concat(F.col("product_id").cast("string"), F.lit(name))) \
-        < int(round(share * 100))
+    """M9: the eleven boosting configurations on log price, each with its leaf limit, L2 term,
+    held-out share and patience; grown together over one binned dense matrix."""
+    return _boosted(spark, sf, "hgb", True)
 
 
 @register("boosting_patience")
 def boosting_patience(spark, sf):
-    """M9: the `fast` config with its patience: held-out error after every tree, the best
-    number of trees kept, then refitted on the train split."""
-    rate, depth, leaf, iters, share, patience = models.HGB_CONFIGS["fast"]
-    data, _ = model_frame(spark, sf)
-    cfg = models.ModelConfig("hist_gb_fast_patience", "gbt", {
-        "stepSize": rate, "maxDepth": depth, "minInstancesPerNode": leaf, "maxIter": iters}, True)
-    kept, errors = models.fit_with_patience(cfg, data, _held("fast", share), patience)
-    preds, model, secs = models.fit_evaluate(kept, data)
-    return metrics.model_comparison(preds).withColumn("train_time", F.lit(round(secs, 2))) \
-        .withColumn("trees", F.lit(model.getNumTrees)).withColumn("rounds", F.lit(len(errors)))
+    """M9: held-out error of the `fast` configuration after every round, and whether the
+    round belongs to the model that was kept."""
+    config = next(c for c in models.boost_configs()["hgb"] if c.name == "hist_gb_fast")
+    labelled = richflow.cached_frame(spark, sf).rows.where("split = 'train'")
+    model = boosting.fit(labelled, F.log1p(F.col("price").cast("double")), [config])[0]
+    return spark.createDataFrame([(i + 1, float(e), i < len(model.trees)) for i, e in enumerate(model.errors)],
+                                 "round int, held_out_error double, kept boolean")
+
+
+@register("rich_comparison")
+def rich_comparison(spark, sf):
+    """M13 + M14 + E9: the feature-rich flow: ridge on word and character TF-IDF, eleven boosting
+    models on the dense matrix, their eleven paired blends; `chosen` is the best."""
+    return richflow.comparison(spark, sf)
+
+
+_RICH_MODELS = [richflow.RIDGE.name, *[f"hist_gb_{n}" for n in models.HGB_CONFIGS],
+                *[f"blend_{n}" for n in ensemble.BLEND_RIDGE_WEIGHTS]]
+
+
+@register("rich_comparison_rows", " union all ".join(
+    f"select '{m}' as model, count(*)::bigint as n_rows, true as has_error from products where price is not null"
+    for m in _RICH_MODELS))
+def rich_comparison_rows(spark, sf):
+    """Every model and blend of the flow has a prediction for every labelled row, and
+    an error on the validation split."""
+    _, found = richflow.cached_flow(spark, sf)
+    rows = found.predictions.groupBy("model").agg(F.count("yhat").alias("n_rows"))
+    table = metrics.model_comparison(found.predictions).select(
+        "model", F.col("val_smape").isNotNull().alias("has_error"))
+    return rows.join(table, "model")
+
+
+@register("rich_predictions", """
+select product_id, name, true as priced, true as at_least_floor from products_unpriced
+""")
+def rich_predictions(spark, sf):
+    """M14 + M15 + A3 + A6: the chosen model or blend, refitted (both members) on all labelled
+    rows, scores every row without a price; files are written, read back and validated."""
+    price = F.col("price")
+    return richflow.predictions(spark, sf).select(
+        "product_id", "name", price.isNotNull().alias("priced"),
+        F.coalesce(price >= 1.0, F.lit(False)).alias("at_least_floor"))
 
 
 @register("grid_search_small")

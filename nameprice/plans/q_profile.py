@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nameprice.functions.categories import with_category_features
-from nameprice.operators import profile
+from nameprice.operators import metrics, profile
 from nameprice.plans.registry import register
 from nameprice.plans.sql_fragments import category_ctes
 from nameprice.sources.tables import products
@@ -146,16 +146,17 @@ def category_price_summary(spark, sf):
     return profile.category_price_summary(feats, "primary_category", "price")
 
 
-def _pred_hist_sql(series: str, expr: str) -> str:
+def _pred_hist_sql(series: str, expr: str, known: str) -> str:
     return _HIST_SQL.replace(
         "with v as (select {expr} as x from products where price is not null)",
-        f"with v as (select {expr} as x from predictions where model = 'ridge')").replace(
+        f"with v as (select {expr} as x from predictions where model = 'ridge' and {known})").replace(
         "select bin,", f"select '{series}' as series, bin,", 1)
 
 
 @register("prediction_histogram",
-          "select * from (" + _pred_hist_sql("actual", "cast(y as double)")
-          + ") a union all select * from (" + _pred_hist_sql("predicted", "greatest(yhat, 0.0)")
+          "select * from (" + _pred_hist_sql("actual", "cast(y as double)", "y is not null")
+          + ") a union all select * from (" + _pred_hist_sql(
+              "predicted", "greatest(yhat, 0.0)", "yhat is not null and not isnan(yhat)")
           + ") p", ["bin_lo", "bin_hi"])
 def prediction_histogram(spark, sf):
     """Actual vs predicted (clipped at 0) price histograms of the ridge model,
@@ -164,7 +165,7 @@ def prediction_histogram(spark, sf):
 
     p = predictions(spark, sf).where(F.col("model") == "ridge")
     actual = profile.histogram(p, F.col("y"), 100).select(F.lit("actual").alias("series"), "*")
-    pred = profile.histogram(p, F.greatest(F.col("yhat"), F.lit(0.0)), 100).select(
+    pred = profile.histogram(p, metrics.clip_floor(F.col("yhat"), 0.0), 100).select(
         F.lit("predicted").alias("series"), "*")
     return actual.unionByName(pred)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -63,3 +64,16 @@ def checkpoint(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def share_package() -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Enough in local mode and where machines share an installation; elsewhere the
+    submitter ships the package (`--py-files`).
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = SparkContext.getOrCreate().environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])

@@ -49,6 +49,14 @@ def write_metrics_json(metrics_long: DataFrame, path: str) -> None:
     metrics_long.write.mode("overwrite").json(path)
 
 
+def write_run_json(spark: SparkSession, run: dict, path: str) -> None:
+    """Run-metadata sink: one JSON object (best model, counts) with the time of the run."""
+    kinds = {bool: "boolean", int: "long", float: "double", str: "string"}
+    schema = ", ".join(f"{k} {kinds[type(v)]}" for k, v in run.items())
+    spark.createDataFrame([tuple(run.values())], schema).withColumn(
+        "finished", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_top_importance(importance: DataFrame, path: str, k: int = 150) -> None:
     """Importance sink: the k most important features (a top-k report)."""
     write_table(importance.orderBy(F.desc("importance"), F.asc("feature")).limit(k), path)

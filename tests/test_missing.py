@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nameprice.operators import ensemble, metrics, models, split, validate
+from nameprice.operators import ensemble, metrics, models, validate
 from nameprice.operators.quantiles import exact_quantiles
 from nameprice.streaming import leaderboard as SL
 
@@ -89,12 +89,6 @@ def test_streaming_top_k_goes_on_after_a_restart(spark, tmp_path):
     assert sorted(got) == every[:5]
 
 
-def test_patience_keeps_the_best_round():
-    assert models.best_round([5, 4, 4.5, 4.4, 3, 3.5, 3.6, 3.7, 2], 3) == 5
-    assert models.best_round([5, 4, 3], 10) == 3
-    assert models.best_round([1, 2, 3], 2) == 1
-
-
 def _signal(spark, n=400):
     from pyspark.ml.linalg import Vectors
     rng = np.random.default_rng(5)
@@ -106,18 +100,6 @@ def _signal(spark, n=400):
     return df, y
 
 
-def test_boosting_with_patience_beats_a_constant_on_held_out_rows(spark):
-    df, y = _signal(spark)
-    cfg = models.ModelConfig("g", "gbt", {"stepSize": 0.3, "maxDepth": 3, "maxIter": 24}, True)
-    kept, errors = models.fit_with_patience(cfg, df, split.md5_bucket("product_id") < 20, 4)
-    assert 1 < kept.params["maxIter"] <= 24 and len(errors) >= kept.params["maxIter"]
-    preds, model, _ = models.fit_evaluate(kept, df)
-    val = metrics.model_comparison(preds).first()
-    held = y[::5]
-    constant = np.mean(np.abs(held - np.median(y)))
-    assert model.getNumTrees == kept.params["maxIter"] and val["val_mae"] < constant / 2
-
-
 def test_refit_uses_every_labelled_row(spark):
     df, _ = _signal(spark, 100)
     cfg = models.ModelConfig("r", "ridge", {"alpha": 0.1})
@@ -132,3 +114,13 @@ def test_a_failed_fit_is_logged_with_its_reason(spark):
     df, _ = _signal(spark, 40)
     row = _one(models.ModelConfig("bad", "gbt", {"maxIter": 1, "maxBins": 1}), df, "p", "v", 1).first()
     assert row["val_smape"] is None and row["error"]
+
+
+def test_histogram_leaves_out_missing_values(spark):
+    from nameprice.operators import profile
+    df = spark.createDataFrame([(0.0,), (10.0,), (float("nan"),), (None,), (4.9,)], "x double")
+    out = {r["bin"]: r for r in profile.histogram(df, F.col("x"), 10).collect()}
+    assert {b: r["n"] for b, r in out.items()} == {0: 1, 4: 1, 9: 1} and out[9]["bin_hi"] == 10.0
+    one = profile.histogram(df.where("x = 10"), F.col("x"), 10).first()
+    assert (one["bin"], one["bin_lo"], one["bin_hi"], one["n"]) == (0, 10.0, 10.0, 1)
+    assert profile.histogram(df.where("isnan(x) or x is null"), F.col("x"), 10).count() == 0
