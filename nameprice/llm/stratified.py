@@ -117,10 +117,14 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             term = coded.indices.to_numpy().astype(np.int64)
             tf = part.column(3).flatten().to_numpy().astype(np.int64)
             row = np.repeat(np.arange(part.num_rows), sizes)
+            # rows that repeat a doc_id are neighbours; a segment holds each id once
+            new = np.append(True, (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]))
+            repeat = np.arange(len(m)) - np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
             stratum = np.cumsum(np.append(0, m[1:] != m[:-1]))
-            order = np.lexsort((doc[row], -tf, term, stratum[row]))
+            _, segment = np.unique(stratum * (repeat.max() + 1) + repeat, return_inverse=True)
+            order = np.lexsort((doc[row], -tf, term, segment[row]))
             row, term, tf = row[order], term[order], tf[order]
-            own = stratum[row]
+            own = segment[row]
             new = np.append(True, (own[1:] != own[:-1]) | (term[1:] != term[:-1]) | (tf[1:] != tf[:-1]))
             first = np.nonzero(new)[0]
             yield pa.RecordBatch.from_arrays(
@@ -128,7 +132,7 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  coded.dictionary.take(pa.array(term[first])), pa.array(tf[first], pa.int32()),
                  _lists(doc[row], np.append(first, len(row)), pa.int64())],
                 names=["m", "segment", "term", "tf", "docs"])
-            number += int(stratum[-1]) + 1
+            number += int(segment.max()) + 1
 
 
 def build(docs: DataFrame, folder: str | None = None) -> Index:
