@@ -40,13 +40,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nameprice.llm.common import checkpoint, share_package, shared_folder
-from nameprice.llm.segments import CACHE_ENTRIES, blocks, parts
+from nameprice.llm.segments import CACHE_ENTRIES, cut_column
+from nameprice.llm.tokens import slices
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 LEVEL = 1
 FILE_BYTES = 64 << 20
-SLICE = 512                # texts that a task unpacks at once
+CACHE_IDS = 4_000_000      # ids that a worker remembers
 NULL_KEY = -(1 << 63)
 # FIXED VALUES of the zstd seekable format
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -56,7 +57,8 @@ DOCUMENT = "file string, frame long, doc_id long, n_tokens long, ids_crc32 long,
 
 
 class CachedTokenizer:
-    """Ids of a text as bytes; texts are cut at safe places and parts cached."""
+    """Ids of whole columns of texts: cut at safe places, every distinct part encoded once and its
+    ids kept in one array, from which those of all texts are gathered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs the tasks in parallel
@@ -67,43 +69,62 @@ class CachedTokenizer:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
             self.width[i] = len(token)                     # one character for each byte
-        self.known: dict[str, bytes] = {}
+        self._forget()
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4") for e in found]
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(0, dtype="<u4")
+        self.ends = np.zeros(1, dtype=np.int64)            # part i: ids[ends[i]:ends[i + 1]]
 
     def _learn(self, new: list[str]) -> None:
         """Encode unknown parts: those that begin a safe place together, then cut by bytes."""
-        together = [p for p in new if p[0] in " \t\n\r" and p[-1] not in " \t\n\r"]
-        alone = [p for p in new if p[0] not in " \t\n\r" or p[-1] in " \t\n\r"]
+        joined = [p[0] in " \t\n\r" and p[-1] not in " \t\n\r" for p in new]
+        together = [p for p, j in zip(new, joined) if j]
+        alone = [p for p, j in zip(new, joined) if not j]
         if together:
-            ids = self._ids(["".join(together)])[0]
-            ends = np.cumsum(self.width[ids])
-            wanted = np.cumsum([len(p.encode("utf-8")) for p in together])
+            whole = "".join(together)
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends, sizes = np.cumsum(self.width[ids]), np.fromiter(map(len, together), np.int64, len(together))
+            if not whole.isascii():
+                sizes = np.fromiter((len(p.encode("utf-8")) for p in together), np.int64, len(together))
+            wanted = np.cumsum(sizes)
             cuts = np.searchsorted(ends, wanted) + 1
             if len(ends) and ends[-1] == wanted[-1] and np.array_equal(ends[cuts - 1], wanted):
-                data, at = ids.tobytes(), 0
-                for p, cut in zip(together, cuts.tolist()):
-                    self.known[p] = data[4 * at:4 * cut]
-                    at = cut
+                self._keep(together, ids, cuts)
             else:
                 alone += together
-        for p, ids in zip(alone, self._ids(alone) if alone else ()):
-            self.known[p] = ids.tobytes()
+        if alone:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            self._keep(alone, np.array([i for ids in found for i in ids], dtype="<u4"), np.cumsum(sizes))
+
+    def _keep(self, parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        first = len(self.ends) - 1
+        self.number.update(zip(parts, range(first, first + len(parts))))
+        self.ends = np.append(self.ends, len(self.ids) + ends)
+        self.ids = np.append(self.ids, ids)
+
+    def encode_column(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text (null: none)."""
+        cut = cut_column(texts)
+        words = cut.words.to_pylist()
+        if len(self.number) + len(words) > CACHE_ENTRIES or len(self.ids) > CACHE_IDS:
+            self._forget()
+        new = [w for w in words if w not in self.number]
+        if new:
+            self._learn(new)
+        part = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))[cut.ids]
+        sizes = np.diff(self.ends)[part]
+        stops = np.cumsum(sizes)
+        # place of every id: the first of its part, and one further for each id after it
+        places = np.repeat((self.ends[part] - (stops - sizes)).astype(np.int32), sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        every = self.ids[places]
+        per_text = np.bincount(cut.row, sizes, len(texts)).astype(np.int64)
+        return np.split(every, np.cumsum(per_text)[:-1])
 
     def encode(self, text: str) -> bytes:
-        out = []
-        for block in blocks(text):
-            pieces = parts(block)
-            new = list({p for p in pieces if p not in self.known})
-            if new:
-                if len(self.known) + len(new) > CACHE_ENTRIES:
-                    self.known.clear()
-                    new = list(set(pieces))
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
-        return b"".join(out)
+        return self.encode_column(pa.array([text]))[0].tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -134,7 +155,7 @@ def place(ends: np.ndarray, key: int, check: int) -> int:
 def framed(docs: DataFrame, ends: np.ndarray, path: str = TOKENIZER,
            level: int = LEVEL) -> DataFrame:
     """(doc_id, key, range, frame, size, check): the compressed ids of every text and where
-    they go. Batches are cut into slices, so a task unpacks `SLICE` texts at once."""
+    they go. Batches are cut into slices, so a task holds the ids of a few megabytes of text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        sort_key(F.col("doc_id")).alias("key"), "text")
     end = struct.pack("<I", END_ID)
@@ -143,9 +164,8 @@ def framed(docs: DataFrame, ends: np.ndarray, path: str = TOKENIZER,
         packer = zstandard.ZstdCompressor(level=level, write_checksum=True)
         known = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids = [(known.encode(t) if t else b"") + end for t in part.column(2).to_pylist()]
+            for part in slices(batch, 2):
+                ids = [i.tobytes() + end for i in known.encode_column(part.column(2))]
                 checks = [xxhash.xxh64_intdigest(i) & 0xFFFFFFFF for i in ids]
                 spots = [place(ends, k, c) for k, c in zip(part.column(1).to_pylist(), checks)]
                 yield pa.RecordBatch.from_arrays(

@@ -31,7 +31,8 @@ class Terms:
     row: np.ndarray
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each text begins and the last one ends)."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
     ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
@@ -43,7 +44,7 @@ def terms(texts: pa.Array) -> Terms:
     """All terms of a string column (null: none)."""
     if not len(texts):
         return Terms(pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    data, ends = _bytes_of(texts)
+    data, ends = bytes_of(texts)
     inside = IN_TERM[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]

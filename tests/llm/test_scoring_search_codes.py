@@ -228,3 +228,17 @@ def test_shortlists_never_lose_the_nearest_and_the_curve_keeps_neighbours():
     order = grid[np.argsort(hilbert_blocks.hilbert(grid, 3))]
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
     assert len(set(hilbert_blocks.hilbert(grid, 3).tolist())) == 64
+
+
+# ---- cutting of token files ----------------------------------------------------------
+
+def test_columns_are_cut_like_single_texts():
+    from nameprice.llm import segments
+    rng = np.random.default_rng(6)
+    alphabet = list("abcZ é×÷ɏɐß,.'3\t\n 中ー。") + [" ", "　", "  ", "don't", "word,"]
+    texts = ["".join(rng.choice(alphabet, size=rng.integers(0, 40))) for _ in range(3000)] + [None, "", " ", "x"]
+    found = segments.cut_column(pa.array(texts))
+    words, got = found.words.to_pylist(), [[] for _ in texts]
+    for i, row in zip(found.ids, found.row):
+        got[row].append(words[i])
+    assert got == [segments.parts(t) if t else [] for t in texts]
