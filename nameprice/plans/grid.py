@@ -1,23 +1,30 @@
-"""Grid search: text variant × vectoriser × model, with an append-only log.
+"""Grid search: text variant × vectoriser × model, resumable.
 
-The split and engineered features are computed once; each (variant,
-vectoriser) frame is built once and checkpointed, and its model fits run
-concurrently from a small driver thread pool (Spark schedules the jobs).
-A failed fit logs a NULL metric and its reason.
+Every run has a key and its own partition of the log, so a stopped grid goes on where it
+was: finished runs are read from the log and skipped, and a frame without open runs is
+not built. The split and engineered features are computed once, the term counts once per
+text variant (with the n-grams of all its vectorisers). In a frame all ridges are one fit and
+all boosting configurations grow together, on the engineered features beside
+`COMPONENTS` components of the TF-IDF rows. A failed fit logs a NULL metric and its reason.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import hashlib
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
+from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameprice.operators import leaderboard, metrics, models, tfidf
-from nameprice.plans.modelframe import model_frame
+from nameprice.functions.features import BASIC31_COLUMNS
+from nameprice.operators import boosting, leaderboard, metrics, models, svd, tfidf
+from nameprice.plans.modelframe import model_frame, variant_counts
+from nameprice.session import checkpoint
 from nameprice.sources import files
+from nameprice.sources.tables import products
 from nameprice.streaming.leaderboard import scratch_dir
 
 # FIXED VALUES: the five preprocessing variants and four vectorisers of the grid
@@ -31,41 +38,104 @@ VECTORIZERS = (  # name, vocabulary, n-gram range
     ("tfidf_15k_23", tfidf.TfidfConfig(15000, 2, 0.95, True), (2, 3)),
 )
 # what a fit can fail with: its reason goes to the log, anything else is a fault
-FIT_ERRORS = (PySparkException, Py4JJavaError)
+FIT_ERRORS = (PySparkException, Py4JJavaError, ArithmeticError, ValueError)
 
 
-def _one(cfg: models.ModelConfig, data: DataFrame, prep: str, vec: str, run_id: int):
-    spark = data.sparkSession
+COMPONENTS = 50
+
+
+@dataclass(frozen=True)
+class Run:
+    """One cell of the grid; `use_log` tells the target."""
+    prep: str
+    vec: str
+    model: str
+    use_log: bool
+
+    @property
+    def full_name(self) -> str:
+        return f"{self.prep}|{self.vec}|{self.model}{'_log' if self.use_log else ''}"
+
+    @property
+    def key(self) -> str:
+        return hashlib.md5(self.full_name.encode()).hexdigest()
+
+
+def _logged(spark: SparkSession, runs: list[Run], fit) -> DataFrame:
+    """Log rows of runs that one fit serves; `fit()` gives (long predictions, seconds)."""
+    listed = spark.createDataFrame(
+        [(r.key, r.prep, r.vec, r.model, r.use_log, r.full_name) for r in runs],
+        "run_key string, preprocessing string, vectorization string, model string, use_log boolean, full_name string")
     try:
-        preds, _, secs = models.fit_evaluate(cfg, data)
-        val = metrics.model_comparison(preds).select("val_smape")
-        smape = F.format_string("%.4f", val.scalar())
-        t, reason = f"{secs:.2f}", F.lit(None).cast("string")
+        preds, seconds = fit()
+        found = checkpoint(metrics.model_comparison(preds).select(F.col("model").alias("m"), "val_smape"))
     except FIT_ERRORS as fault:
-        smape, t = F.lit(None).cast("string"), "0.00"
-        reason = F.lit(f"{type(fault).__name__}: {fault}"[:500])
-    full = f"{prep}|{vec}|{cfg.name}{'_log' if cfg.log_target else ''}"
-    return spark.range(1).select(
-        F.lit(run_id).cast("long").alias("run_id"), F.lit(prep).alias("preprocessing"),
-        F.lit(vec).alias("vectorization"), F.lit(cfg.name).alias("model"),
-        F.lit(cfg.log_target).alias("use_log"), smape.alias("val_smape"),
-        F.lit(t).alias("train_time"), F.lit(full).alias("full_name"), reason.alias("error"))
-
-
-def run_grid(spark: SparkSession, sf: str, variants, vectorizers, model_cfgs,
-             log_path: str | None = None, workers: int = 4) -> DataFrame:
+        return listed.select("*", F.lit(None).cast("string").alias("val_smape"), F.lit("0.00").alias("train_time"),
+                             F.lit(f"{type(fault).__name__}: {fault}"[:500]).alias("error"))
+    return listed.join(F.broadcast(found), F.col("model") == F.col("m"), "left").drop("m").withColumn(
+        "val_smape", F.format_string("%.4f", "val_smape")).withColumn(
+        "train_time", F.lit(f"{seconds:.2f}")).withColumn("error", F.lit(None).cast("string"))
+
+
+def _fits(data: DataFrame, models_open: list[models.ModelConfig], boosted_open: list[boosting.BoostConfig]):
+    """(names served, fit): ridges together, boosting together, every other model alone."""
+    ridges = [m for m in models_open if m.kind == "ridge"]
+    if ridges:
+        def ridge_fit():
+            preds, _, seconds = models.fit_evaluate_ridges(ridges, data)
+            return preds, seconds
+        yield [(m.name, m.log_target) for m in ridges], ridge_fit
+    for m in models_open:
+        if m.kind != "ridge":
+            def one(m=m):
+                preds, _, seconds = models.fit_evaluate(m, data)
+                return preds, seconds
+            yield [(m.name, m.log_target)], one
+    if boosted_open:
+        def boosted_fit():
+            reduced = svd.fit(data.where("split = 'train'"), "tfidf", COMPONENTS)
+            names = [F.col(c).cast("double") for c in BASIC31_COLUMNS]
+            dense = checkpoint(data.withColumn("dense", F.concat(F.array(*names), reduced.scores())))
+            preds, _, seconds = models.fit_evaluate_boosted(boosted_open, dense)
+            return preds, seconds
+        yield [(c.name, True) for c in boosted_open], boosted_fit
+
+
+def run_grid(spark: SparkSession, sf: str, variants, vectorizers, model_cfgs=(), boosted=(),
+             log_path: str | None = None, on_commit=None) -> DataFrame:
+    """Run what the log at `log_path` does not hold yet; returns the whole log, best first.
+
+    `on_commit(names)` is called after each commit. Boosting runs have the log target.
+    """
     log_path = log_path or scratch_dir(spark, "experiment-log")
-    run_id = 0
+    done = finished(spark, log_path)
     for prep, cleaner, seg in variants:
+        counted = None
         for vec, cfg, ngrams in vectorizers:
-            data, _ = model_frame(spark, sf, cfg=cfg, text=cleaner, segmented=seg, ngrams=ngrams)
-            jobs = []
-            with ThreadPoolExecutor(max_workers=workers) as pool:
-                for m in model_cfgs:
-                    run_id += 1
-                    jobs.append(pool.submit(_one, m, data, prep, vec, run_id))
-                rows = [j.result() for j in jobs]
-            for r in rows:
-                files.append_log(r, log_path)
+            ridge_open = [m for m in model_cfgs if Run(prep, vec, m.name, m.log_target).key not in done]
+            boost_open = [c for c in boosted if Run(prep, vec, c.name, True).key not in done]
+            if not ridge_open and not boost_open:
+                continue
+            if counted is None:
+                low = min(n[0] for _, _, n in vectorizers)
+                high = max(n[1] for _, _, n in vectorizers)
+                counted = variant_counts(products(spark, sf), cleaner, seg, (low, high)).persist(
+                    StorageLevel.MEMORY_AND_DISK)
+            data, _ = model_frame(spark, sf, cfg=cfg, text=cleaner, segmented=seg, ngrams=ngrams, counted=counted)
+            for names, fit in _fits(data, ridge_open, boost_open):
+                runs = [Run(prep, vec, name, log) for name, log in names]
+                files.commit_run(_logged(spark, runs, fit), log_path)
+                if on_commit is not None:
+                    on_commit(runs)
+        if counted is not None:
+            counted.unpersist()
     log = leaderboard.typed_log(files.read_log(spark, log_path))
-    return log.orderBy(F.col("val_smape").asc_nulls_last(), "run_id")
+    return log.orderBy(F.col("val_smape").asc_nulls_last(), "full_name")
+
+
+def finished(spark: SparkSession, log_path: str) -> set[str]:
+    """Keys of the runs that the log holds (one row per run of the grid)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(log_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return set()
+    return {r["run_key"] for r in files.read_log(spark, log_path).select("run_key").distinct().collect()}

@@ -44,15 +44,25 @@ def _split_features(spark, sf, q, p: DataFrame, cacheable: bool) -> DataFrame:
     return sp
 
 
+def variant_counts(p: DataFrame, text: str, segmented: bool, ngrams: tuple[int, int]) -> DataFrame:
+    """(doc_id, term, tf) of the names of `p` in one text variant."""
+    cleaned = X.CLEANERS[text]("name")
+    doc_text = X.segment(cleaned) if segmented else cleaned
+    docs = p.select(F.col("product_id").alias("doc_id"), doc_text.alias("text"))
+    return tfidf.term_counts(docs, X.word_tokens(F.col("text")), tfidf.word_analyzer(*ngrams))
+
+
 def model_frame(spark: SparkSession, sf: str, q: int = 10, cfg: tfidf.TfidfConfig = GRID_5K,
                 text: str = "clean_v1", segmented: bool = False,
                 base: DataFrame | None = None, ngrams: tuple[int, int] = (1, 2),
-                extra: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+                extra: DataFrame | None = None,
+                counted: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """(product_id, name, price, stratum, split, tfidf, features) and feature names.
 
     The vectoriser is fit on the train split only (validation does not leak)
     and applied to every row; `features` = hstack(tfidf, 31 engineered). Rows of
-    `extra` (product_id, name) have no price and the split `score`.
+    `extra` (product_id, name) have no price and the split `score`. `counted` gives the term
+    counts (doc_id, term, tf) of the text, with n-grams that hold those asked for.
     """
     key = (*inputs(spark, sf), q, cfg, text, segmented, ngrams, extra is not None)
     if base is None and key in _CACHE:
@@ -65,12 +75,13 @@ def model_frame(spark: SparkSession, sf: str, q: int = 10, cfg: tfidf.TfidfConfi
             F.lit("score").alias("split"))
         sp = sp.unionByName(more.select(*sp.columns))
         p = p.select("product_id", "name").unionByName(extra.select("product_id", "name"))
-    cleaned = X.CLEANERS[text]("name")
-    doc_text = X.segment(cleaned) if segmented else cleaned
-    docs = p.select(F.col("product_id").alias("doc_id"), doc_text.alias("text"))
     # read twice (vocabulary on train rows, weights on all rows): persist once
-    tf = tfidf.term_counts(docs, X.word_tokens(F.col("text")), tfidf.word_analyzer(*ngrams)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    if counted is None:
+        tf = variant_counts(p, text, segmented, ngrams)
+    else:
+        n = F.size(F.split("term", " "))
+        tf = counted.where((n >= ngrams[0]) & (n <= ngrams[1]))
+    tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
     train_ids = sp.where(F.col("split") == "train").select(F.col("product_id").alias("doc_id"))
     tf_train = tf.join(train_ids, "doc_id", "left_semi")
     n_train = train_ids.select(F.count(F.lit(1))).scalar()

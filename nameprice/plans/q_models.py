@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nameprice.operators import boosting, ensemble, metrics, models, svd, validate
-from nameprice.plans import richflow
+from nameprice.plans import grid, richflow
 from nameprice.plans.modelframe import model_frame
 from nameprice.plans.registry import register
 from nameprice.session import checkpoint
@@ -240,9 +240,23 @@ def rich_predictions(spark, sf):
 
 @register("grid_search_small")
 def grid_search_small(spark, sf):
-    """M12 + A7: all text variants × all vectorisers × ridge, each run appended to the
-    experiment log (parquet); returns the log read back, best first."""
-    from nameprice.plans.grid import TEXT_VARIANTS, VECTORIZERS, run_grid
-
-    return run_grid(spark, sf, TEXT_VARIANTS, VECTORIZERS,
-                    [models.ModelConfig("ridge_a1", "ridge", {"alpha": 1.0})])
+    """M12 + A7: all text variants × all vectorisers × ridge, resumable, every run committed under
+    its own key; returns the log read back, best first."""
+    return grid.run_grid(spark, sf, grid.TEXT_VARIANTS, grid.VECTORIZERS,
+                         [models.ModelConfig("ridge_a1", "ridge", {"alpha": 1.0})])
+
+
+@register("grid_search_boosting")
+def grid_search_boosting(spark, sf):
+    """M6 + M12: the nine boosting models of the grid on its first text variant and vectoriser."""
+    return grid.run_grid(spark, sf, grid.TEXT_VARIANTS[:1], grid.VECTORIZERS[:1],
+                         boosted=models.boost_configs()["grid"])
+
+
+@register("grid_search_rows", " union all ".join(
+    f"select '{p}' as preprocessing, '{v}' as vectorization, 'ridge_a1' as model, true as has_error"
+    for p, _, _ in grid.TEXT_VARIANTS for v, _, _ in grid.VECTORIZERS))
+def grid_search_rows(spark, sf):
+    """One committed run per cell of the ridge grid, each with an error."""
+    return grid_search_small(spark, sf).select("preprocessing", "vectorization", "model",
+                                               F.col("val_smape").isNotNull().alias("has_error"))

@@ -67,5 +67,12 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def commit_run(rows: DataFrame, path: str) -> None:
+    """Write finished runs, each (`run_key`) as a partition of its own: committing a run again,
+    after a restart or by a retry, replaces it and leaves all others alone."""
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_key").parquet(path))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

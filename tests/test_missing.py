@@ -109,13 +109,6 @@ def test_refit_uses_every_labelled_row(spark):
     assert out.count() == 10 and out.where("yhat < 1").count() == 0
 
 
-def test_a_failed_fit_is_logged_with_its_reason(spark):
-    from nameprice.plans.grid import _one
-    df, _ = _signal(spark, 40)
-    row = _one(models.ModelConfig("bad", "gbt", {"maxIter": 1, "maxBins": 1}), df, "p", "v", 1).first()
-    assert row["val_smape"] is None and row["error"]
-
-
 def test_histogram_leaves_out_missing_values(spark):
     from nameprice.operators import profile
     df = spark.createDataFrame([(0.0,), (10.0,), (float("nan"),), (None,), (4.9,)], "x double")
