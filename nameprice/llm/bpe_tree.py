@@ -185,27 +185,28 @@ def encoder(path: str) -> TreeBPE:
     return TreeBPE(path)
 
 
-def encoded(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, ids, intact): the ids of every whole text, and
-    whether decoding them gives its bytes again. Batches are cut into slices, so a task
+def encoded(docs: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang, source, kept columns, n_tokens, ids, intact): the ids of every whole text,
+    and whether decoding them gives its bytes again. Batches are cut into slices, so a task
     holds the ids of `SLICE` documents at most."""
-    rows = docs.select("doc_id", "lang", "source", "text")
+    given = ["doc_id", "lang", "source", *keep]
+    rows = docs.select(*given, "text")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = [t or "" for t in part.column(3).to_pylist()]
+                texts = [t or "" for t in part.column(len(given)).to_pylist()]
                 ids = [np.array(own.encode(t), dtype=np.int32) for t in texts]
                 intact = [own.decode(i.tolist()) == t.encode("utf-8") for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([len(i) for i in ids], pa.int64()),
+                    [*part.columns[:len(given)], pa.array([len(i) for i in ids], pa.int64()),
                      pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())],
-                    names=["doc_id", "lang", "source", "n_tokens", "ids", "intact"])
+                    names=[*given, "n_tokens", "ids", "intact"])
 
     share_package()
-    schema = T.StructType([*rows.schema.fields[:3], T.StructField("n_tokens", T.LongType()),
+    schema = T.StructType([*rows.schema.fields[:len(given)], T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("intact", T.BooleanType())])
     return rows.mapInArrow(encode, schema)

@@ -6,15 +6,15 @@ partitions (partial sums; at most probes x splitters rows reach the driver) and
 narrows the bracket, until what is left inside it is within the tolerance. Then
 rows are dealt out in one range exchange and numbered.
 
-The order is (doc_id, hash of the text), held in longs whose differences cannot
-overflow: doc_id >> 2, doc_id & 3 and the hash >> 2. A bracket that has shrunk to
-one value of a key goes on in the next one, so a doc_id that holds a large part of
-the rows is split by text.
+The order is (doc_id, hash of the text, row number), held in longs whose differences cannot
+overflow: doc_id >> 2, doc_id & 3, the hash >> 2 and the number of the row as read. A bracket
+that has shrunk to one value of a key goes on in the next one, so a doc_id that holds a large
+part of the rows is split by text, and rows that are equal in both by their number.
 
 Defined cases: a null text has size 1 and crc 0, as an empty one. Null doc_ids
-sort first. Rows equal in doc_id and text cannot be told apart and stay in one
-shard. Fewer rows than shards leave shards empty; an empty table gives an empty
-result. Other columns are ignored by `shard_documents` and kept by `write_shards`.
+sort first. Rows that repeat doc_id and text are dealt out like all others. Very long texts
+are one row of their size. Fewer rows than shards leave shards empty; an empty table gives an
+empty result. Other columns are ignored by `shard_documents` and kept by `write_shards`.
 """
 
 from __future__ import annotations
@@ -29,14 +29,15 @@ from nameprice.llm.common import checkpoint, with_positions
 SHARDS = 8
 PROBES = 64                # probes per splitter and round
 TOLERANCE = 1e-4           # of a shard's ideal bytes
-KEYS = ("_k1", "_k2", "_k3")
+KEYS = ("_k1", "_k2", "_k3", "_k4")
 NULL_KEY = -(1 << 61) - 1
 
 
 def key_columns(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(F.shiftright(doc_id, 2), F.lit(NULL_KEY)).alias(KEYS[0]),
             F.coalesce(doc_id.bitwiseAND(F.lit(3)), F.lit(0)).cast("long").alias(KEYS[1]),
-            F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2).alias(KEYS[2])]
+            F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2).alias(KEYS[2]),
+            F.monotonically_increasing_id().alias(KEYS[3])]
 
 
 def text_size(text: Column) -> Column:
@@ -80,23 +81,23 @@ def _narrow(b: Bracket, step: int, sums: dict[int, int]) -> Bracket:
 
 def splitters(keyed: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE,
               probes: int = PROBES) -> list[tuple]:
-    """Keys (k1, k2, k3) at which shards 1, 2, ... begin; `keyed` has KEYS and `size`."""
+    """Keys (k1, k2, k3, k4) at which shards 1, 2, ... begin; `keyed` has KEYS and `size`."""
     top = keyed.agg(F.sum("size"), *[f(k) for k in KEYS for f in (F.min, F.max)]).first()
     if top[0] is None:
         return []
-    total, ends = int(top[0]), [(int(top[1 + 2 * i]), int(top[2 + 2 * i]) + 1) for i in range(3)]
+    total, ends = int(top[0]), [(int(top[1 + 2 * i]), int(top[2 + 2 * i]) + 1) for i in range(len(KEYS))]
     spare = tolerance * total / shards
     found: dict[int, tuple] = {}
     open_ = {i: Bracket(total * i / shards, (), *ends[0], 0, total) for i in range(1, shards)}
     while open_:
         for i, b in list(open_.items()):
-            if b.inside > spare and b.high - b.low <= 1 and len(b.fixed) < 2:
+            if b.inside > spare and b.high - b.low <= 1 and len(b.fixed) < len(KEYS) - 1:
                 level = len(b.fixed) + 1
                 b = open_[i] = Bracket(b.target, (*b.fixed, b.low), *ends[level], b.below, b.inside)
             if b.inside <= spare or b.high - b.low <= 1:
                 up = b.below + b.inside - b.target < b.target - b.below   # the nearer edge
                 edge = (*b.fixed, b.high if up else b.low)
-                found[i] = edge + (NULL_KEY,) * (3 - len(edge))
+                found[i] = edge + (NULL_KEY,) * (len(KEYS) - len(edge))
                 del open_[i]
         if not open_:
             break
@@ -121,9 +122,10 @@ def splitters(keyed: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
 def shard_of(cuts: list[tuple]) -> Column:
     """Shard of a row that has KEYS: the number of cuts at or below it."""
     shard = F.lit(0)
-    for a, b, c in cuts:
-        k1, k2, k3 = (F.col(k) for k in KEYS)
-        at = (k1 > a) | ((k1 == a) & ((k2 > b) | ((k2 == b) & (k3 >= c))))
+    for cut in cuts:
+        at = F.col(KEYS[-1]) >= cut[-1]
+        for key, value in list(zip(KEYS, cut))[-2::-1]:
+            at = (F.col(key) > value) | ((F.col(key) == value) & at)
         shard = shard + at.cast("int")
     return shard
 

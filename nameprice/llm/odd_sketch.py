@@ -19,10 +19,11 @@ found with star steps.
 
 Defined cases: null text, or text without words, has an empty set, links with
 nothing and stays. With fewer than five words the whole sequence is the one
-shingle. Rows repeating a doc_id count as one document with the links of each.
-Rows with a null doc_id get the smallest id of their equal-set class (null if it
-has none) and link to nothing else. An empty table gives an empty result. Extra
-columns are ignored.
+shingle. Texts of any length are taken whole. Classes of equal sets have keys of their own, so
+rows with a null doc_id are linked like all others: their component_id is the smallest doc_id
+of their component, null if it has none, and of such a component one class stays. Rows
+repeating a doc_id count as one document with the links of each. An empty table gives
+an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -248,30 +249,46 @@ def cells(reps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, kept): a row per row of `docs`."""
-    signed = checkpoint(docs.select("doc_id", signature(F.col("text"), threshold).alias("s"))
-                        .select("doc_id", "s.*"))
-    first = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last())
-    reps = checkpoint(signed.where("n > 0").withColumn("r", F.row_number().over(first)).where("r = 1")
-                      .select("digest", F.col("doc_id").alias("rep"), "n", "bands", "sketch"))
-    named = reps.where("rep is not null")
-    # a rep may stand for several sets where rows repeat a doc_id: their bands join
-    members = checkpoint(survivors(cells(named), named.select("rep", "n", "sketch"), threshold))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(
-        members.select("rep").distinct(), "rep", "left_semi")
-    joined = components(verified_links(members, texts, threshold))
-    classes = signed.select("doc_id", "n", "digest").join(
-        reps.select(F.col("digest").alias("d"), "rep"), F.col("digest") == F.col("d"), "left")
-    own = F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id"))
-    placed = classes.select("doc_id", F.col("n").alias("n_shingles"), own.alias("class_id"))
-    found = placed.join(joined, F.col("class_id") == F.col("node"), "left").select(
-        "doc_id", "n_shingles", "class_id",
-        F.coalesce("component", "class_id").alias("component_id"))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """(doc_id, n_shingles, class_id, component_id, kept, text_hash): a row per row of `docs`;
+    class_id is the smallest doc_id with an equal set."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), signature(F.col("text"), threshold).alias("s"))
+    signed = checkpoint(rows.select("doc_id", "text_hash", "s.*"))
+    first = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last(), "text_hash")
+    reps = checkpoint(signed.where("n > 0").withColumn("r", F.row_number().over(first)).where("r = 1").select(
+        "digest", "doc_id", "text_hash", "n", "bands", "sketch"))
+    reps = reps.withColumn("rep", F.monotonically_increasing_id())     # fixed by the checkpoint
+    members = checkpoint(survivors(cells(reps), reps.select("rep", "n", "sketch"), threshold))
+    wanted = members.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep").select(
+        "rep", F.col("doc_id").alias("r_doc"), F.col("text_hash").alias("r_hash"))
+    # one text per class, however many rows repeat it
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("h") == F.col("r_hash"))) \
+        .groupBy("rep").agg(F.first("text").alias("text"))
+    classes = signed.select("doc_id", "text_hash", "n", "digest").join(
+        reps.select(F.col("digest").alias("d"), "rep", F.col("doc_id").alias("class_id")),
+        F.col("digest") == F.col("d"), "left").drop("d", "digest")
+    repeated = classes.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(
+        F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    shared = classes.join(repeated, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+    joined = components(verified_links(members, texts, threshold).unionByName(shared))
+    placed = classes.join(joined, F.col("rep") == F.col("node"), "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+    # classes by component, not rows: their smallest doc_id and, without one, their smallest key
+    least = reps.join(joined, F.col("rep") == F.col("node"), "left").groupBy(
+        F.coalesce("component", "rep").alias("c")).agg(F.min("doc_id").alias("least_doc"), F.min("rep").alias("least_rep"))
+    found = placed.join(least, F.col("component") == F.col("c"), "left")
+    by_id = F.coalesce(F.col("doc_id") == F.col("least_doc"), F.lit(False))
+    stays = F.when(F.col("rep").isNull(), F.lit(True)).when(F.col("least_doc").isNotNull(), by_id).otherwise(
+        F.col("rep") == F.col("least_rep"))
+    own = F.col("rep").isNotNull()
+    return found.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(own, F.col("least_doc")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("kept"), "text_hash")
 
 
 def drop_near_copies(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of `docs` (all columns) that stay: one document per component."""
     stay = near_duplicates(docs, threshold).where("kept").select(
-        F.col("doc_id").alias("__keep_doc")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(F.col("__keep_doc")), "left_semi")
+        F.col("doc_id").alias("__keep_doc"), F.col("text_hash").alias("__keep_text")).distinct()
+    return docs.join(stay, docs.doc_id.eqNullSafe(F.col("__keep_doc"))
+                     & (F.xxhash64(docs.text) == F.col("__keep_text")), "left_semi")

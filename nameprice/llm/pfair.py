@@ -118,13 +118,27 @@ def _schedule(rows: DataFrame, weights: dict | None, block_rows: int) -> DataFra
         slot.alias("slot"), (slot < F.lit(end)).alias("in_mix"))
 
 
-def keep_mix(docs: DataFrame, weights: dict | None = None,
-             block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The rows of `docs` (all columns) of every weighted source, in order of (slot, idx)."""
+def _slotted(docs: DataFrame, weights: dict | None, block_rows: int) -> DataFrame:
+    """The rows of `docs` of every weighted source with `__mix_at`, their (slot, idx)."""
     text = F.xxhash64("text")
     placed = _schedule(docs.select("doc_id", "source", text.alias("__mix_text")), weights, block_rows)
     first = placed.groupBy(F.col("doc_id").alias("__mix_doc"), F.col("source").alias("__mix_source"),
                            "__mix_text").agg(F.min(F.struct("slot", "idx")).alias("__mix_at"))
     on = (same(docs.doc_id, F.col("__mix_doc")) & same(docs.source, F.col("__mix_source"))
           & (F.xxhash64(docs.text) == F.col("__mix_text")))
-    return docs.join(first, on).orderBy("__mix_at").select(*[docs[c] for c in docs.columns])
+    return docs.join(first, on)
+
+
+def keep_mix(docs: DataFrame, weights: dict | None = None,
+             block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of `docs` (all columns) of every weighted source, in order of (slot, idx)."""
+    return _slotted(docs, weights, block_rows).orderBy("__mix_at").select(*[docs[c] for c in docs.columns])
+
+
+def with_slots(docs: DataFrame, weights: dict | None = None,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """`docs` with `slot` and `slot_idx`, which carry the order of the mix through files (columns
+    of these names are replaced). A function of the rows: `keep_mix` of the same rows orders by it."""
+    own = [docs[c] for c in docs.columns if c not in ("slot", "slot_idx")]
+    return _slotted(docs, weights, block_rows).select(
+        *own, F.col("__mix_at.slot").alias("slot"), F.col("__mix_at.idx").alias("slot_idx"))

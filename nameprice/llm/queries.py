@@ -267,3 +267,33 @@ ORACLES["op13_hilbert_blocks"] = _quantiser_sql()
 def op11_kneser_ney(spark, sf_dir):
     """Toxicity of every document by class-conditional Kneser-Ney models."""
     return kneser_ney.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op9_odd_sketch"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+shingle as (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when len(w) = 0 then []::varchar[]
+             when len(w) < 5 then [array_to_string(w, ' ')]
+             else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+    from words)),
+sized as (select doc_id, count(*) as n from shingle group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingle as a join shingle as b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (
+  select a, b from common join sized as x on x.doc_id = a join sized as y on y.doc_id = b
+  where 100 * c >= 85 * (x.n + y.n - c)),
+both_ways as (select a, b from link union all select b, a from link),
+reach as (
+  select doc_id as node, doc_id as other from documents
+  union
+  select node, b from reach join both_ways on other = a),
+least as (select node, min(other) as component_id from reach group by node)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents as d left join sized as s using (doc_id) join least on node = d.doc_id
+"""

@@ -16,14 +16,14 @@ LLM = sorted(n for n in entry.queries() if n.startswith("op") and n[2].isdigit()
 
 
 def test_every_operator_is_registered_once():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", [n for n in LLM if n in entry.oracle_sql()])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF_SMALL}/{t}.parquet'")
     df = entry.queries()[name](spark, SF_SMALL)
     cols = sorted(df.columns)
@@ -54,27 +54,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert set(seen["exact_dedup"]) == set(first.values())
     want = brute_components([(i, texts[i]) for i in seen["exact_dedup"]], 80)
     assert set(seen["near_dedup"]) == {i for i, c in want.items() if i == c}
-    counts = {}
-    for i in sorted(seen["near_dedup"]):
-        counts.setdefault(seen["near_dedup"][i]["source"], []).append(i)
-    assert set(seen["mix"]) == mixed(counts)
+    assert set(seen["mix"]) == set(seen["near_dedup"])
+    kept = spark.read.parquet(str(tmp_path / "near_dedup"))
+    order = [r["doc_id"] for r in sorted(pfair.mix(kept).collect(), key=lambda r: (r["slot"], r["idx"]))]
+    slots = {i: (r["slot"], r["slot_idx"]) for i, r in seen["encode"].items()}
+    assert sorted(slots, key=slots.get) == order
     encoder = bpe_tree.encoder(bpe_tree.RANKS)
     assert set(seen["encode"]) == set(seen["mix"])
     for i, r in seen["encode"].items():
         assert r["intact"] and encoder.decode(r["ids"]).decode() == texts[i]
         assert hashlib.sha256(bytes(str(r["ids"]), "ascii")).digest() == hashlib.sha256(
             bytes(str(encoder.encode(texts[i])), "ascii")).digest()
-
-
-def mixed(counts):
-    """Documents drawn until a due source has no block left, slot by slot."""
-    weights = pfair.tempered_weights({s: len(v) for s, v in counts.items()})
-    names = sorted(weights)
-    left = {s: [v[k:k + pfair.BLOCK_ROWS] for k in range(0, len(v), pfair.BLOCK_ROWS)]
-            for s, v in counts.items()}
-    out = set()
-    while True:
-        for i in pfair.period([weights[s] for s in names]):
-            if not left[names[i]]:
-                return out
-            out |= set(left[names[i]].pop(0))
