@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameprice.operators.quantiles import exact_quantiles, exact_quantile_edges
+from nameprice.operators.quantiles import exact_quantile_edges, exact_quantiles, value_counts
 
 
 def describe(df: DataFrame, col: str = "price") -> DataFrame:
@@ -120,19 +120,23 @@ def category_price_summary(df_with_category: DataFrame, cat_col: str = "primary_
                            col: str = "price") -> DataFrame:
     """Per category: count, mean, median, sample std, min, max; by mean desc.
 
-    One partial-aggregating pass, and the distributed exact medians joined by category
-    (categories come from a fixed list).
+    Everything comes from one table of (category, price, rows), so the category columns are
+    evaluated once; deviations are summed around the category's mean (categories come from
+    a fixed list, their means are a small table).
     """
-    x = F.col(col)
-    stats = df_with_category.groupBy(cat_col).agg(
-        F.count(x).alias("count"),
-        (F.sum(x).cast("double") / F.count(x)).alias("mean"),
-        F.stddev_samp(x.cast("double")).alias("std"),
-        F.min(x).cast("double").alias("min"),
-        F.max(x).cast("double").alias("max"),
-    )
-    medians = exact_quantiles(df_with_category, col, [0.5], [cat_col]).select(
+    counts = value_counts(df_with_category, col, [cat_col])
+    x, w = F.col(col).cast("double"), F.when(F.col(col).isNotNull(), F.col("_w"))
+    n = F.coalesce(F.sum(w), F.lit(0))
+    stats = counts.groupBy(cat_col).agg(
+        n.alias("count"), (F.sum(F.col(col) * w).cast("double") / F.when(n > 0, n)).alias("mean"),
+        F.min(x).alias("min"), F.max(x).alias("max"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    means = stats.select(F.col(cat_col).alias("_m"), "mean", F.col("count").alias("_n"))
+    spread = counts.join(F.broadcast(means), same(cat_col, "_m")).groupBy(F.col(cat_col).alias("_s")).agg(
+        F.sum(w * (x - F.col("mean")) * (x - F.col("mean"))).alias("_d"), F.first("_n").alias("_n"))
+    spread = spread.select("_s", F.when(F.col("_n") > 1, F.sqrt(F.col("_d") / (F.col("_n") - 1))).alias("std"))
+    medians = exact_quantiles(counts, col, [0.5], [cat_col], "_w").select(
         F.col(cat_col).alias("_cat"), F.col("q")[0].alias("median"))
-    stats = stats.join(medians, F.col(cat_col).eqNullSafe(F.col("_cat")), "left").select(
-        cat_col, "count", "mean", "median", "std", "min", "max")
-    return stats.orderBy(F.desc("mean"), F.asc(cat_col))
+    joined = stats.join(spread, same(cat_col, "_s"), "left").join(medians, same(cat_col, "_cat"), "left")
+    return joined.select(cat_col, "count", "mean", "median", "std", "min", "max").orderBy(
+        F.desc("mean"), F.asc(cat_col))

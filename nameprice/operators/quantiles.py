@@ -15,11 +15,19 @@ from pyspark.sql import functions as F
 from nameprice.session import checkpoint
 
 
-def _value_ranks(df: DataFrame, col: str, group_cols: list[str]) -> DataFrame:
+def value_counts(df: DataFrame, col: str, group_cols: list[str] | None = None,
+                 out: str = "_w") -> DataFrame:
+    """(group, value, out): rows of every distinct value, NULL included; checkpointed, so that
+    what is computed from it evaluates the rows of `df` once."""
+    return checkpoint(df.select(*(group_cols or []), col).groupBy(*(group_cols or []), col).agg(
+        F.count(F.lit(1)).alias(out)))
+
+
+def _value_ranks(df: DataFrame, col: str, group_cols: list[str], weight: str | None) -> DataFrame:
     """(group, _v, _lo, _n, _total): each distinct value with the position of its first row."""
     x = F.col(col).cast("double")
-    counts = df.where(x.isNotNull()).groupBy(*group_cols, (x + F.lit(0.0)).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(x.isNotNull()).groupBy(*group_cols, (x + F.lit(0.0)).alias("_v")).agg(rows.alias("_c"))
     # checkpointed: both uses below must see the same partitions
     placed = checkpoint(counts.repartitionByRange(*group_cols, "_v").sortWithinPartitions(
         *group_cols, "_v")).withColumn("_part", F.spark_partition_id())
@@ -44,14 +52,15 @@ def _value_ranks(df: DataFrame, col: str, group_cols: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float],
-                    group_cols: list[str] | None = None) -> DataFrame:
-    """One row per group with `q` = array of exact quantiles (same order as probs).
+                    group_cols: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """One row per group with `q` = array of exact quantiles (same order as probs). A row
+    stands for `weight` rows where that column is named.
 
     NULL values are ignored; a frame without any value gives one row with NULL
     quantiles (no group column) or no row for the group.
     """
     group_cols = group_cols or []
-    ranks = _value_ranks(df, col, group_cols)
+    ranks = _value_ranks(df, col, group_cols, weight)
     aggs = []
     for i, p in enumerate(probs):
         at = (F.col("_total") - 1) * F.lit(float(p))

@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameprice.operators.profile import quantile_bins
-from nameprice.operators.quantiles import exact_quantiles, qcut_probs
+from nameprice.operators.quantiles import exact_quantiles, qcut_probs, value_counts
+from nameprice.session import checkpoint
 
 
 def md5_bucket(id_col: str | Column, modulo: int = 100) -> Column:
@@ -79,17 +80,19 @@ def split_stratified(df: DataFrame, id_col: str = "product_id", price_col: str =
                      q: int = 10, val_pct: int = 15, out: str = "split") -> DataFrame:
     """Exact-size stratified split over q price-quantile strata, by radix selection.
 
-    The ≤ q+1 edges are read once and become literals; sizes, cuts and labels are
-    one lazy plan.
+    (id, price, key) is checkpointed once; edges and stratum sizes come from one table of
+    (price, rows). The ≤ q+1 edges are read once and become literals.
     """
-    row = exact_quantiles(df, price_col, qcut_probs(q)).select(F.array_distinct("q")).first()
-    binned = quantile_bins(df, price_col, q, "stratum", list(row[0] or [])).withColumn(
-        "_key", md5_key(id_col))
-    size = F.count(F.lit(1))
-    k = binned.groupBy("stratum").agg(
-        F.ceil(size * val_pct / F.lit(100)).cast("bigint").alias("k"))
-    cuts = kth_smallest_per_group(binned, "stratum", "_key", id_col, k)
-    joined = binned.join(F.broadcast(cuts), "stratum", "left")      # one row per stratum
+    narrow = checkpoint(df.select(id_col, price_col, md5_key(id_col).alias("_key")))
+    counts = value_counts(narrow, price_col)
+    row = exact_quantiles(counts, price_col, qcut_probs(q), weight="_w").select(F.array_distinct("q")).first()
+    edges = list(row[0] or [])
+    k = quantile_bins(counts, price_col, q, "stratum", edges).groupBy("stratum").agg(
+        F.ceil(F.sum("_w") * val_pct / F.lit(100)).cast("bigint").alias("k"))
+    cuts = kth_smallest_per_group(quantile_bins(narrow, price_col, q, "stratum", edges), "stratum", "_key",
+                                  id_col, checkpoint(k))
+    binned = quantile_bins(df, price_col, q, "stratum", edges).withColumn("_key", md5_key(id_col))
+    joined = binned.join(F.broadcast(checkpoint(cuts)), "stratum", "left")      # one row per stratum
     is_val = F.struct(F.col("_key"), F.col(id_col)) <= F.struct(F.col("cut_key"), F.col("cut_id"))
     s = F.when(F.col("cut_key").isNotNull() & is_val, F.lit("val")).otherwise(F.lit("train"))
     return joined.select(*df.columns, "stratum", s.alias(out))
