@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from nameprice.session import share_package
 
-HEAVY = 256
+HEAVY = 1024               # features solved exactly: 8 MB of sums from a task
 TOLERANCE = 1e-10
 BLOCK_ROWS = 4096
+TASK_ROWS = 1 << 16         # rows a task is worth
 BLOCK = "start binary, place binary, value binary, target binary, n int"
 
 
@@ -98,7 +99,8 @@ def blocks(data: DataFrame, targets: list[Column], features: str = "features"):
                      np.frombuffer(r["target"], dtype=np.float64).reshape(r["n"], n_targets))
 
     share_package()
-    packed = rows.mapInArrow(pack, BLOCK)
+    tasks = max(1, min(rows.rdd.getNumPartitions(), -(-rows.count() // TASK_ROWS)))
+    packed = rows.coalesce(tasks).mapInArrow(pack, BLOCK)
     return packed.rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -155,9 +157,11 @@ def _heavy_gram(parts, heavy: np.ndarray, m: Moments) -> np.ndarray:
 class Preconditioner:
     """Exact on the heavy features, the diagonal on all others; one per system."""
 
-    def __init__(self, gram: np.ndarray, heavy: np.ndarray, square: np.ndarray, alphas: np.ndarray):
+    def __init__(self, context, gram: np.ndarray, heavy: np.ndarray, square: np.ndarray, alphas: np.ndarray):
         self.heavy, self.scale = heavy, 1.0 / (square[:, None] + alphas[None])
-        self.solved = [np.linalg.inv(gram + a * np.eye(len(heavy))) for a in alphas]
+        # one task per system: tasks run linear algebra on one thread, beside each other
+        self.solved = context.parallelize(alphas.tolist(), len(alphas)).map(
+            lambda a: np.linalg.inv(gram + a * np.eye(len(heavy)))).collect()
 
     def apply(self, r: np.ndarray, systems: np.ndarray) -> np.ndarray:
         z = r * self.scale[:, systems]
@@ -173,7 +177,7 @@ def solve(parts, width: int, m: Moments, alphas: np.ndarray, rhs: np.ndarray,
     rhs = np.where(live[:, None], rhs, 0.0)
     heavy = np.sort(np.argsort(-m.square, kind="stable")[:min(HEAVY, width)])
     heavy = heavy[live[heavy]]
-    pre = Preconditioner(_heavy_gram(parts, heavy, m), heavy, m.square, alphas)
+    pre = Preconditioner(parts.context, _heavy_gram(parts, heavy, m), heavy, m.square, alphas)
     w, r = np.zeros_like(rhs), rhs.copy()
     z = pre.apply(r, np.arange(len(alphas)))
     rz = (r * z).sum(0)
