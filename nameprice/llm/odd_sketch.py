@@ -9,13 +9,17 @@ Candidates share a band; the number of bands is set so that a pair at the
 threshold is missed with probability below `MISS`. Inside a bucket the XOR
 population count of two sketches bounds the difference of their samples: pairs
 that cannot reach the threshold (beyond `SIGMAS` deviations of the sample for
-large sets; without error for sets up to `SAMPLE`) are dropped there. Only members
-with a partner left go on, and buckets left with the same members become one
-group. Groups then get the whole texts, and every pair that is not connected yet
-is verified on the full sets. A group emits a spanning set of verified links, so
-neither links nor candidates grow with the square of a group; buckets are cut
-into cells of bounded size and compared cell by cell. Components of the links are
-found with star steps.
+large sets; without error for sets up to `SAMPLE`) are dropped there, the others
+form groups that are verified on the full sets of whole texts.
+
+Links are found in three steps, so that texts move in proportion to a cluster of
+near copies and not to its square. The first takes the cells of `LEAD` bands and
+connects most of every cluster. The second takes all other cells, but only pairs
+of different components, and of two components that meet in a cell only their
+nearest pair. The third takes every pair across components that the second left
+out, so no link is lost. Buckets are cut into cells of bounded size and compared
+cell by cell; a group emits a spanning set of verified links, and components of
+the links are found with star steps.
 
 Defined cases: null text, or text without words, has an empty set, links with
 nothing and stays. With fewer than five words the whole sequence is the one
@@ -47,6 +51,7 @@ MISS = 1e-6
 SAMPLE = 512               # hashes folded into a sketch
 BITS = 2048
 SIGMAS = 5.0
+LEAD = 3                   # bands of the first step
 CELL_DOCS, CELL_SHINGLES = 1024, 2_000_000
 CACHE_WORDS = 200_000
 SIGNATURE = "n long, digest binary, bands array<long>, sketch binary"
@@ -130,8 +135,45 @@ def most_differing(n: np.ndarray, m: int, threshold: int) -> np.ndarray:
 
 def partners(sketches: np.ndarray, n: np.ndarray, i: int, threshold: int) -> np.ndarray:
     """Members after i that the sketches do not rule out."""
-    differing = np.bitwise_count(sketches[i + 1:] ^ sketches[i]).sum(axis=1)
-    return i + 1 + np.nonzero(differing <= most_differing(n[i + 1:], int(n[i]), threshold))[0]
+    far = differing(sketches[i + 1:], sketches[i])
+    return i + 1 + np.nonzero(far <= most_differing(n[i + 1:], int(n[i]), threshold))[0]
+
+
+def differing(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """XOR counts of sketches and one."""
+    return np.bitwise_count(sketches ^ one).sum(axis=1, dtype=np.int64)
+
+
+def across(sketches: np.ndarray, n: np.ndarray, component: np.ndarray,
+           threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which members have a possible partner in another component, and which are an
+    end of the nearest pair of two components (ties: the first pair)."""
+    whole, nearest = np.zeros(len(n), dtype=bool), np.zeros(len(n), dtype=bool)
+    _, code, size = np.unique(component, return_inverse=True, return_counts=True)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for i in range(len(n) - 1):
+        j = partners(sketches, n, i, threshold)
+        j = j[code[j] != code[i]]
+        if not len(j):
+            continue
+        whole[i], whole[j] = True, True
+        if size[code[i]] == 1:
+            alone = size[code[j]] == 1         # two single members: their only pair
+            if alone.any():
+                nearest[i], nearest[j[alone]] = True, True
+            j = j[~alone]
+        far = differing(sketches[j], sketches[i])
+        order = np.lexsort((j, far, code[j]))
+        j, far = j[order], far[order]
+        first = np.nonzero(np.diff(code[j], prepend=-1))[0]
+        for at in first.tolist():
+            pair = (min(code[i], code[j[at]]), max(code[i], code[j[at]]))
+            found = (int(far[at]), i, int(j[at]))
+            if pair not in best or found < best[pair]:
+                best[pair] = found
+    for _, i, j in best.values():
+        nearest[i], nearest[j] = True, True
+    return whole, nearest
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -176,43 +218,50 @@ def signature(text: Column, threshold: int) -> Column:
     return sign(text)
 
 
-def survivors(entries: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
-    """(gid, rep): members of buckets that keep a possible partner, without repeats.
+def survivors(entries: DataFrame, sketches: DataFrame, threshold: int,
+              left_out: bool = False) -> DataFrame:
+    """(gid, rep, component): ends of the nearest pairs of components in each cell; with
+    `left_out` instead all members with a partner, of cells where those are more.
 
-    entries: (bucket, x, y, rep), one row per member of a pair of cells.
+    entries: (bucket, x, y, rep, component), one row per member of a pair of cells. As
+    components only grow together, the nearest pairs of larger ones are among those of
+    smaller ones: a cell that leaves nothing out later left nothing unverified before.
     """
     def filter_cells(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gids, reps = [], []
+        gids, reps, own = [], [], []
+
+        def found() -> pd.DataFrame:
+            return pd.DataFrame({name: np.array(x, dtype=np.int64) for name, x in
+                                 (("gid", gids), ("rep", reps), ("component", own))})
+
         for cell in groups(batches, ["bucket", "x", "y"]):
             if len(cell) < 2:
                 continue
-            n = cell["n"].to_numpy()
+            n, component = cell["n"].to_numpy(), cell["component"].to_numpy()
             s = np.stack([np.frombuffer(b, dtype=np.uint64) for b in cell["sketch"]])
-            hit = np.zeros(len(n), dtype=bool)
-            for i in range(len(n) - 1):
-                with_i = partners(s, n, i, threshold)
-                if len(with_i):
-                    hit[i] = True
-                    hit[with_i] = True
+            whole, hit = across(s, n, component, threshold)
+            if left_out:
+                hit = whole if (whole != hit).any() else np.zeros(len(n), dtype=bool)
             if hit.any():
-                members = np.sort(cell["rep"].to_numpy()[hit])
+                members = cell["rep"].to_numpy()[hit]          # cells are sorted by rep
                 gid = xxhash.xxh64_intdigest(members.tobytes()) - (1 << 63)
                 gids += [gid] * len(members)
                 reps += members.tolist()
+                own += component[hit].tolist()
                 if len(reps) > 50_000:
-                    yield pd.DataFrame({"gid": gids, "rep": reps})
-                    gids, reps = [], []
-        yield pd.DataFrame({"gid": np.array(gids, dtype=np.int64),
-                            "rep": np.array(reps, dtype=np.int64)})
+                    yield found()
+                    gids, reps, own = [], [], []
+        yield found()
 
     share_package()
     rows = entries.join(sketches, "rep").repartition("bucket", "x", "y").sortWithinPartitions(
-        "bucket", "x", "y", "rep").select("bucket", "x", "y", "rep", "n", "sketch")
-    return rows.mapInPandas(filter_cells, "gid long, rep long").distinct()
+        "bucket", "x", "y", "rep").select("bucket", "x", "y", "rep", "component", "n", "sketch")
+    return rows.mapInPandas(filter_cells, "gid long, rep long, component long").distinct()
 
 
 def verified_links(members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): verified links that connect all linked members of each group."""
+    """(a, b): verified links that connect all linked members of each group that are not
+    in one component already."""
     def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for group in groups(batches, ["gid"]):
@@ -220,7 +269,7 @@ def verified_links(members: DataFrame, texts: DataFrame, threshold: int) -> Data
             sets = [shingles(t) for t in group["text"]]
             n = np.array([len(s) for s in sets])
             sketches = np.stack([odd_sketch(s) for s in sets])
-            root = np.arange(len(ids))
+            root = group["component"].to_numpy().copy()
             for i in range(len(ids) - 1):
                 for j in partners(sketches, n, i, threshold):
                     if root[i] != root[j] and linked(sets[i], sets[j], threshold):
@@ -230,24 +279,43 @@ def verified_links(members: DataFrame, texts: DataFrame, threshold: int) -> Data
 
     share_package()
     rows = members.join(texts, "rep").repartition("gid").sortWithinPartitions("gid", "rep")
-    return rows.select("gid", "rep", "text").mapInPandas(verify, "a long, b long").distinct()
+    return rows.select("gid", "rep", "component", "text").mapInPandas(verify, "a long, b long").distinct()
 
 
 def cells(reps: DataFrame) -> DataFrame:
-    """(bucket, x, y, rep): members of shared buckets, cut into pairs of bounded cells."""
-    entries = reps.select("rep", "n", F.explode("bands").alias("bucket"))
+    """(band, bucket, x, y, rep): members of shared buckets, cut into pairs of bounded cells."""
+    entries = reps.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")) \
         .where("m > 1").select("bucket", F.greatest(
             F.ceil(F.col("m") / CELL_DOCS), F.ceil(F.col("t") / CELL_SHINGLES)).alias("c"))
-    placed = entries.select("bucket", "rep").join(shared, "bucket").withColumn(
-        "own", F.pmod(F.xxhash64("rep"), F.col("c")))
+    placed = entries.select("band", "bucket", "rep").join(shared, "bucket").withColumn(
+        "own", F.pmod(F.xxhash64("rep", "bucket"), F.col("c")))
     # every pair of cells once: a member goes to the c pairs that hold its own cell
-    other = placed.select("bucket", "rep", "own", F.explode(
+    other = placed.select("band", "bucket", "rep", "own", F.explode(
         F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("other"))
-    return other.select("bucket", F.least("own", "other").alias("x"),
+    return other.select("band", "bucket", F.least("own", "other").alias("x"),
                         F.greatest("own", "other").alias("y"), "rep")
 
 
+def links_of(placed: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): verified links that connect all linked members of the cells `placed`."""
+    lead = (F.col("band") < LEAD) & (F.col("x") == F.col("y"))
+    own = placed.where(lead).select("bucket", "x", "y", "rep", F.col("rep").alias("component"))
+    found = checkpoint(verified_links(survivors(own, sketches, threshold), texts, threshold))
+    rest = placed.where(~lead).select("bucket", "x", "y", "rep")
+    cell = ["bucket", "x", "y"]
+    for left_out in (False, True):
+        joined = components(found)
+        now = rest.join(joined, F.col("rep") == F.col("node"), "left").select(
+            *cell, "rep", F.coalesce("component", "rep").alias("component"))
+        several = now.groupBy(*cell).agg(F.min("component").alias("l"), F.max("component").alias("h"),
+                                         F.count_distinct("component").alias("d"), F.count(F.lit(1)).alias("m"))
+        open_cells = several.where("l < h and d < m" if left_out else "l < h").select(*cell)
+        members = survivors(now.join(open_cells, cell, "left_semi"), sketches, threshold, left_out)
+        found = checkpoint(found.unionByName(verified_links(members, texts, threshold)))
+    return found
+
+
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept, text_hash): a row per row of `docs`;
     class_id is the smallest doc_id with an equal set."""
@@ -257,20 +325,21 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     reps = checkpoint(signed.where("n > 0").withColumn("r", F.row_number().over(first)).where("r = 1").select(
         "digest", "doc_id", "text_hash", "n", "bands", "sketch"))
     reps = reps.withColumn("rep", F.monotonically_increasing_id())     # fixed by the checkpoint
-    members = checkpoint(survivors(cells(reps), reps.select("rep", "n", "sketch"), threshold))
-    wanted = members.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep").select(
+    placed = checkpoint(cells(reps))
+    wanted = placed.select("rep").distinct().join(reps.select("rep", "doc_id", "text_hash"), "rep").select(
         "rep", F.col("doc_id").alias("r_doc"), F.col("text_hash").alias("r_hash"))
     # one text per class, however many rows repeat it
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("h") == F.col("r_hash"))) \
-        .groupBy("rep").agg(F.first("text").alias("text"))
+    texts = checkpoint(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("h") == F.col("r_hash")))
+        .groupBy("rep").agg(F.first("text").alias("text")))
     classes = signed.select("doc_id", "text_hash", "n", "digest").join(
         reps.select(F.col("digest").alias("d"), "rep", F.col("doc_id").alias("class_id")),
         F.col("digest") == F.col("d"), "left").drop("d", "digest")
     repeated = classes.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(
         F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     shared = classes.join(repeated, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    joined = components(verified_links(members, texts, threshold).unionByName(shared))
+    links = links_of(placed, reps.select("rep", "n", "sketch"), texts, threshold)
+    joined = components(links.unionByName(shared))
     placed = classes.join(joined, F.col("rep") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "rep"))
     # classes by component, not rows: their smallest doc_id and, without one, their smallest key
