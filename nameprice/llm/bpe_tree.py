@@ -2,7 +2,7 @@
 
 The encodings of two neighbouring byte strings are joined into the encoding of
 their concatenation, so a pre-token of any length is encoded as a tree: halves
-are encoded on their own, then joined. A join re-encodes a window of tokens
+are encoded on their own, equal ones once, then joined. A join re-encodes a window of tokens
 around the seam and doubles it until the tokens outside are proven stable: BPE
 by ranks has exactly one token sequence in which every neighbouring pair encodes
 to itself, so once both window edges are such pairs the joined sequence is the
@@ -40,7 +40,7 @@ from nameprice.llm.common import share_package, worker_udf
 from nameprice.llm.segments import CACHE_ENTRIES, blocks, parts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-LEAF = 48                  # bytes encoded directly
+LEAF = 64                  # bytes encoded directly
 DECODE_LEAF = 4096         # ids decoded directly
 SLICE = 512                # documents whose ids a task holds at once
 NONE = 1 << 62             # rank of a pair that is no token
@@ -138,11 +138,18 @@ class TreeBPE:
                 return head + middle + tail
             wide *= 2
 
-    def tree(self, data: bytes) -> list[int]:
+    def tree(self, data: bytes, last: dict[int, tuple[bytes, list[int]]] | None = None) -> list[int]:
+        """Halves are cut at a power of two leaves; `last` holds the newest subtree of each
+        size, so a run of equal halves is encoded once a level."""
         if len(data) <= LEAF:
             return self.merge(data)
-        half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        last = {} if last is None else last
+        if len(data) in last and last[len(data)][0] == data:
+            return last[len(data)][1]
+        half = LEAF << ((len(data) - 1) // LEAF).bit_length() - 1
+        ids = self.join(self.tree(data[:half], last), self.tree(data[half:], last))
+        last[len(data)] = (data, ids)
+        return ids
 
     def encode_pretoken(self, word: str) -> list[int]:
         data = word.encode("utf-8")

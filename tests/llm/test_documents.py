@@ -526,3 +526,51 @@ def test_sketch_filter_never_drops_a_link():
         if odd_sketch.linked(x, y, 85):
             sketches = np.stack([odd_sketch.odd_sketch(x), odd_sketch.odd_sketch(y)])
             assert len(odd_sketch.partners(sketches, np.array([len(x), len(y)]), 0, 85)) == 1
+
+
+def test_near_copies_move_texts_in_proportion_to_their_number(spark, monkeypatch):
+    rnd = random.Random(17)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for i in range(1200):
+        words = list(base)
+        words[rnd.randrange(300)] = f"n{i}"
+        rows.append((i, " ".join(words)))
+    # a second cluster that is near the first one, but below the threshold
+    far = base[:255] + [f"v{rnd.randrange(5000)}" for _ in range(45)]
+    rows += [(2000 + i, " ".join([*far[:i], f"m{i}", *far[i + 1:]])) for i in range(200)]
+    moved, real = [], odd_sketch.verified_links
+    monkeypatch.setattr(odd_sketch, "CELL_DOCS", 256)
+    monkeypatch.setattr(odd_sketch, "verified_links", lambda members, texts, threshold: (
+        moved.append(members.count()), real(members, texts, threshold))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in odd_sketch.near_duplicates(docs, 85).collect()}
+    assert got == {i: (0 if i < 2000 else 2000) for i, _ in rows}
+    assert len(moved) == 3 and sum(moved) < 5 * len(rows)
+
+
+def test_nearest_pairs_of_components_are_among_those_of_smaller_ones():
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([np.arange(200, dtype=np.uint64), rnd.integers(
+        1000, 1 << 40, rnd.integers(1, 40)).astype(np.uint64)])) for _ in range(40)]
+    sketches = np.stack([odd_sketch.odd_sketch(s) for s in sets])
+    n = np.array([len(s) for s in sets])
+    fine = rnd.integers(0, 12, 40)
+    coarse = fine // 3
+    whole, nearest = odd_sketch.across(sketches, n, fine, 85)
+    whole_after, nearest_after = odd_sketch.across(sketches, n, coarse, 85)
+    assert not (nearest & ~whole).any() and not (nearest_after & ~whole_after).any()
+    assert not (nearest_after & ~nearest).any() and not (whole_after & ~whole).any()
+    alone, same = odd_sketch.across(sketches, n, np.arange(40), 85)
+    assert (alone == same).all() and alone.any()
+
+
+def test_long_runs_of_equal_halves():
+    own, library = bpe_tree.encoder(bpe_tree.RANKS), _tiktoken()
+    rnd = random.Random(23)
+    for letters in ("a", "ab", "=", "xyz", "\u0434\u0430", "\u7684"):
+        for _ in range(40):
+            text = letters * rnd.randrange(1, 400)
+            assert own.encode(text) == library.encode_ordinary(text)
+    run = own.encode("a" * 1_000_000)
+    assert own.decode(run) == b"a" * 1_000_000 and len(run) < 300_000
