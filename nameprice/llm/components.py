@@ -29,17 +29,18 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): smallest node id reachable, for every node with a link.
 
     `links` has two long columns a and b. Large-star and small-star steps alternate
-    until the links no longer change: then each node hangs on the smallest of its
-    component. Minima are pre-aggregated; hot hubs are joins that AQE splits.
+    until every node hangs on one root only and no root hangs on another node: then
+    the root is the smallest of its component. Minima are pre-aggregated; hot hubs
+    are joins that AQE splits.
     """
     now = checkpoint(links.select(F.col(links.columns[0]).alias("a"), F.col(links.columns[1]).alias("b"))
                      .where("a <> b"))
-    seen = None
     while True:
         now = checkpoint(_stars(_stars(now, True), False))
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if seen == state or not state[0]:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("root")).union(
+            now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("hangs").alias("h"), F.max("root").alias("r")).where(
+                "h > 1 or h + r > 1").isEmpty():
             break
-        seen = state
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(now.select("b", "b").distinct())

@@ -283,37 +283,49 @@ def verified_links(members: DataFrame, texts: DataFrame, threshold: int) -> Data
 
 
 def cells(reps: DataFrame) -> DataFrame:
-    """(band, bucket, x, y, rep): members of shared buckets, cut into pairs of bounded cells."""
+    """(band, bucket, rep, c, own): members of shared buckets, each in one of the bucket's c
+    cells of bounded size."""
     entries = reps.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t")) \
         .where("m > 1").select("bucket", F.greatest(
             F.ceil(F.col("m") / CELL_DOCS), F.ceil(F.col("t") / CELL_SHINGLES)).alias("c"))
-    placed = entries.select("band", "bucket", "rep").join(shared, "bucket").withColumn(
+    return entries.select("band", "bucket", "rep").join(shared, "bucket").withColumn(
         "own", F.pmod(F.xxhash64("rep", "bucket"), F.col("c")))
-    # every pair of cells once: a member goes to the c pairs that hold its own cell
-    other = placed.select("band", "bucket", "rep", "own", F.explode(
-        F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("other"))
-    return other.select("band", "bucket", F.least("own", "other").alias("x"),
-                        F.greatest("own", "other").alias("y"), "rep")
 
 
-def links_of(placed: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): verified links that connect all linked members of the cells `placed`."""
-    lead = (F.col("band") < LEAD) & (F.col("x") == F.col("y"))
-    own = placed.where(lead).select("bucket", "x", "y", "rep", F.col("rep").alias("component"))
-    found = checkpoint(verified_links(survivors(own, sketches, threshold), texts, threshold))
-    rest = placed.where(~lead).select("bucket", "x", "y", "rep")
+def open_cells(placed: DataFrame, joined: DataFrame, repeats: bool) -> DataFrame:
+    """(bucket, x, y, rep, component): pairs of cells, not compared in the first step, that
+    hold several components; with `repeats` only those that hold two members of one.
+    Buckets of one component go before their members meet every other cell."""
+    now = placed.join(joined, F.col("rep") == F.col("node"), "left").select(
+        "band", "bucket", "rep", "c", "own", F.coalesce("component", "rep").alias("component"))
+    ends = [F.min("component").alias("l"), F.max("component").alias("h")]
+    buckets = now.groupBy("bucket").agg(*ends).where("l < h").select("bucket")
+    met = now.join(buckets, "bucket", "left_semi").select("band", "bucket", "rep", "component", "own", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("other"))
+    pairs = checkpoint(met.where((F.col("band") >= LEAD) | (F.col("own") != F.col("other"))).select(
+        "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "component"))
     cell = ["bucket", "x", "y"]
+    several = pairs.groupBy(*cell, "component").agg(F.count(F.lit(1)).alias("k")).groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("d"), F.sum("k").alias("m")).where("d > 1")
+    return pairs.join(several.where("d < m") if repeats else several, cell, "left_semi")
+
+
+def joined_by(placed: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(node, component) of all members with a verified link in the cells `placed`."""
+    lead = placed.where(F.col("band") < LEAD).select(
+        "bucket", F.col("own").alias("x"), F.col("own").alias("y"), "rep", F.col("rep").alias("component"))
+    joined = components(verified_links(survivors(lead, sketches, threshold), texts, threshold))
     for left_out in (False, True):
-        joined = components(found)
-        now = rest.join(joined, F.col("rep") == F.col("node"), "left").select(
-            *cell, "rep", F.coalesce("component", "rep").alias("component"))
-        several = now.groupBy(*cell).agg(F.min("component").alias("l"), F.max("component").alias("h"),
-                                         F.count_distinct("component").alias("d"), F.count(F.lit(1)).alias("m"))
-        open_cells = several.where("l < h and d < m" if left_out else "l < h").select(*cell)
-        members = survivors(now.join(open_cells, cell, "left_semi"), sketches, threshold, left_out)
-        found = checkpoint(found.unionByName(verified_links(members, texts, threshold)))
-    return found
+        members = survivors(open_cells(placed, joined, left_out), sketches, threshold, left_out)
+        joined = grown(joined, verified_links(members, texts, threshold))
+    return joined
+
+
+def grown(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after some more links."""
+    more = checkpoint(links)
+    return joined if more.isEmpty() else components(joined.toDF("a", "b").unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -338,8 +350,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     repeated = classes.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(
         F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     shared = classes.join(repeated, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    links = links_of(placed, reps.select("rep", "n", "sketch"), texts, threshold)
-    joined = components(links.unionByName(shared))
+    joined = grown(joined_by(placed, reps.select("rep", "n", "sketch"), texts, threshold), shared)
     placed = classes.join(joined, F.col("rep") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "rep"))
     # classes by component, not rows: their smallest doc_id and, without one, their smallest key
