@@ -8,6 +8,7 @@ from nameprice.functions.categories import with_category_features
 from nameprice.operators import metrics, profile
 from nameprice.plans.registry import register
 from nameprice.plans.sql_fragments import category_ctes
+from nameprice.sources.files import with_stable_ids
 from nameprice.sources.tables import products
 
 
@@ -180,3 +181,15 @@ def scan_products_csv(spark, sf):
     path = scratch_dir(spark, "train-csv")
     products(spark, sf).select("name", "price").write.option("header", True).csv(path)
     return files.read_price_csv(spark, path).select("name", "price")
+
+
+@register("stable_row_ids", """
+select md5(concat_ws(',', coalesce(length(name) || ':' || name, 'null'),
+                     coalesce(length(cast(price as varchar)) || ':' || cast(price as varchar), 'null'),
+                     cast(row_number() over (partition by name, price) - 1 as varchar))) as product_id,
+  name, price
+from products
+""")
+def stable_row_ids(spark, sf):
+    """A1: rows of the price table with ids that do not depend on files or order."""
+    return with_stable_ids(products(spark, sf).select("name", "price"))

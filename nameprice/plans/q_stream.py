@@ -29,6 +29,22 @@ def stream_leaderboard(spark, sf):
     return SL.run_stats(spark, src, SL.scratch_dir(spark, "stats"))
 
 
+@register("stream_leaderboard_latest", """
+select cast(count(*) as bigint) as runs, min(v) as best_smape, max(v) as worst_smape,
+  avg(v) as mean_smape,
+  cast(count(*) filter (where v < 40) as bigint) as under_40,
+  cast(count(*) filter (where v < 30) as bigint) as under_30,
+  cast(count(*) filter (where v < 25) as bigint) as under_25
+from (select try_cast(val_smape as double) as v from experiment_log l
+      where run_id = (select max(m.run_id) from experiment_log m where m.full_name = l.full_name)) l
+""", ["best_smape", "worst_smape", "mean_smape"])
+def stream_leaderboard_latest(spark, sf):
+    """Statistics of the latest run per full_name over a streamed log."""
+    src = SL.scratch_dir(spark, "log")
+    SL.write_log_files(experiment_log(spark, sf), src, 4)
+    return SL.run_latest_stats(spark, src, SL.scratch_dir(spark, "latest"))
+
+
 @register("stream_leaderboard_topk", """
 select run_id, full_name, try_cast(val_smape as double) as val_smape,
   try_cast(train_time as double) as train_time

@@ -29,6 +29,29 @@ def read_price_csv(spark: SparkSession, path: str, schema: str = TRAIN_SCHEMA,
     return df.select(F.monotonically_increasing_id().alias(id_col), *df.columns)
 
 
+ID_BLOCK = 65_536          # equal rows numbered by one task at a time
+
+
+def with_stable_ids(df: DataFrame, id_col: str = "product_id") -> DataFrame:
+    """Rows with an id that depends on their values alone, not on files, splits or order.
+
+    The id is the MD5 of the row's values and its number among equal rows (from 0). Equal
+    rows can't be told apart, so they are counted (partial aggregates) and laid out again
+    from their count, a hot row in blocks of `ID_BLOCK` that are spread over tasks.
+    """
+    names = df.columns
+    n, block, number = "__rows", "__block", "__number"
+    counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias(n))
+    blocks = counted.withColumn(block, F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col(n) - 1) / ID_BLOCK)))).repartition(*names, block)
+    rows = blocks.withColumn(number, F.explode(F.sequence(
+        F.col(block) * ID_BLOCK, F.least(F.col(n), (F.col(block) + 1) * ID_BLOCK) - 1)))
+    # lengths keep neighbouring values apart; a null has none
+    values = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")),
+                         F.lit("null")) for c in names]
+    return rows.select(F.md5(F.concat_ws(",", *values, F.col(number).cast("string"))).alias(id_col), *names)
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """Prediction sink: exactly (name, price), header, no index."""
     (df.select("name", F.col("price").cast("double").alias("price"))

@@ -2,6 +2,8 @@
 
 * running statistics: a streaming global aggregate in complete mode, whose
   state is one row (count, min, max, sum, threshold counts);
+* statistics of the latest run per full_name: a streaming aggregate by full_name,
+  whose complete state each batch reduces to one row;
 * top-k: each micro-batch's k best rows (a distributed TakeOrderedAndProject,
   at most k rows per partition reach the merge) are merged with the previous
   k best in `foreachBatch` and written as the new top-k table; the state is
@@ -19,6 +21,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from nameprice.operators import leaderboard
 from nameprice.session import ensure_checkpoint_dir
@@ -53,6 +56,26 @@ def run_stats(spark: SparkSession, src: str, out: str, available_now: bool = Tru
     return spark.read.parquet(out)
 
 
+def run_latest_stats(spark: SparkSession, src: str, out: str) -> DataFrame:
+    """Running statistics over the last appended run of each full_name.
+
+    The state store holds one (run_id, val_smape) per full_name, the largest run_id
+    so far; every batch's complete state is reduced to the statistics (one row). A
+    restarted query takes its state from its checkpoint. Runs without a full_name
+    take no part, as in `leaderboard.latest_only`.
+    """
+    typed = leaderboard.typed_log(log_stream(spark, src)).where("full_name is not null")
+    latest = typed.groupBy("full_name").agg(F.max(F.struct("run_id", "val_smape")).alias("last"))
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        leaderboard.stats(batch.select("last.val_smape")).write.mode("overwrite").parquet(out)
+
+    handle = (latest.writeStream.outputMode("complete").foreachBatch(sink)
+              .option("checkpointLocation", out + "_ckpt").trigger(availableNow=True).start())
+    handle.awaitTermination()
+    return spark.read.parquet(out)
+
+
 TOP_SCHEMA = "run_id long, full_name string, val_smape double, train_time double"
 
 
