@@ -6,6 +6,7 @@ from nameprice.functions.categories import CATEGORY_COLUMNS, with_category_featu
 from nameprice.plans.registry import register
 from nameprice.plans.sql_fragments import (
     CATEGORY_DOUBLE_COLS, category_ctes, category_feature_select)
+from nameprice.session import checkpoint
 from nameprice.sources.tables import products
 
 
@@ -99,8 +100,10 @@ def features_all(spark, sf):
           + ") s order by product_id limit 200", _ALL_DOUBLES)
 def feature_sample(spark, sf):
     """G7 + A4: the first 200 feature rows by product id (the sample sink)."""
-    feats = FT.with_all_features(products(spark, sf).select("product_id", "name")).drop("name")
-    return feats.orderBy("product_id").limit(200)
+    # features keep every row, so the first rows are the same before them; checkpointed, as the
+    # planner moves projections below the limit
+    first = checkpoint(products(spark, sf).select("product_id", "name").orderBy("product_id").limit(200))
+    return FT.with_all_features(first).drop("name").orderBy("product_id")
 
 
 @register("standardize_features", """
