@@ -38,9 +38,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of every document, checked by decoding them, with its slot in the mix:
-    files keep no order, so the last stage works out the slots of the same rows again."""
-    return bpe_tree.encoded(pfair.with_slots(docs), keep=("slot", "slot_idx"))
+    """Byte-level BPE ids of every document, checked by decoding them, with its slot in the mix,
+    which follows from the row's place in the files that the mix stage wrote."""
+    return bpe_tree.encoded(pfair.with_places(docs), keep=("slot", "slot_idx"))
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameprice.llm.common import same, with_positions
@@ -142,3 +142,29 @@ def with_slots(docs: DataFrame, weights: dict | None = None,
     own = [docs[c] for c in docs.columns if c not in ("slot", "slot_idx")]
     return _slotted(docs, weights, block_rows).select(
         *own, F.col("__mix_at.slot").alias("slot"), F.col("__mix_at.idx").alias("slot_idx"))
+
+
+def with_places(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """`docs`, read from the files that `keep_mix` wrote, with `slot` and `slot_idx` from each row's
+    place in those files: a row follows the order in which the mix wrote it, no schedule is
+    worked out again and no text is moved. Place p is row p mod `block_rows` of slot p div
+    `block_rows`: slots that the mix left unused are closed up. (Columns of these names are
+    replaced.)
+
+    Files are numbered by the writing task and the part of its output; the table of them, a row
+    per file, is broadcast.
+    """
+    own = [docs[c] for c in docs.columns if c not in ("slot", "slot_idx")]
+    rows = docs.select(*own, F.col("_metadata.file_name").alias("__mix_file"),
+                       F.col("_metadata.row_index").alias("__mix_row"))
+    name = F.col("__mix_file")
+    order = [F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"),
+             F.coalesce(F.try_to_number(F.regexp_extract(name, r"-c(\d+)", 1), F.lit("999999999")), F.lit(0)), name]
+    sizes = rows.groupBy("__mix_file").agg((F.max("__mix_row") + 1).alias("n"))
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)      # a row per file
+    starts = sizes.select(name.alias("__mix_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__mix_start"))
+    placed = rows.join(F.broadcast(starts), name == F.col("__mix_of")).withColumn(
+        "__mix_place", F.col("__mix_start") + F.col("__mix_row"))
+    return placed.select(*[c for c in docs.columns if c not in ("slot", "slot_idx")],
+                         F.expr(f"__mix_place div {block_rows}").alias("slot"),
+                         (F.col("__mix_place") % block_rows).alias("slot_idx"))
