@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nameprice.llm.common import share_package, worker_udf
+from nameprice.llm.common import release_memory, share_package, worker_udf
 from nameprice.llm.segments import CACHE_ENTRIES, blocks, parts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -45,33 +45,34 @@ DECODE_LEAF = 4096         # ids decoded directly
 SLICE = 512                # documents whose ids a task holds at once
 NONE = 1 << 62             # rank of a pair that is no token
 MAX_CACHED = 64           # characters of a part that is remembered
+STAGE_ENTRIES = 1 << 17    # parts that a worker of the pipeline remembers, for one task
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Remembered(dict):
     """Bounded cache of encoded parts."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, encode: Callable[[str], bytes], most: int = CACHE_ENTRIES):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, part: str) -> bytes:
         ids = self.encode(part)
         if len(part) <= MAX_CACHED:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.most:
                 self.clear()
             self[part] = ids
         return ids
 
 
 class TreeBPE:
-    def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, path: str = RANKS, pattern: str = public_tokenizers.PATTERN, most: int = CACHE_ENTRIES):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {i: token for token, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.decimal = [b"%d" % i for i in range(max(self.bytes_of) + 1)]
-        self.parts = Remembered(self.encode_part)
+        self.parts = Remembered(self.encode_part, most)
         self.stable = lru_cache(maxsize=200_000)(self._stable)
 
     def merge(self, data: bytes) -> list[int]:
@@ -188,8 +189,8 @@ class TreeBPE:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> TreeBPE:
-    return TreeBPE(path)
+def encoder(path: str, most: int = CACHE_ENTRIES) -> TreeBPE:
+    return TreeBPE(path, most=most)
 
 
 def encoded(docs: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -200,7 +201,7 @@ def encoded(docs: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ()) -> D
     rows = docs.select(*given, "text")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, STAGE_ENTRIES)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
@@ -211,6 +212,8 @@ def encoded(docs: DataFrame, path: str = RANKS, keep: tuple[str, ...] = ()) -> D
                     [*part.columns[:len(given)], pa.array([len(i) for i in ids], pa.int64()),
                      pa.array(ids, pa.list_(pa.int32())), pa.array(intact, pa.bool_())],
                     names=[*given, "n_tokens", "ids", "intact"])
+        own.parts.clear()
+        release_memory()
 
     share_package()
     schema = T.StructType([*rows.schema.fields[:len(given)], T.StructField("n_tokens", T.LongType()),

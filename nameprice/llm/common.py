@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,15 @@ def worker_udf(returns: str):
     return F.pandas_udf(returns)
 
 
+def release_memory() -> None:
+    """Give what a finished task has freed back to the system: a worker lives on beside the next
+    stage's tasks, and an executor's memory is that of its JVM and all its workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """URI of a fresh folder under the shared `spark.checkpoint.dir`."""
     base = ensure_checkpoint_dir(spark)

@@ -24,6 +24,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nameprice.llm.common import worker_udf
+from nameprice.llm.common import release_memory, worker_udf
 
 SAMPLE_DOCS = 192
 SAMPLE_CHARS = 4096
@@ -129,7 +130,7 @@ def compressors(dictionaries: dict[str, bytes], level: int = LEVEL) -> Compresso
         level=level, write_checksum=False, write_content_size=False))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _worker(dictionaries: tuple) -> Compressors:
     return compressors(dict(dictionaries))
 
@@ -140,10 +141,12 @@ def predicted(text: Column, dictionaries: dict[str, bytes],
     given = tuple(sorted(dictionaries.items()))
 
     @worker_udf(PREDICTION)
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = _worker(given)
-        return pd.DataFrame([model.predict(t, min_margin) for t in texts],
-                            columns=["lang_pred", "score", "margin", "rejected"])
+        for texts in batches:
+            yield pd.DataFrame([model.predict(t, min_margin) for t in texts],
+                               columns=["lang_pred", "score", "margin", "rejected"])
+        release_memory()
     return predict(text)
 
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nameprice.llm.common import checkpoint, share_package, worker_udf
+from nameprice.llm.common import checkpoint, release_memory, share_package, worker_udf
 from nameprice.llm.components import components
 
 WORDS = 5                  # words of a shingle
@@ -176,6 +176,12 @@ def across(sketches: np.ndarray, n: np.ndarray, component: np.ndarray,
     return whole, nearest
 
 
+def forget() -> None:
+    """At a task's end: the words that it met, and their memory."""
+    HASHES.clear()
+    release_memory()
+
+
 def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= threshold * (len(a) + len(b) - common)
@@ -205,16 +211,18 @@ def signature(text: Column, threshold: int) -> Column:
     bands = bands_for(threshold)
 
     @worker_udf(SIGNATURE)
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            s = shingles(text)
-            if not len(s):
-                rows.append((0, b"", [], b""))
-                continue
-            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(s, bands),
-                         odd_sketch(s).tobytes()))
-        return pd.DataFrame(rows, columns=["n", "digest", "bands", "sketch"])
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for text in texts:
+                s = shingles(text)
+                if not len(s):
+                    rows.append((0, b"", [], b""))
+                    continue
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(s, bands),
+                             odd_sketch(s).tobytes()))
+            yield pd.DataFrame(rows, columns=["n", "digest", "bands", "sketch"])
+        forget()
     return sign(text)
 
 
@@ -252,6 +260,7 @@ def survivors(entries: DataFrame, sketches: DataFrame, threshold: int,
                     yield found()
                     gids, reps, own = [], [], []
         yield found()
+        release_memory()
 
     share_package()
     rows = entries.join(sketches, "rep").repartition("bucket", "x", "y").sortWithinPartitions(
@@ -276,6 +285,7 @@ def verified_links(members: DataFrame, texts: DataFrame, threshold: int) -> Data
                         out.append((ids[i], ids[j]))
                         root[root == root[j]] = root[i]
         yield pd.DataFrame(out, columns=["a", "b"])
+        forget()
 
     share_package()
     rows = members.join(texts, "rep").repartition("gid").sortWithinPartitions("gid", "rep")

@@ -28,3 +28,18 @@ def test_slots_of_the_mix_itself(spark, tmp_path):
     mixed.write.parquet(str(tmp_path / "mix"))
     got = pfair.with_places(spark.read.parquet(str(tmp_path / "mix"))).orderBy("slot", "slot_idx").collect()
     assert [r["doc_id"] for r in got] == [r["doc_id"] for r in mixed.collect()] and len(got) == 300
+
+
+def test_workers_keep_no_texts_between_stages():
+    """What a stage's tasks remember is bounded and goes at their end, so that memory does not add up over stages."""
+    from nameprice.llm import bpe_tree, langid, odd_sketch
+
+    odd_sketch.shingles("some words that a task has met")
+    assert odd_sketch.HASHES
+    odd_sketch.forget()
+    assert not odd_sketch.HASHES
+    own = bpe_tree.TreeBPE(most=3)
+    texts = [f"part{i} of a text {i}" for i in range(20)]
+    assert [own.decode(own.encode(t)) for t in texts] == [t.encode() for t in texts]
+    assert len(own.parts) <= 3
+    assert langid._worker.cache_info().maxsize == 1
