@@ -21,11 +21,15 @@ are aggregates of the bigram table, which grows with the corpus. Copies of a tex
 nothing to continuation counts. What tasks receive is pruned, as usual for n-gram
 models: a class keeps its own figure for a word or bigram only where the classes
 differ clearly, by a log-likelihood statistic of at least `CLEAR` and a factor of at least
-`FACTOR`, and of those the `MODEL_WORDS` words and `MODEL_PAIRS` bigrams with the largest
-statistic. All other words share one distribution, to which what is left of a class is given
+`FACTOR`. All other words share one distribution, to which what is left of a class is given
 in proportion, so that a text's language or subject says nothing about its
-class. Counts and totals come from the whole table. The threshold comes from a histogram
-of the statistic, so the driver receives listed rows only.
+class. Counts and totals come from the whole table.
+
+Every clear word and bigram counts. Up to `MODEL_WORDS` words and `MODEL_PAIRS` bigrams go to
+the tasks as arrays (`Model`). Beyond that nothing is left out: a text's ratio is the sum of what
+its words, the words before them and its bigrams add, so their figures stay a table (`Weights`)
+that the texts' words and bigrams meet in a shuffled join; of those, tasks send only the ones whose
+bit is set in a bitmap of the listed keys, which has a fixed size.
 
 Words are those of tokens.py. Learning reads labels of rows whose crc32(doc_id as text)
 mod 5 is not 0; the fold with remainder 4 fits scale and offset. Rows that repeat a doc_id
@@ -50,7 +54,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameprice.llm.common import share_package, shared_folder
+from nameprice.llm.common import checkpoint, share_package, shared_folder
 from nameprice.llm.tokens import slices, terms
 
 FOLDS, HELD_OUT, TUNING = 5, 0, 4
@@ -58,6 +62,8 @@ DISCOUNT = 0.75
 MODEL_WORDS, MODEL_PAIRS = 1 << 17, 1 << 17
 CLEAR, FACTOR = 20.0, 2.0
 START = 1                  # word before the first one
+ANY = 2                    # in a word's place: any word
+BIT_KEYS = 26              # bits of a key that choose its place in the bitmap: 8 MB
 SPREAD = 50.0              # evidence is fitted as asinh(SPREAD x): steep around 0, tame far out
 BINS, REACH = 800, 8.0     # histogram of the spread evidence
 BROADCAST_LABELS = 2_000_000
@@ -94,13 +100,17 @@ def bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found.row, v, w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(fold, text, toxic) of labelled rows outside the held-out fold."""
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(label_id, toxic) of every labelled doc_id; a few of them go to where the texts are, beyond
+    that the texts meet them in a shuffled join."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(
         F.col("doc_id").alias("label_id")).agg((F.max("toxic") > 0).alias("toxic"))
-    # few labels go to the texts; beyond that the texts meet them in a shuffled join
-    if known.count() <= BROADCAST_LABELS:
-        known = F.broadcast(known)
+    return F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+
+
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(fold, text, toxic) of labelled rows outside the held-out fold."""
+    known = known_labels(labels)
     return docs.select("doc_id", "text").where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("label_id")).select(
         fold(F.col("doc_id")).cast("int").alias("fold"), "text", "toxic")
 
@@ -148,21 +158,10 @@ def _clear(toxic: str, plain: str, totals: tuple[int, int]) -> Column:
         .otherwise(F.lit(0.0))
 
 
-def _strongest(rows: DataFrame, strength: Column, most: int) -> list:
-    """Rows of the largest strength above 0, at most `most`: a threshold from a histogram of
-    strengths says which, and only those reach the driver (of one step all or none)."""
-    step = F.floor(F.log1p(strength) * 512).cast("int")
-    counted = rows.where(strength > 0).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")) \
-        .orderBy(F.desc("step"))
-    total, least = 0, None
-    for r in counted.collect():                # steps of a logarithm: a few thousand at most
-        total += r["n"]
-        if total > most:
-            break
-        least = r["step"]
-    if least is None:
-        return []
-    return rows.where((strength > 0) & (step >= least)).collect()
+def _listed(rows: DataFrame, strength: Column, most: int) -> list | None:
+    """Rows of a strength above 0, on the driver; None if they are more than `most`."""
+    clear = rows.where(strength > 0)
+    return clear.collect() if clear.count() <= most else None
 
 
 @dataclass(frozen=True)
@@ -218,16 +217,141 @@ def _summary(table: DataFrame) -> dict:
     return {k: int(v or 0) for k, v in row.items()}
 
 
-def learn_model(table: DataFrame, most_words: int = MODEL_WORDS, most_pairs: int = MODEL_PAIRS) -> Model | None:
-    """Figures of both classes from the bigram table (v, w, toxic, plain); None where a class is empty."""
+@dataclass(frozen=True)
+class Weights:
+    """What every listed word, word before a listed bigram and listed bigram adds to the ratio of a
+    text beyond `common` a word: a table (v, w, weight) with ANY for a word that does not matter."""
+    table: DataFrame
+    common: float
+    listed: np.ndarray         # bitmap of the keys of `table`
+    scale: float = 1.0
+    offset: float = 0.0
+    share: float = 0.0
+
+    def evidence(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, found, n): as Model.evidence, a row per row of `docs` (doc_id, text)."""
+        listed = self.listed
+
+        def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, 2):
+                    own = part.column(0).to_numpy()
+                    row, v, w = bigrams(part.column(2))
+                    some = np.full_like(v, ANY)
+                    row, v, w = np.tile(row, 3), np.concatenate([v, some, v]), np.concatenate([w, w, some])
+                    n = np.bincount(row, minlength=len(own)) // 3
+                    kept = _bits(listed, v, w)
+                    row, v, w = row[kept], v[kept], w[kept]
+                    order = np.lexsort((w, v, row))
+                    row, v, w = row[order], v[order], w[order]
+                    new = np.ones(len(row), dtype=bool)
+                    new[1:] = (row[1:] != row[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+                    first = np.nonzero(new)[0]
+                    times = np.diff(np.append(first, len(row)))
+                    none = pa.nulls(len(first), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own), part.column(1), pa.array(n), *[pa.nulls(len(own), pa.int64())] * 3], names=names)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[row[first]]), none, none, pa.array(v[first]), pa.array(w[first]), pa.array(times)],
+                        names=names)
+
+        names = ["row", "doc_id", "n", "v", "w", "times"]
+        share_package()
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        met = rows.mapInArrow(count, ", ".join(f"{c} long" for c in names)).join(self.table, ["v", "w"], "left")
+        sums = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"),
+                                      F.coalesce(F.sum(F.col("times") * F.col("weight")), F.lit(0.0)).alias("more"))
+        total = F.col("n") * F.lit(self.common) + F.col("more")
+        return sums.select("doc_id", F.asinh(SPREAD * total / F.greatest("n", F.lit(1))).alias("found"), "n")
+
+    def scored(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, score) of every row of `docs`."""
+        x = F.least(F.greatest(self.scale * F.col("found") + self.offset, F.lit(-500.0)), F.lit(500.0))
+        return self.evidence(docs).select("doc_id", F.when(F.col("n") > 0, 1 / (1 + F.exp(-x))).otherwise(
+            F.lit(float(self.share))).alias("score"))
+
+    def evidence_counts(self, docs: DataFrame, known: DataFrame) -> np.ndarray:
+        """`evidence_counts` of the rows of `docs` with a label in `known` (label_id, toxic)."""
+        place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("found") + REACH) / (2 * REACH) * BINS)))
+        rows = self.evidence(docs).where("n > 0").join(known, F.col("doc_id") == F.col("label_id"))
+        out = np.zeros((2, BINS))
+        for r in rows.groupBy(F.col("toxic").cast("int").alias("toxic"), place.cast("int").alias("bin")).count().collect():
+            out[r["toxic"], r["bin"]] = r["count"]
+        return out
+
+
+def _places(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return pair_keys(v, w).view(np.uint64) >> np.uint64(64 - BIT_KEYS)
+
+
+def _bits(bitmap: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    at = _places(v, w)
+    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _bitmap(table: DataFrame) -> np.ndarray:
+    """Bits of the keys (v, w) of a table: a bitmap a task, joined in a tree."""
+    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(1 << BIT_KEYS, dtype=bool)
+        for batch in batches:
+            found[_places(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(found, bitorder="little").tobytes()])], names=["bits"])
+
+    share_package()
+    found = table.select("v", "w").mapInArrow(bits, "bits binary").rdd.map(lambda r: np.frombuffer(r["bits"], dtype=np.uint8))
+    return found.treeReduce(np.bitwise_or)
+
+
+def _weights(table: DataFrame, ends: DataFrame, sums: dict) -> Weights:
+    """The same figures as Model's, without a row of them on the driver."""
+    def lower(c: str, size: str, kinds: str) -> Column:
+        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / sums[size] + DISCOUNT * sums[kinds] / sums[size] * F.col("shared")
+
+    def ratio(t: Column, p: Column) -> Column:
+        return F.log(t / p)
+
+    spark = table.sparkSession
+    clear = _clear("st", "sp", (sums["S_t"], sums["S_p"])) > 0
+    figures = checkpoint(ends.withColumn("shared", (F.col("s") + 1.0) / float(sums["S"] + sums["W"] + 1)).select(
+        F.col("word").alias("w"), "shared", F.when(clear, lower("st", "S_t", "T_t")).alias("l_t"),
+        F.when(clear, lower("sp", "S_p", "T_p")).alias("l_p")))
+    own = F.col("l_t").isNotNull()
+    left = figures.where(own).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("l_t", "l_p", "shared")]).first()
+    rest = [max(1 - left[c], 1e-9) / max(1e-9, 1 - left["shared"]) for c in ("l_t", "l_p")]
+    common = float(np.log(rest[0] / rest[1]))
+    pairs = table.where(_clear("toxic", "plain", (sums["n_t"], sums["n_p"])) > 0)
+    begins = table.join(pairs.select("v").distinct(), "v", "left_semi").groupBy("v").agg(
+        F.greatest(F.sum("toxic"), F.lit(1)).alias("nt"), F.greatest(F.sum("plain"), F.lit(1)).alias("np"))
+    upper = checkpoint(pairs.join(begins, "v").select(
+        "v", "w", (F.greatest(F.col("toxic") - DISCOUNT, F.lit(0.0)) / F.col("nt")).alias("u_t"),
+        (F.greatest(F.col("plain") - DISCOUNT, F.lit(0.0)) / F.col("np")).alias("u_p")))
+    backoff = upper.groupBy("v").agg(*[F.greatest(1 - F.sum(u), F.lit(1e-9)).alias(b) for u, b in (("u_t", "b_t"), ("u_p", "b_p"))])
+    known = figures.select("w", *[F.coalesce(c, F.lit(r) * F.col("shared")).alias(c) for c, r in zip(("l_t", "l_p"), rest)])
+    u_t, u_p, b_t, b_p, l_t, l_p = (F.col(c) for c in ("u_t", "u_p", "b_t", "b_p", "l_t", "l_p"))
+    whole = upper.join(backoff, "v").join(known, "w").select(
+        "v", "w", (ratio(u_t + b_t * l_t, u_p + b_p * l_p) - ratio(b_t, b_p) - ratio(l_t, l_p)).alias("weight"))
+    before = backoff.select("v", F.lit(ANY).cast("long").alias("w"), ratio(b_t, b_p).alias("weight"))
+    words = figures.where(own).select(F.lit(ANY).cast("long").alias("v"), "w", (ratio(l_t, l_p) - common).alias("weight"))
+    folder = shared_folder(spark, "weights")
+    whole.unionByName(before).unionByName(words).write.parquet(folder)
+    weights = spark.read.parquet(folder)
+    return Weights(weights, common, _bitmap(weights))
+
+
+def learn_model(table: DataFrame, most_words: int = MODEL_WORDS, most_pairs: int = MODEL_PAIRS) -> Model | Weights | None:
+    """Figures of both classes from the bigram table (v, w, toxic, plain); None where a class is empty.
+    Weights where more words or bigrams than these are clear."""
     spark, sums = table.sparkSession, _summary(table)
     if not sums["S_t"] or not sums["S_p"]:
         return None
     ends = table.groupBy(F.col("w").alias("word")).agg(
         F.count_if(F.col("toxic") > 0).alias("st"), F.count_if(F.col("plain") > 0).alias("sp"),
         F.count(F.lit(1)).alias("s"))
-    clear = _strongest(ends, _clear("st", "sp", (sums["S_t"], sums["S_p"])), most_words)
-    pairs = _strongest(table, _clear("toxic", "plain", (sums["n_t"], sums["n_p"])), most_pairs)
+    clear = _listed(ends, _clear("st", "sp", (sums["S_t"], sums["S_p"])), most_words)
+    pairs = None if clear is None else _listed(
+        table, _clear("toxic", "plain", (sums["n_t"], sums["n_p"])), most_pairs)
+    if pairs is None:
+        return _weights(table, ends, sums)
     # at most `most_pairs` rows: the words of listed bigrams
     around = spark.createDataFrame([(r["v"], r["w"]) for r in pairs], "v long, w long")
     begins = table.join(F.broadcast(around.select("v").distinct()), "v", "left_semi").groupBy("v").agg(
@@ -295,25 +419,32 @@ def logistic(counts: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple
     return float(theta[0]), float(theta[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:
+def learn(docs: DataFrame, labels: DataFrame, most_words: int = MODEL_WORDS,
+          most_pairs: int = MODEL_PAIRS) -> tuple[Model | Weights | None, float]:
     """(model, share of toxic training rows)."""
     rows = training_rows(docs, labels)
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("toxic").alias("toxic")).first()
     share = totals["toxic"] / totals["n"] if totals["n"] else 0.0
     folder = shared_folder(docs.sparkSession, "bigrams")
     count_bigrams(rows.where(F.col("fold") != TUNING)).write.parquet(folder)
-    model = learn_model(docs.sparkSession.read.parquet(folder))
+    model = learn_model(docs.sparkSession.read.parquet(folder), most_words, most_pairs)
     if model is None:
         return None, share
-    scale, offset = logistic(evidence_counts(rows.where(F.col("fold") == TUNING), model))
+    if isinstance(model, Weights):
+        counts = model.evidence_counts(docs.where(fold(F.col("doc_id")) == TUNING), known_labels(labels))
+    else:
+        counts = evidence_counts(rows.where(F.col("fold") == TUNING), model)
+    scale, offset = logistic(counts)
     return replace(model, scale=scale, offset=offset, share=share), share
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, most_words: int = MODEL_WORDS, most_pairs: int = MODEL_PAIRS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    model, share = learn(docs, labels)
+    model, share = learn(docs, labels, most_words, most_pairs)
     if model is None:
         scored = docs.select("doc_id", F.lit(float(share)).alias("score"))
+    elif isinstance(model, Weights):
+        scored = model.scored(docs)
     else:
         def scores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

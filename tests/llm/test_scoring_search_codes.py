@@ -158,6 +158,32 @@ def test_held_out_toxicity(spark):
     assert len({r["score"] for r in got if r["doc_id"] in (2000, 2001, 2002)}) == 1
 
 
+def test_words_beyond_the_arrays_count_all_the_same(spark):
+    """More clear words and bigrams than tasks receive: the rest meets the texts in a join."""
+    rng = np.random.default_rng(2)
+    plain, bad = [f"w{i}" for i in range(40)], [f"bad{i}" for i in range(12)]
+    rows, labels = [], []
+    for i in range(1500):
+        words = list(rng.choice(plain, size=rng.integers(5, 30)))
+        if i % 3 == 0:
+            at = int(rng.integers(len(words)))
+            words[at:at] = [str(w) for w in rng.choice(bad, size=3)] + ["w1", "w2"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 3 == 0)))
+    rows += [(None, "bad1 bad2"), (3000, None), (3001, "bad3"), (0, "w1 w2"), (0, "w1 w2")]
+    docs, marked = tables(spark, rows, labels)
+    table = kneser_ney.count_bigrams(kneser_ney.training_rows(docs, marked))
+    whole = kneser_ney.learn_model(table)
+    assert len(whole.pairs) > 5 and len(whole.words) > 5
+    assert isinstance(kneser_ney.learn_model(table, 3, 3), kneser_ney.Weights)
+
+    def scores(*most):
+        return sorted((str(r["doc_id"]), r["held_out"], round(r["score"], 9), r["predicted"])
+                      for r in kneser_ney.score(docs, marked, *most).collect())
+    assert len(scores()) == len(rows)
+    assert scores(3, 3) == scores() and scores(1 << 17, 3) == scores()
+
+
 def test_toxicity_without_classes(spark):
     docs, marked = tables(spark, [(1, "a b"), (2, None)], [])
     assert [r["score"] for r in kneser_ney.score(docs, marked).collect()] == [0.0, 0.0]
