@@ -94,3 +94,67 @@ def test_no_rows_and_fixed_configurations(spark, signal):
     found = models.boost_configs()
     assert [len(found[k]) for k in ("hgb", "three", "grid")] == [11, 3, 9]
     assert all(c.patience for c in found["hgb"])
+
+
+def test_sparse_rows_count_by_their_entries(monkeypatch):
+    """Bins, counts and children of sparse rows are those of the whole matrix."""
+    from nameprice.operators import sparsebins
+
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((300, 9)) < 0.2, rng.normal(size=(300, 9)), 0)
+    x[:, 2], x[:, 3], x[5, 4] = 0, rng.normal(size=300), np.nan
+    edges = [np.unique(np.append(np.nanquantile(x[:, i], [0.1, 0.5, 0.9]), 0)) for i in range(9)]
+    row, place = np.nonzero(x)
+    start = np.append(0, np.cumsum(np.bincount(row, minlength=300)))
+    sparse = sparsebins.binned(start, place.astype(np.int32), x[row, place], edges, sparsebins.zero_bins(edges))
+    dense = boosting.binned(x, edges)
+    rows, columns = np.divmod(np.arange(2700), 9)
+    assert (sparse.at(rows, columns).reshape(300, 9) == dense).all() and len(sparse.place) < 800
+    assert all((a == b).all() for a, b in zip(sparse.ends(), (dense.min(0), dense.max(0))))
+    both = sparsebins.merged([sparse, sparse])
+    assert (both.at(rows + 300, columns).reshape(300, 9) == dense).all()
+    monkeypatch.setattr(sparsebins, "CHUNK", 50)
+    chosen, own = np.repeat(rng.permutation(300)[:200], 2), np.array([0, 3, 4, 8])
+    ends = np.append(0, np.cumsum([len(edges[i]) + 2 for i in own]))
+    given = (chosen, rng.integers(0, 3, 400), 3, rng.normal(size=400), own, ends)
+    assert np.allclose(boosting._cells(sparse, *given), boosting._cells(dense, *given))
+
+
+def test_boosters_and_forests_grow_over_vectors(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((400, 40)) < 0.1, rng.uniform(1, 2, (400, 40)), 0)
+    x[:, 0] = rng.uniform(size=400)
+    y = 5 * x[:, 0] + 3 * (x[:, 1] > 0) + rng.normal(scale=0.05, size=400)
+    rows = [(None if i == 7 else i, Vectors.sparse(40, np.nonzero(r)[0].tolist(), r[r != 0].tolist()), float(v), "train")
+            for i, (r, v) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, ["product_id", "features", "price", "split"])
+    for cfg in (models.ModelConfig("g", "gbt", {"maxIter": 30, "maxDepth": 3, "subsamplingRate": 0.8}),
+                models.ModelConfig("f", "rf", {"numTrees": 20, "maxDepth": 6, "featureSubsetStrategy": "all"})):
+        preds, model, _ = models.fit_evaluate(cfg, df, floor=-1e18)
+        got = preds.toPandas()
+        assert len(got) == 400 and ((got["y"] - got["yhat"]) ** 2).mean() < 0.1 * y.var()
+        assert set(np.argsort(-model.featureImportances.toArray())[:2]) == {0, 1}
+        # each tree of the forest draws its own rows, with replacement
+        assert cfg.kind == "gbt" or len({tuple(m.trees[0].value) for m in model.members}) == 20
+    config = [BoostConfig("s", 4, 0.3, 2, min_leaf=25, rows=0.7), BoostConfig("b", 4, 0.5, 2, min_leaf=25, bag=True)]
+    together = boosting.fit(df, F.col("price"), config, "features")
+    monkeypatch.setattr(boosting, "TASK_ENTRIES", 300)
+    spread = boosting.fit(df, F.col("price"), config, "features")
+    for a, b in zip(together, spread):
+        assert [t.feature for t in a.trees] == [t.feature for t in b.trees]
+        assert np.allclose([v for t in a.trees for v in t.value], [v for t in b.trees for v in t.value])
+
+
+def test_permutations_ask_the_trees_of_a_feature_only(signal):
+    df, x, y = signal
+    model = boosting.fit(df, F.col("price"), [BoostConfig("i", 20, 0.3, 3)])[0]
+    plain = boosting.permutation_errors(model, df, F.col("price"))
+    rows = df.select("dense", "price", F.xxhash64(F.col("dense"), F.col("price").cast("double")).alias("o")).orderBy("o").collect()
+    bins, target = boosting.binned(np.array([r["dense"] for r in rows], dtype=float), model.edges), np.array([r["price"] for r in rows])
+    for f in range(5):
+        own = bins.copy()
+        own[:, f] = np.roll(own[:, f], 1 + boosting._salt(str(f)) % (len(target) - 1))
+        rise = np.abs(target - model.of_bins(own)).mean() - np.abs(target - model.of_bins(bins)).mean()
+        assert np.isclose(plain[f], rise)
