@@ -8,8 +8,9 @@ most `SEGMENT_POSTINGS` postings; a segment's postings are grouped by term and t
 
 Building takes two passes. The first cuts texts into terms and writes each document's
 distinct terms and frequencies; the second deals the documents out by (m, doc_id) in
-one range exchange, so that a stratum that holds many rows spans several tasks, and
-writes the segments. Every document with a term is indexed.
+one range exchange of `TASK_POSTINGS` postings a task, so that a stratum that holds many
+rows spans several tasks and a task's memory does not grow with the corpus, and writes the
+segments. Every document with a term is indexed.
 
 A search takes its items in blocks of bounded size (`BLOCK_PAIRS` terms), each against
 the whole index. Postings of the block's terms are read once. The bound of a stratum for
@@ -39,11 +40,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nameprice.llm.common import checkpoint, share_package, shared_folder
+from nameprice.llm.common import checkpoint, release_memory, share_package, shared_folder
 from nameprice.llm.tokens import slices, terms
 
 TOP = 10
 SEGMENT_POSTINGS = 1 << 18 # postings of a segment (or one document)
+TASK_POSTINGS = 1 << 19    # postings that a task of the build is worth
+CUT_BYTES = 1 << 20        # texts that a task of the build cuts at once (one text may be longer)
 BLOCK_PAIRS = 1 << 18      # (item, term) pairs searched at once
 LEAD = 1                   # strata per item that are searched first
 BUFFER = 2_000_000         # postings that a task orders by bound at once
@@ -74,7 +77,7 @@ def forward(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, CUT_BYTES):
                 found = terms(part.column(1))
                 if not len(found.ids):
                     continue
@@ -89,6 +92,7 @@ def forward(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(have)), pa.array(n, pa.int64()), words,
                      _lists(tfs, ends, pa.int32())], names=["doc_id", "n", "terms", "tfs"])
+                release_memory()
 
     share_package()
     return rows.mapInArrow(cut, FORWARD)
@@ -133,6 +137,7 @@ def _segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                  _lists(doc[row], np.append(first, len(row)), pa.int64())],
                 names=["m", "segment", "term", "tf", "docs"])
             number += int(segment.max()) + 1
+        release_memory()
 
 
 def build(docs: DataFrame, folder: str | None = None) -> Index:
@@ -141,13 +146,15 @@ def build(docs: DataFrame, folder: str | None = None) -> Index:
     folder = folder or shared_folder(spark, "stratified")
     forward(docs).write.parquet(f"{folder}/forward")
     cut = spark.read.schema(FORWARD).parquet(f"{folder}/forward")
-    total = cut.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("terms")).first()
+    total = cut.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("terms"),
+                    F.sum(F.size("tfs")).alias("postings")).first()
     n_docs, n_terms = int(total["docs"]), int(total["terms"] or 0)
     normaliser = F.expr(f"10L + (90L * n * {n_docs}L) div {max(n_terms, 1)}L")
     rows = cut.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), normaliser.alias("m"),
                       "terms", "tfs", F.monotonically_increasing_id().alias("_row"))
     keys = ["m", "doc_id", "_row"]         # the row number splits a doc_id that many rows share
-    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(total["postings"] or 0) // TASK_POSTINGS))
+    placed = rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).drop("_row")
     placed.mapInArrow(_segments, POSTINGS).write.parquet(f"{folder}/postings")
     return Index(f"{folder}/postings", n_docs, n_terms)
 
@@ -265,11 +272,13 @@ def _searched(hits: DataFrame, queries: Queries, least: np.ndarray) -> DataFrame
             if held > BUFFER:
                 visit(ready, queries, best)
                 ready, held = [], 0
+                release_memory()
         visit(ready, queries, best)
         for item, (docs, scores) in best.found.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(docs), item)), pa.array(docs), pa.array(scores)],
                 names=["item", "doc_id", "score"])
+        release_memory()
 
     share_package()
     ordered = hits.repartition("m", "segment").sortWithinPartitions("m", "segment", "word") \

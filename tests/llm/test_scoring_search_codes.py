@@ -78,6 +78,15 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert searched(spark, docs, items) == wanted
 
 
+def test_a_task_of_the_build_holds_a_bounded_number_of_postings(spark, monkeypatch):
+    monkeypatch.setattr(stratified, "TASK_POSTINGS", 100)
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(10)), "x") for i in range(400)], DOCS)
+    index = stratified.build(df)
+    tasks = index.postings(spark).groupBy(F.input_file_name()).agg(F.sum(F.size("docs")).alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == 4000
+    assert max(r["n"] for r in tasks) <= 400 and len(tasks) > 20
+
+
 def test_bounds_hold_and_spare_visits():
     queries = stratified.Queries(("a", "b"), np.array([0, 2]), np.array([0, 1]), np.array([5, 7]))
     seg = [stratified.Segment(10 + 40 * k, np.array([0, 0, 1]), np.array([3, 1, 2]), np.array([1, 2, 3, 2]) + 10 * k,
