@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nameprice.operators import boosting, correlation, ridge, scale, tfidf
+from nameprice.operators import boosting, correlation, models, ridge, scale, tfidf
 from nameprice.plans import q_features
 from nameprice.sources import tables
 
@@ -108,3 +108,14 @@ def test_a_task_counts_the_smaller_child_only(monkeypatch):
         # of the equal columns 2 and 7 either may be named
         assert [f % 5 if f == 7 else f for f in s.feature] == [f % 5 if f == 7 else f for f in t.feature]
         assert s.cut == t.cut and np.allclose(s.value, t.value)
+
+
+def test_vectors_are_assembled_without_a_job_for_their_width(spark):
+    ids = spark.createDataFrame([(1, 2.0), (2, 0.0), (3, 5.0)], "product_id long, a double")
+    weights = spark.createDataFrame([(1, 0, 0.6), (1, 3, 0.8), (3, 1, 1.0)], "doc_id long, idx int, weight double")
+    spark.sparkContext.setJobGroup("assembled", "vectors")
+    data = models.assemble(models.sparse_rows(ids, weights, 4), ["tfidf", "a"])
+    spark.sparkContext.setJobGroup("read", "rows")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("assembled")
+    found = {r["product_id"]: r["features"].toArray().tolist() for r in data.collect()}
+    assert found == {1: [0.6, 0, 0, 0.8, 2.0], 2: [0.0] * 5, 3: [0, 1.0, 0, 0, 5.0]}
