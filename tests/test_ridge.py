@@ -75,3 +75,25 @@ def test_no_rows(spark):
         ridge.fit(data, [(1.0, F.col("price"))])
     with pytest.raises(ValueError):
         ridge.fit(data, [(0.0, F.col("price"))])
+
+
+def test_blocks_of_one_task_are_solved_without_a_job_a_round(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    X = np.where(rng.random((300, 40)) < 0.2, rng.uniform(1, 2, (300, 40)), 0) * rng.uniform(0.1, 30, 40)
+    y = X @ rng.normal(size=40) + rng.normal(size=300)
+    data = spark.createDataFrame([(Vectors.dense(x), float(t)) for x, t in zip(X.tolist(), y)], ["features", "price"])
+    systems = [(0.5, F.col("price")), (3.0, F.col("price") * 2 + 1)]
+    monkeypatch.setattr(ridge, "HEAVY", 4)
+    found = []
+    for group, most in (("alone", ridge.TASK_ENTRIES), ("rounds", 0)):
+        monkeypatch.setattr(ridge, "TASK_ENTRIES", most)
+        spark.sparkContext.setJobGroup(group, group)
+        model = ridge.fit(data.repartition(3), systems)
+        found.append((model, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))))
+    spark.sparkContext.setJobGroup("other", "other")
+    (alone, few), (spread, many) = found
+    assert few < 12 < spread.rounds < many
+    for i, (alpha, target) in enumerate(((0.5, y), (3.0, 2 * y + 1))):
+        w, b = closed_form(X, target, alpha)
+        assert np.allclose(alone.weights[:, i], w) and np.allclose(spread.weights[:, i], w)
+        assert abs(alone.intercepts[i] - b) < 1e-6
