@@ -158,3 +158,32 @@ def test_permutations_ask_the_trees_of_a_feature_only(signal):
         own[:, f] = np.roll(own[:, f], 1 + boosting._salt(str(f)) % (len(target) - 1))
         rise = np.abs(target - model.of_bins(own)).mean() - np.abs(target - model.of_bins(bins)).mean()
         assert np.isclose(plain[f], rise)
+
+
+@pytest.mark.parametrize("task_rows", [1 << 18, 200])
+def test_predictions_of_all_rows_come_without_the_trees(spark, signal, monkeypatch, task_rows):
+    df, _, _ = signal
+    fits = F.col("product_id") % 5 != 0
+    # a row without a target is not fitted, and predicted as the rows that are left out; rows may come twice
+    marked = df.withColumn("price", F.when(F.col("product_id") != 7, F.col("price")))
+    marked = marked.unionByName(marked.where("product_id = 10"))
+    models_found = boosting.fit(marked.where(fits), F.col("price"), CONFIGS)
+    wanted = df.select("product_id", boosting.predictions(models_found).alias("p")).toPandas().set_index("product_id")["p"]
+    monkeypatch.setattr(boosting, "TASK_ROWS", task_rows)
+    kept = []
+    plain = boosting.Growing.finish
+    monkeypatch.setattr(boosting.Growing, "finish", lambda g, w: (plain(g, w), kept.append(len(g.trees)))[0])
+    rows, rounds = boosting.fit_predicted(marked, F.col("price"), fits, CONFIGS, ["product_id", "price"])
+    assert rows.columns == ["product_id", "price", "m", "p"] and rows.count() == 2 * 601 and not any(kept)
+    for m, (model, r) in enumerate(zip(models_found, rounds)):
+        own = rows.where(F.col("m") == m).toPandas()
+        assert np.allclose(own["p"], [wanted[i][m] for i in own["product_id"]])
+        assert own["price"].isna().sum() == 1 and r.kept == len(model.trees) and np.allclose(r.errors, model.errors)
+    with pytest.raises(ValueError):
+        boosting.fit_predicted(marked.withColumn("price", F.lit(None)), F.col("price"), fits, CONFIGS, ["product_id"])
+
+
+def test_long_configurations_begin_first():
+    grid = models.boost_configs()["grid"]
+    order = boosting._longest_first(grid)
+    assert sorted(order) == list(range(9)) and [grid[i].rounds for i in order[:3]] == [500, 500, 400]
